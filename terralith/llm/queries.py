@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .matroska import media_digest
 from .mixing import poisson_mix
 from .secret_scan import secret_digest
 
@@ -16,6 +17,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op6_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents, every source brought to the same share; the whole rows, each as often as drawn."""
     mixed = poisson_mix(table(spark, sf_dir, "documents"), seed=MIX_SEED)
@@ -24,6 +29,7 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op6_matroska": op6_matroska,
     "op10_poisson_mix": op10_poisson_mix,
 }
 
