@@ -9,6 +9,7 @@ from .common import table
 from .matroska import media_digest
 from .mixing import poisson_mix
 from .secret_scan import secret_digest
+from .substring_dedup import substring_dedup
 
 MIX_SEED = "mix-1"
 
@@ -17,6 +18,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup(table(spark, sf_dir, "documents"), keep_text=False)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("intervals").cast("long").alias("n_intervals"))
+
+
 def op6_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(table(spark, sf_dir, "documents"))
 
@@ -29,6 +35,7 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op3_substring_dedup": op3_substring_dedup,
     "op6_matroska": op6_matroska,
     "op10_poisson_mix": op10_poisson_mix,
 }
