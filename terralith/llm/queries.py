@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .matroska import media_digest
+from .minhash import near_duplicates
 from .mixing import poisson_mix
 from .secret_scan import secret_digest
 from .substring_dedup import substring_dedup
@@ -23,6 +24,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("intervals").cast("long").alias("n_intervals"))
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85)
+
+
 def op6_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(table(spark, sf_dir, "documents"))
 
@@ -36,6 +41,7 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op3_substring_dedup": op3_substring_dedup,
+    "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_matroska": op6_matroska,
     "op10_poisson_mix": op10_poisson_mix,
 }
