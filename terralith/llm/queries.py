@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .embedding_dedup import embedding_near_dedup
 from .matroska import media_digest
 from .minhash import near_duplicates
 from .mixing import poisson_mix
@@ -32,6 +33,10 @@ def op6_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_near_dedup(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents, every source brought to the same share; the whole rows, each as often as drawn."""
     mixed = poisson_mix(table(spark, sf_dir, "documents"), seed=MIX_SEED)
@@ -43,10 +48,26 @@ QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_matroska": op6_matroska,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op10_poisson_mix": op10_poisson_mix,
 }
 
 ORACLE_SQL = {
+    "op8_embedding_near_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (
+  SELECT vec_id, vec_id AS other FROM embeddings
+  UNION
+  SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a),
+least AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id)
+SELECT m.vec_id, (SELECT count(*) FROM links l WHERE l.a = m.vec_id) AS n_links, m.component_id, m.vec_id = m.component_id AS kept FROM least m
+""",
     "op10_poisson_mix": f"""
 WITH RECURSIVE n AS (SELECT source, count(*) AS n_rows FROM documents GROUP BY source),
 rates AS (
