@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .embedding_dedup import embedding_near_dedup
+from .line_dedup import line_dedup
 from .matroska import media_digest
 from .minhash import near_duplicates
 from .mixing import poisson_mix
@@ -25,6 +26,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("intervals").cast("long").alias("n_intervals"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents"), min_sites=5, most_cut=0.5).select("doc_id", "n_lines", "n_cut", "text")
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85)
 
@@ -46,6 +51,7 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_line_dedup": op4_line_dedup,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_matroska": op6_matroska,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
@@ -53,11 +59,26 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op4_line_dedup": r"""
+WITH split AS (SELECT doc_id, source, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+each AS (SELECT doc_id, source, unnest(range(1, len(lines) + 1)) AS i, lines FROM split),
+line AS (
+  SELECT doc_id, source, i, lines[i] AS line, trim(regexp_replace(lines[i], '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS same FROM each),
+wide AS (SELECT same FROM line WHERE same <> '' GROUP BY same HAVING count(DISTINCT source) >= 5),
+marked AS (SELECT l.*, w.same IS NOT NULL AS cut FROM line l LEFT JOIN wide w ON l.same = w.same),
+made AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE cut) AS n_cut, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT cut) AS kept,
+    sum(length(line)) AS total, coalesce(sum(length(line)) FILTER (WHERE cut), 0) AS gone
+  FROM marked GROUP BY doc_id)
+SELECT s.doc_id, CASE WHEN s.text IS NULL THEN 0 ELSE n_lines END AS n_lines, CASE WHEN n_cut > 0 AND gone <= 0.5 * total THEN n_cut ELSE 0 END AS n_cut,
+  CASE WHEN n_cut > 0 AND gone <= 0.5 * total THEN coalesce(kept, '') ELSE s.text END AS text
+FROM split s JOIN made USING (doc_id)
+""",
     "op8_embedding_near_dedup": """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
-  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    AND len([x FOR x IN embedding IF x <> 0]) > 0),
 links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
   WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
@@ -78,7 +99,7 @@ terms AS (
   SELECT source, rate, k + 1, p * rate / (k + 1), cdf + p * rate / (k + 1) FROM terms WHERE k < ceil(rate + 12 * sqrt(rate) + 20)),
 tables AS (SELECT source, list(cdf ORDER BY k) AS cdfs FROM terms GROUP BY source),
 drawn AS (
-  SELECT d.*, len(list_filter(t.cdfs, c -> c <= ('0x' || substr(md5('{MIX_SEED}:' || d.doc_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)) AS copies
+  SELECT d.*, len([c FOR c IN t.cdfs IF c <= ('0x' || substr(md5('{MIX_SEED}:' || d.doc_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE]) AS copies
   FROM documents d JOIN tables t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, source, lang, n_chars, unnest(range(copies)) AS mix_copy, text FROM drawn
 """,
