@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .embedding_dedup import embedding_near_dedup
+from .kneser_ney import quality_scores, trusted_ids
 from .line_dedup import line_dedup
 from .matroska import media_digest
 from .minhash import near_duplicates
@@ -42,6 +43,10 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_dedup(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), trusted_ids(table(spark, sf_dir, "labels")))
+
+
 def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents, every source brought to the same share; the whole rows, each as often as drawn."""
     mixed = poisson_mix(table(spark, sf_dir, "documents"), seed=MIX_SEED)
@@ -55,6 +60,7 @@ QUERIES = {
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_matroska": op6_matroska,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
+    "op9_kneser_ney": op9_kneser_ney,
     "op10_poisson_mix": op10_poisson_mix,
 }
 
