@@ -13,6 +13,7 @@ from .matroska import media_digest
 from .minhash import near_duplicates
 from .mixing import poisson_mix
 from .secret_scan import secret_digest
+from .sentencepiece_viterbi import token_digest
 from .substring_dedup import substring_dedup
 
 MIX_SEED = "mix-1"
@@ -39,6 +40,10 @@ def op6_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_dedup(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
@@ -59,6 +64,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_matroska": op6_matroska,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_kneser_ney": op9_kneser_ney,
     "op10_poisson_mix": op10_poisson_mix,
