@@ -2,9 +2,10 @@
 similarity, and the full shingle sets confirm every link.
 
 Documents with one and the same shingle set are one class from the start, so a group of copies is one row. Within a
-band's bucket every class is first compared with the bucket's least id only; what is then still apart within a
-bucket is compared pair by pair. A large group of near copies is joined by the first step, so its pairs never
-appear; two classes that share a bucket and are not in one component have always been compared.
+band's bucket every class is first compared with the bucket's least class only, its lead. Members of one lead that
+are then in different components are decided by their differences from the lead, which are short for near copies;
+the join that does so yields links only. So a large group of near copies is mostly joined by the first step, its
+pairs are never rows, and two classes that share a bucket and aren't in one component have always been decided.
 """
 
 from __future__ import annotations
@@ -120,29 +121,30 @@ def _sets(n: int):
     return run
 
 
-def _confirm(percent: int):
+def _compare(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            linked, delta = [], []
             for x, y in zip(batch.column(2), batch.column(3)):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                apart = np.setxor1d(x, y, assume_unique=True)
+                union = (len(x) + len(y) + len(apart)) // 2
+                linked.append(100 * (union - len(apart)) >= percent * union)
+                delta.append(apart.view(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, delta)]).astype(np.int32)), pa.array(np.concatenate([np.empty(0, np.int64), *delta])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), lists], names=["a", "b", "linked", "delta"])
 
     return run
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """a, b of those pairs whose full shingle sets are similar enough. texts: id, text of every class."""
+def compared(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """a, b, linked, delta of pairs: whether their full shingle sets are similar enough, and the shingles that only
+    one of them has. texts: id, text of every class."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     sets = texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(_sets(n), "id long, shingles binary")
     sets = written(sets, "shingle_sets")
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(_compare(percent), "a long, b long, linked boolean, delta array<long>")
 
 
 def _near(percent: int, samples: int) -> Column:
@@ -185,20 +187,32 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str
     def check(p: DataFrame) -> DataFrame:
         used = p.select(F.col("a").alias("c")).union(p.select(F.col("b").alias("c"))).distinct()
         own = texts.join(ids.join(used, "c", "left_semi"), ["doc", "row"]).select(F.col("c").alias("id"), "text")
-        return written(confirmed(p, own, n, percent), "links")
+        return written(compared(p, own, n, percent), "compared")
 
-    links = check(written(sides(pairs).where(near).select("a", "b"), "candidates"))
+    pairs = written(pairs, "lead_pairs")
+    known = check(written(sides(pairs).where(near).select("a", "b"), "candidates"))
+    links = known.where("linked").select("a", "b")
     found = components(links)
 
-    # what a bucket holds of different components, but for pairs with the bucket's lead, which are known
+    # What shares a lead and is in different components. Their differences from the lead tell their own difference
+    # exactly, |x ^ y| = |dx| + |dy| - 2 |dx & dy|, so the join lets only links through; where a member is so far from
+    # the lead that its set was not compared, the pair is compared by its sets.
     label = lambda df: df.join(found.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
-    open_members = label(crowded.where("size > 2 AND c <> lead"))
-    split = open_members.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
-    open_members = open_members.join(split, "bucket", "left_semi").join(reps.select("c", "n", *sketch), "c")
-    side = lambda s: open_members.select("bucket", F.col("component").alias(f"k{s}"), F.col("c").alias(s), F.col("n").alias(f"n{s}"), *(F.col(x).alias(f"s{s}{x[1:]}") for x in sketch))
-    rest = written(side("a").join(side("b"), "bucket").where((F.col("ka") < F.col("kb")) & near).select("a", "b").distinct(), "rest")
+    members = label(pairs.select(F.col("a").alias("lead"), F.col("b").alias("c")))
+    split = members.groupBy("lead").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("lead")
+    members = members.join(split, "lead", "left_semi").join(known.select(F.col("a").alias("lead"), F.col("b").alias("c"), "delta"), ["lead", "c"], "left").join(reps.select("c", "n", *sketch), "c")
+    members = written(members, "apart")
+    side = lambda s: members.select("lead", F.col("component").alias(f"k{s}"), F.col("c").alias(s), F.col("n").alias(f"n{s}"), F.col("delta").alias(f"d{s}"), *(F.col(x).alias(f"s{s}{x[1:]}") for x in sketch))
+    allowed = (F.col("na") + F.col("nb")) * (100 - percent)  # |x ^ y| * (100 + percent) may be so much
+    least = F.abs(F.size("da") - F.size("db")) * (100 + percent) <= allowed
+    exact = (F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))) * (100 + percent) <= allowed
+    unknown = F.col("da").isNull() | F.col("db").isNull()
+    a, b = side("a"), side("b").withColumnRenamed("lead", "lead_b")
+    rest = a.join(b, (F.col("lead") == F.col("lead_b")) & (F.col("ka") < F.col("kb")) & near & (unknown | (least & exact)))
+    rest = written(rest.select("a", "b", (~unknown).alias("sure")).groupBy("a", "b").agg(F.max("sure").alias("sure")), "rest")
     if rest.head(1):
-        links = written(links.union(check(rest)), "links")
+        more = check(rest.where("NOT sure").select("a", "b")).where("linked").select("a", "b")
+        links = written(links.union(rest.where("sure").select("a", "b")).union(more), "links")
         found = components(links)
 
     of_class = reps.select("c", "set1", "set2", F.col("id").alias("rep")).join(found.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
