@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,9 @@ from .common import blocks
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Words advanced together, and words whose ids a task remembers before it starts anew.
-TOGETHER, REMEMBERED = 20_000, 400_000
+TOGETHER, REMEMBERED = 20_000, 600_000
+#: Size of the table that tells quickly which hashes are no piece's.
+_SIEVE = 1 << 21
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 #: What the format takes off the least score for a character that is no piece.
@@ -84,6 +87,8 @@ class Pieces:
         self.keys, self.ids = hashed[order], np.array(usable, np.int64)[order]
         if (np.diff(self.keys) == 0).any():
             raise ValueError("two pieces have the same hash")
+        self.sieve = np.zeros(_SIEVE, bool)
+        self.sieve[(self.keys >> _U(20)) % _U(_SIEVE)] = True
         self.longest = max(len(self.pieces[i]) for i in usable)
         self.unknown = int(np.flatnonzero(self.kinds == self.UNKNOWN)[0])
         of_byte = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if self.kinds[i] == self.BYTE}
@@ -92,7 +97,15 @@ class Pieces:
         self.least = float(self.scores[usable].min()) - UNKNOWN_PENALTY
         self.pairs = np.empty(0, np.int64)  # BPE: codes of pairs of pieces, sorted, and whether they stay apart
         self.stay = np.empty(0, bool)
-        self.memory: dict[str, np.ndarray] = {}
+        self.memory: dict[str, bytes] = {}  # ids of words, as bytes of int32
+        self.spelled = [self._spelled(i) for i in range(len(self.pieces))]
+
+    def _spelled(self, i: int) -> bytes:
+        """The bytes that an id stands for in a decoded text."""
+        kind = self.kinds[i]
+        if kind == self.BYTE:
+            return bytes([int(self.pieces[i][3:5], 16)])
+        return " ⁇ ".encode() if kind == self.UNKNOWN else b"" if kind == self.CONTROL else self.pieces[i].replace(SPACE, " ").encode()
 
     def merged(self, text: str) -> list[str]:
         """BPE of a short text: the best-scored neighbouring pair merges first, the leftmost of equals."""
@@ -152,63 +165,84 @@ def load(path: str) -> Pieces:
     return Pieces(pieces, np.array(scores, np.float32), np.array(kinds), kind == 1, bool(normal.get(3, 1)), bool(normal.get(4, 1)))
 
 
-def _viterbi(p: Pieces, points: np.ndarray) -> list[np.ndarray]:
-    """points: a row of code points for each word, all of one length. The ids of each word."""
+def _viterbi(p: Pieces, points: np.ndarray) -> list[bytes]:
+    """points: a row of code points for each word, all of one length. The ids of each word, as bytes."""
     n, length = points.shape
     least = np.float32(-np.inf)
-    best = np.full((n, length + 1), least, np.float32)
-    best[:, 0] = 0
-    take = np.zeros((n, length + 1), np.int64)  # length of the piece that ends here
-    piece = np.full((n, length + 1), -1, np.int64)  # and its id; -1 at the start
+    best = np.full((length + 1, n), least, np.float32)
+    best[0] = 0
+    take = np.zeros((length + 1, n), np.int64)  # length of the piece that ends here
+    piece = np.full((length + 1, n), -1, np.int64)  # and its id; -1 at the start
     unit = p.unknown
+    letters = np.ascontiguousarray(points.T) + _U(1)
     for end in range(1, length + 1):
         h = np.zeros(n, np.uint64)
         power = _U(1)
         for size in range(1, min(end, p.longest) + 1):
-            # extended to the left: hash of points[end - size : end]
-            h = h + (points[:, end - size] + _U(1)) * power
+            start = end - size
+            # extended to the left: hash of points[start : end]
+            h = h + letters[start] * power
             power = _U(int(power) * int(_BASE) & (1 << 64) - 1)
-            at = np.minimum(np.searchsorted(p.keys, h), len(p.keys) - 1)
-            hit = p.keys[at] == h
-            ident = np.where(hit, p.ids[at], unit)
-            if size > 1:
-                rows = np.flatnonzero(hit)
-            else:
-                rows = np.arange(n)
-            rows = rows[best[rows, end - size] > least]
+            rows = np.flatnonzero(p.sieve[(h >> _U(20)) % _U(_SIEVE)]) if size > 1 else np.arange(n)
+            rows = rows[best[start, rows] > least]
             if not len(rows):
                 continue
-            i, start = ident[rows], best[rows, end - size]
+            at = np.minimum(np.searchsorted(p.keys, h[rows]), len(p.keys) - 1)
+            hit = p.keys[at] == h[rows]
+            if size > 1:
+                rows, at = rows[hit], at[hit]
+                i = p.ids[at]
+            else:
+                i = np.where(hit, p.ids[at], unit)
             if p.unigram:
-                value = start + np.where(hit[rows], p.scores[i], np.float32(p.least))
-                better = value >= best[rows, end]  # of equals the longest, as the library has it
+                value = best[start, rows] + np.where(i != unit, p.scores[i], np.float32(p.least))
+                better = value >= best[end, rows]  # of equals the longest, as the library has it
             else:
-                before = piece[rows, end - size]
+                before = piece[start, rows]
                 value = np.zeros(len(rows), np.float32)
+                better = best[end, rows] == least
                 # an unknown character merges with nothing on either side
                 free = (before == unit) | (i == unit)
-                ok = free & ((before == unit) & (i == unit) | _alone(p, np.where(before == unit, i, before)))
-                bound = np.flatnonzero(~free)
-                ok[bound] = p.apart(before[bound], i[bound])
-                better = ok & (best[rows, end] == least)
+                look = np.flatnonzero(better & free)
+                better[look] = _alone(p, np.where(before[look] == unit, i[look], before[look]))
+                bound = np.flatnonzero(better & ~free)
+                better[bound] = p.apart(before[bound], i[bound])
             rows = rows[better]
-            best[rows, end], take[rows, end], piece[rows, end] = value[better], size, i[better]
-    out = []
-    for r in range(n):
-        ids, end = [], length
-        while end > 0:
-            i, size = int(piece[r, end]), int(take[r, end])
-            if size == 0:
-                raise ValueError("a word has no path")
-            if i == unit and p.bytes is not None:
-                ids.extend(reversed(p.bytes[list(chr(int(points[r, end - 1])).encode("utf-8", "surrogatepass"))].tolist()))
-            elif not (i == unit and ids and ids[-1] == unit):  # neighbouring unknowns are one
-                ids.append(i)
-            end -= size
-        out.append(np.array(ids[::-1], np.int32))
+            best[end, rows], take[end, rows], piece[end, rows] = value[better], size, i[better]
+    # all words go back together, a piece each round
+    at, column = np.full(n, length), np.arange(n)
+    rounds, fallback = [], np.zeros(n, bool)
+    while (at > 0).any():
+        own = np.where(at > 0, piece[at, column], -2)
+        fallback |= own == unit
+        rounds.append(own)
+        step = take[at, column]
+        if ((at > 0) & (step == 0)).any():
+            raise ValueError("a word has no path")
+        at = at - step
+    ids = np.stack(rounds[::-1], 1) if rounds else np.empty((n, 0), np.int64)
+    kept = ids != -2
+    flat, ends = ids[kept].astype(np.int32).tobytes(), np.cumsum(kept.sum(1)) * 4
+    out = [flat[a:b] for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())]
+    for r in np.flatnonzero(fallback).tolist():
+        out[r] = _with_fallback(p, points[r], piece[:, r], take[:, r])
     return out
 
 
+def _with_fallback(p: Pieces, points: np.ndarray, piece: np.ndarray, take: np.ndarray) -> bytes:
+    """Ids of a word with unknown characters: their bytes, or the unknown piece once for a run of them."""
+    ids: list[int] = []
+    end = len(points)
+    while end > 0:
+        i = int(piece[end])
+        if i == p.unknown and p.bytes is not None:
+            ids.extend(reversed(p.bytes[list(chr(int(points[end - 1])).encode("utf-8", "surrogatepass"))].tolist()))
+        elif not (i == p.unknown and ids and ids[-1] == p.unknown):
+            ids.append(i)
+        end -= int(take[end])
+    return np.array(ids[::-1], np.int32).tobytes()
+
+
 def _alone(p: Pieces, i: np.ndarray) -> np.ndarray:
     """BPE: which pieces are what merging their own text gives (-1: the start, which is)."""
     ok = np.ones(len(i), bool)
@@ -230,7 +264,7 @@ def encode(p: Pieces, texts: list[str]) -> list[np.ndarray]:
     if len(p.memory) > REMEMBERED:
         p.memory.clear()
     new: dict[int, list[str]] = {}
-    for word in {w for words in split for w in words} - p.memory.keys():
+    for word in set(chain.from_iterable(split)) - p.memory.keys():
         new.setdefault(len(word), []).append(word)
     for length, words in new.items():
         step = max(1, min(TOGETHER, (1 << 21) // length))
@@ -239,26 +273,13 @@ def encode(p: Pieces, texts: list[str]) -> list[np.ndarray]:
             points = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(some), length).astype(np.uint64)
             for w, ids in zip(some, _viterbi(p, points)):
                 p.memory[w] = ids
-    empty = np.empty(0, np.int32)
-    return [np.concatenate([p.memory[w] for w in words]) if words else empty for words in split]
+    get = p.memory.__getitem__
+    return [np.frombuffer(b"".join(map(get, words)), np.int32) for words in split]
 
 
 def decode(p: Pieces, ids: np.ndarray) -> str:
     """The text of ids: bytes join to characters (U+FFFD where they are none), unknowns are ' ⁇ ', controls nothing."""
-    out: list[str] = []
-    held = bytearray()
-    for i in ids.tolist():
-        kind = p.kinds[i]
-        if kind == p.BYTE:
-            held.append(int(p.pieces[i][3:5], 16))
-            continue
-        if held:
-            out.append(held.decode("utf-8", "replace"))
-            held.clear()
-        out.append(" ⁇ " if kind == p.UNKNOWN else "" if kind == p.CONTROL else p.pieces[i])
-    if held:
-        out.append(held.decode("utf-8", "replace"))
-    text = "".join(out).replace(SPACE, " ")
+    text = b"".join(map(p.spelled.__getitem__, ids.tolist())).decode("utf-8", "replace")
     return text[1:] if p.dummy_prefix and text.startswith(" ") else text
 
 
@@ -281,7 +302,7 @@ def _with(df: DataFrame, name: str, kind: T.DataType, arrow: pa.DataType, column
         p = _pieces(model)
         for part in make(p, batches, column):
             batch, values = part
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, arrow)], names=[*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, values if isinstance(values, pa.Array) else pa.array(values, arrow)], names=[*batch.schema.names, name])
 
     return df.mapInArrow(run, schema)
 
@@ -290,7 +311,9 @@ def _encoded(p: Pieces, batches: Iterator[pa.RecordBatch], column: str):
     for batch, _, _ in blocks(batches, column):
         source = batch.column(batch.schema.get_field_index(column))
         ids = encode(p, [x or "" for x in source.to_pylist()])
-        yield batch, [i if ok else None for i, ok in zip(ids, source.is_valid().to_pylist())]
+        ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *ids])), mask=source.is_null())
+        yield batch, lists
 
 
 def _decoded(p: Pieces, batches: Iterator[pa.RecordBatch], column: str):
