@@ -40,8 +40,13 @@ def three_classes(mean) -> Column:
     low = F.when(first, 0.7 + (0.33 - m) / 2).when(second, 0.15 + 0.4 * (0.5 - m)).otherwise(F.lit(0.05))
     medium = F.when(first, 0.25 - 0.3 * (0.33 - m)).when(second, 0.7 - 0.6 * F.abs(m - 0.5)).otherwise(0.25 - 0.3 * (m - 0.67))
     high = F.when(first, F.lit(0.05)).when(second, 0.15 + 0.4 * (m - 0.5)).otherwise(0.7 + 0.5 * (m - 0.67))
-    total = low + medium + high
-    return F.when(m.isNotNull(), F.struct((low / total).alias("low"), (medium / total).alias("medium"), (high / total).alias("high")))
+    raw = F.struct(low.alias("low"), medium.alias("medium"), high.alias("high"))
+
+    def scaled(r: Column) -> Column:
+        total = r["low"] + r["medium"] + r["high"]
+        return F.struct(*((r[k] / total).alias(k) for k in ("low", "medium", "high")))
+
+    return F.when(m.isNotNull(), F.transform(F.array(raw), scaled)[0])
 
 
 def confidence(present, ideal: int) -> Column:

@@ -22,8 +22,8 @@ def rank_of(status: Column, precedence: tuple[str, ...] = PRECEDENCE) -> Column:
 
 def worst_of(statuses: list[Column], precedence: tuple[str, ...] = PRECEDENCE) -> Column:
     """P43 over the inputs of one row: the failure that comes first in the order; null if none failed."""
-    best = F.array_min(F.array_compact(F.array(*(rank_of(s, precedence) for s in statuses))))
-    return F.element_at(F.array(*map(F.lit, (*precedence, "invalid_response"))), best + 1)
+    failed = F.array_compact(F.array(*(rank_of(s, precedence) for s in statuses)))
+    return F.when(F.size(failed) > 0, F.element_at(F.array(*map(F.lit, (*precedence, "invalid_response"))), F.array_min(failed) + 1))
 
 
 def available(value: Column, **fields: Column) -> Column:
@@ -76,13 +76,19 @@ def strict_sum(df: DataFrame, keys: list[str], value: str, status: str, window:
 
     Empty groups don't exist here; a left join gives them (see catchment_totals). Null values count as missing.
     """
-    v, s = F.col(value), F.col(status)
-    ok = v.isNotNull() & s.isin(*CARRYING)
-    own = F.when(~ok, F.coalesce(rank_of(s, precedence), F.lit(precedence.index("missing"))))
-    spread = F.max(F.when(ok, F.col(window))).eqNullSafe(F.min(F.when(ok, F.col(window)))) if window else F.lit(True)
-    out = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_inputs"), F.count_if(~F.coalesce(ok, F.lit(False))).alias("n_missing"), F.sum(F.when(ok, v)).alias("partial"),
-        F.min(own).alias("__worst"), F.bool_or(s == "synthetic_fixture").alias("__fixture"), spread.alias("__one_window"),
+    def facts(x: Column) -> Column:
+        ok = F.coalesce(x["v"].isNotNull() & x["s"].isin(*CARRYING), F.lit(False))
+        rank = F.when(~ok, F.coalesce(rank_of(x["s"], precedence), F.lit(precedence.index("missing"))))
+        return F.struct(F.when(ok, x["v"]).alias("v"), ok.alias("ok"), rank.alias("rank"), F.coalesce(x["s"] == "synthetic_fixture", F.lit(False)).alias("fixture"))
+
+    # bound once: the inputs may be long expressions
+    own = F.transform(F.array(F.struct(F.col(value).alias("v"), F.col(status).alias("s"))), facts)[0]
+    rows = df.select(*keys, own.alias("__e"), *([F.col(window).alias("__window")] if window else []))
+    ok = F.col("__e.ok")
+    spread = F.max(F.when(ok, F.col("__window"))).eqNullSafe(F.min(F.when(ok, F.col("__window")))) if window else F.lit(True)
+    out = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_inputs"), F.count_if(~ok).alias("n_missing"), F.sum("__e.v").alias("partial"),
+        F.min("__e.rank").alias("__worst"), F.bool_or("__e.fixture").alias("__fixture"), spread.alias("__one_window"),
     )
     names = F.array(*map(F.lit, (*precedence, "invalid_response")))
     status_out = F.when(F.col("n_missing") > 0, F.element_at(names, F.col("__worst") + 1)).when(~F.col("__one_window"), "invalid_response").when(F.col("__fixture"), "synthetic_fixture").otherwise("available")

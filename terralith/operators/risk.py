@@ -14,10 +14,12 @@ SITE_SOFT, SITE_BUILT, SITE_ROCK = 1.8, 1.3, 1.0
 INFILTRATION_MM_H = {"forest": 50.0, "grassland": 30.0, "agricultural": 15.0, "urban": 5.0, "wetland": 80.0, "water": 1000.0, "bare": 10.0}
 
 
-def _result(mean: Column, variance: Column, conf: Column, present: dict[str, Column], extra_missing: Column | None = None) -> Column:
+def _result(mean: Column, variance: Column, conf: Column, present: dict[str, Column]) -> Column:
+    # bound once: the expression of the mean is long and the classes name it many times
+    classes = F.transform(F.array(mean), three_classes)[0]
     used = F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in present.items())))
     missing = F.array_compact(F.array(*(F.when(~c, F.lit(n)) for n, c in present.items())))
-    return F.struct(mean.alias("mean"), variance.alias("variance"), conf.alias("confidence"), three_classes(mean).alias("classes"), used.alias("used"), missing.alias("missing"))
+    return F.struct(mean.alias("mean"), variance.alias("variance"), conf.alias("confidence"), classes.alias("classes"), used.alias("used"), missing.alias("missing"))
 
 
 def landslide(slope: str = "slope", susceptibility: str = "elsus_class", conservative: bool = False) -> Column:

@@ -229,16 +229,16 @@ def p27_runoff(spark, d):
 @query(f"""WITH {CATCHMENT_SQL},
 s AS (SELECT catchment_id, count(*) AS n_inputs, count(*) FILTER (WHERE gone) AS n_missing, sum(runoff / 1000 * area) AS partial, count(*) FILTER (WHERE status = 'rate_limited') AS rl, count(*) FILTER (WHERE status = 'stale') AS st,
   count(*) FILTER (WHERE fixture AND NOT gone) AS fx FROM cells GROUP BY catchment_id)
-SELECT catchment_id, n_inputs, n_missing, round(partial, 4) AS partial, CASE WHEN n_missing = 0 THEN round(partial, 4) END AS total,
+SELECT catchment_id, n_inputs, n_missing, round(partial, 2) AS partial, CASE WHEN n_missing = 0 THEN round(partial, 2) END AS total,
   CASE WHEN rl > 0 THEN 'rate_limited' WHEN st > 0 THEN 'stale' WHEN fx > 0 THEN 'synthetic_fixture' ELSE 'available' END AS status FROM s""")
 def a05_catchment_totals(spark, d):
     cells = catchment_cells(spark, d).withColumn("runoff", runoff.runoff("rain", "slope", "land_cover"))
     out = runoff.catchment_totals(runoff.cell_volumes(cells))
-    return out.select("catchment_id", "n_inputs", "n_missing", F.round("partial", 4).alias("partial"), F.round("value", 4).alias("total"), "status")
+    return out.select("catchment_id", "n_inputs", "n_missing", F.round("partial", 2).alias("partial"), F.round("value", 2).alias("total"), "status")
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, l_partkey, round(least(1e0, least(l_quantity / 50, 1e0) * imp * (0.5e0 + least(l_discount * 300, 30e0) / 30)), 6) AS score
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN imp IS NOT NULL THEN round(least(1e0, least(l_quantity / 50, 1e0) * imp * (0.5e0 + least(l_discount * 300, 30e0) / 30)), 6) END AS score
 FROM (SELECT *, CASE l_linenumber % 5 WHEN 0 THEN 0.9e0 WHEN 1 THEN 0.4e0 WHEN 2 THEN 0.15e0 WHEN 3 THEN CASE WHEN l_quantity > 30 THEN 0.8e0 ELSE 0.2e0 END END AS imp FROM lineitem)""")
 def p28_runoff_risk(spark, d):
     li = table(spark, d, "lineitem")
