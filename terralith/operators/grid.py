@@ -173,5 +173,6 @@ def priority_flood(cells: DataFrame, adjacency: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["domain", "cell", "terminal", "spill", "fill", "steps"]).astype({"steps": "Int64"})
 
     kinds = {f.name: f.dataType.simpleString() for f in cells.schema}
+    adjacency = adjacency.select(*(F.col(c).alias(c) for c in ("domain", "cell", "nbr")))  # it may come from cells itself
     schema = f"domain {kinds['domain']}, cell {kinds['cell']}, terminal {kinds['cell']}, spill double, fill double, steps long"
     return cells.groupBy("domain").cogroup(adjacency.groupBy("domain")).applyInPandas(run, schema)

@@ -24,14 +24,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def snapped(points: DataFrame, nodes: DataFrame, tolerance_m: float, ident: str = "point_id") -> DataFrame:
-    """Each point (ident, lat, lon) with the nearest node (node_id, lat, lon) within a tolerance: node_id,
-    distance_m, status (snapped, ambiguous, none).
+def snap_pairs(points: DataFrame, nodes: DataFrame, tolerance_m: float, ident: str = "point_id") -> DataFrame:
+    """ident, node_id, d of all points (ident, lat, lon) and nodes (node_id, lat, lon) within a distance.
 
     An equi-join on square buckets as wide as the tolerance: a node is put into its own and the eight around. Bands
     of longitude are as wide as the tolerance at the band's own latitude, so nothing near is missed below 89 degrees.
     """
-    step = tolerance_m / METRES_PER_DEGREE * 1.0001
+    step = tolerance_m / METRES_PER_DEGREE * 1.01
     by = lambda lat: F.floor(lat / step)
     width = lambda b: step / F.cos(F.radians(F.least(F.abs(b * step) + 2 * step, F.lit(89.0))))
     p = points.select(F.col(ident), F.col("lat").alias("plat"), F.col("lon").alias("plon")).withColumn("by", by(F.col("plat")))
@@ -40,7 +39,12 @@ def snapped(points: DataFrame, nodes: DataFrame, tolerance_m: float, ident: str
     n = n.withColumn("by", by(F.col("nlat")) + F.col("dy"))
     n = n.select("*", F.explode(F.array(*map(F.lit, (-1, 0, 1)))).alias("dx")).withColumn("bx", F.floor(F.col("nlon") / width(F.col("by"))) + F.col("dx"))
     pairs = p.join(n, ["by", "bx"]).withColumn("d", haversine_m("plat", "plon", "nlat", "nlon")).where(F.col("d") <= tolerance_m)
-    pairs = pairs.groupBy(ident, "node_id").agg(F.min("d").alias("d"))
+    return pairs.groupBy(ident, "node_id").agg(F.min("d").alias("d"))
+
+
+def snapped(points: DataFrame, nodes: DataFrame, tolerance_m: float, ident: str = "point_id") -> DataFrame:
+    """Each point with the nearest node within a tolerance: node_id, distance_m, status (snapped, ambiguous, none)."""
+    pairs = snap_pairs(points, nodes, tolerance_m, ident)
     best = pairs.groupBy(ident).agg(F.min_by("node_id", F.struct("d", "node_id")).alias("node_id"), F.min("d").alias("distance_m"))
     close = pairs.join(best.select(ident, "distance_m"), ident).where(F.col("d") - F.col("distance_m") < SNAP_AMBIGUITY_M).groupBy(ident).agg(F.count(F.lit(1)).alias("n"))
     out = points.select(ident).join(best, ident, "left").join(close, ident, "left")

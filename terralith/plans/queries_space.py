@@ -245,7 +245,7 @@ _CELLDIM = "c AS (SELECT s_suppkey AS cell, s_acctbal AS elevation FROM supplier
 def _adjacency(spark, d):
     c = table(spark, d, "supplier").select(F.col("s_suppkey").alias("cell"), F.col("s_acctbal").alias("elevation"))
     steps = F.array(*map(F.lit, (-10, -1, 1, 10)))
-    adj = c.select("cell", (F.col("cell") + F.explode(steps)).alias("nbr")).join(c.select(F.col("cell").alias("nbr")), "nbr", "left_semi")
+    adj = c.select("cell", F.explode(F.transform(steps, lambda i: F.col("cell") + i)).alias("nbr")).join(c.select(F.col("cell").alias("nbr")), "nbr", "left_semi")
     return c, adj.select("cell", "nbr", (50.0 + (F.col("cell") + F.col("nbr")) % 7).alias("dist_m"))
 
 
@@ -277,11 +277,11 @@ def j12_area_overlap(spark, d):
     return _pairs(spark, d)[2].select("target", "source", r6("area").alias("area"), r6("fraction").alias("fraction"))
 
 
-@query(f"WITH {RECTANGLES_SQL} SELECT target, CASE WHEN count(*) = count(value) THEN round(sum(value * (area / 100)), 4) END AS value, round(sum(value * (area / 100)), 4) AS partial, count(*) - count(value) AS n_missing FROM pairs GROUP BY target")
+@query(f"WITH {RECTANGLES_SQL} SELECT target, CASE WHEN count(*) = count(value) THEN round(sum(value * (area / 100)), 2) END AS value, round(sum(value * (area / 100)), 2) AS partial, count(*) - count(value) AS n_missing FROM pairs GROUP BY target")
 def j13_weighted_sum(spark, d):
     _, s, p = _pairs(spark, d)
     out = geometry.weighted_sum(p, s.select(F.col("id").alias("source"), "value"))
-    return out.select("target", F.round("value", 4).alias("value"), F.round("partial", 4).alias("partial"), "n_missing")
+    return out.select("target", F.round("value", 2).alias("value"), F.round("partial", 2).alias("partial"), "n_missing")
 
 
 @query(f"""WITH {RECTANGLES_SQL}, c AS (SELECT target, category, sum(area) AS a FROM pairs GROUP BY ALL)

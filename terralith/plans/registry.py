@@ -1,6 +1,6 @@
 """All registered queries of the library's own operators, with SQL where SQL can express them."""
 
-from . import queries_core, queries_space
+from . import queries_core, queries_more, queries_space
 
-QUERIES = {**queries_core.QUERIES, **queries_space.QUERIES}
-SQL = {**queries_core.SQL, **queries_space.SQL}
+QUERIES = {**queries_core.QUERIES, **queries_space.QUERIES, **queries_more.QUERIES}
+SQL = {**queries_core.SQL, **queries_space.SQL, **queries_more.SQL}
