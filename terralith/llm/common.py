@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Used only where the session sets no spark.checkpoint.dir, as in tests on one machine.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 #: Text handled by numpy at once; a longer document is a block of its own.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -29,7 +29,7 @@ from .common import blocks
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Words advanced together, and words whose ids a task remembers before it starts anew.
-TOGETHER, REMEMBERED = 20_000, 600_000
+TOGETHER, REMEMBERED = 20_000, 300_000
 #: Size of the table that tells quickly which hashes are no piece's.
 _SIEVE = 1 << 21
 _U = np.uint64
@@ -300,9 +300,9 @@ def _with(df: DataFrame, name: str, kind: T.DataType, arrow: pa.DataType, column
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = _pieces(model)
-        for part in make(p, batches, column):
-            batch, values = part
+        for batch, values in make(p, batches, column):
             yield pa.RecordBatch.from_arrays([*batch.columns, values if isinstance(values, pa.Array) else pa.array(values, arrow)], names=[*batch.schema.names, name])
+        p.memory.clear()  # the worker lives on for other stages
 
     return df.mapInArrow(run, schema)
 
