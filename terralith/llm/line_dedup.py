@@ -67,17 +67,17 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, most_cut: float = MO
     named n_lines or n_cut are replaced.
     """
     bad, lines = boilerplate_lines(docs, min_sites, doc_id, text, site)
-    cut = lines.join(bad, ["k1", "k2"]).groupBy("id", "row").agg(F.array_distinct(F.collect_list("at")).alias("__cut"))
-    cut = cut.select(F.col("id").alias("__id"), F.col("row").alias("__row"), "__cut")
+    cut = lines.join(bad, ["k1", "k2"]).groupBy("id", "row").agg(F.array_distinct(F.collect_list("at")).alias("__line_dedup_cut"))
+    cut = cut.select(F.col("id").alias("__line_dedup_id"), F.col("row").alias("__line_dedup_row"), "__line_dedup_cut")
     docs = docs.drop("n_lines", "n_cut")
     names = docs.columns
-    rows = docs.withColumn("__key", row_key(doc_id, text))
+    rows = docs.withColumn("__line_dedup_key", row_key(doc_id, text))
     # rows of one id are told apart by their text, so copies of a row share its cuts
-    rows = rows.join(cut, (F.col("__key") == F.col("__row")) & F.col(doc_id).eqNullSafe(F.col("__id")), "left")
-    kept = F.filter(lines_of(F.col(text)), lambda line, i: ~F.array_contains("__cut", i))
+    rows = rows.join(cut, (F.col("__line_dedup_key") == F.col("__line_dedup_row")) & F.col(doc_id).eqNullSafe(F.col("__line_dedup_id")), "left")
+    kept = F.filter(lines_of(F.col(text)), lambda line, i: ~F.array_contains("__line_dedup_cut", i))
     n = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines_of(F.col(text)))).cast("long")
-    rows = rows.withColumn("__kept", F.when(F.col("__cut").isNotNull(), kept)).withColumn("n_lines", n)
+    rows = rows.withColumn("__line_dedup_kept", F.when(F.col("__line_dedup_cut").isNotNull(), kept)).withColumn("n_lines", n)
     total = F.length(text) - F.col("n_lines") + 1
-    cuts = F.coalesce(total - F.length(F.array_join("__kept", "")) <= most_cut * total, F.lit(False))
-    shown = [F.when(cuts, F.array_join("__kept", "\n")).otherwise(F.col(text)).alias(c) if c == text else F.col(c) for c in names]
-    return rows.select(*shown, "n_lines", F.when(cuts, F.size("__cut")).otherwise(0).cast("long").alias("n_cut"))
+    cuts = F.coalesce(total - F.length(F.array_join("__line_dedup_kept", "")) <= most_cut * total, F.lit(False))
+    shown = [F.when(cuts, F.array_join("__line_dedup_kept", "\n")).otherwise(F.col(text)).alias(c) if c == text else F.col(c) for c in names]
+    return rows.select(*shown, "n_lines", F.when(cuts, F.size("__line_dedup_cut")).otherwise(0).cast("long").alias("n_cut"))
