@@ -51,7 +51,8 @@ def upsert(points: DataFrame, new: DataFrame) -> DataFrame:
     """Of each key the row with the greatest ingest_seq. One aggregation; a null sequence is the oldest."""
     every = points.unionByName(new, allowMissingColumns=True)
     rest = [c for c in every.columns if c not in KEY]
-    last = F.max_by(F.struct(*rest), F.struct(F.coalesce("ingest_seq", F.lit(-1)).alias("s"), F.xxhash64(*rest).alias("h")))  # equal numbers: one of the rows, always the same
+    content = F.xxhash64(F.to_json(F.struct(*rest)))  # of equal numbers always the same row
+    last = F.max_by(F.struct(*rest), F.struct(F.coalesce("ingest_seq", F.lit(-1)).alias("s"), content.alias("h")))
     return every.groupBy(*KEY).agg(last.alias("p")).select(*KEY, "p.*").select(*every.columns)
 
 

@@ -23,7 +23,7 @@ def rank_of(status: Column, precedence: tuple[str, ...] = PRECEDENCE) -> Column:
 def worst_of(statuses: list[Column], precedence: tuple[str, ...] = PRECEDENCE) -> Column:
     """P43 over the inputs of one row: the failure that comes first in the order; null if none failed."""
     failed = F.array_compact(F.array(*(rank_of(s, precedence) for s in statuses)))
-    return F.when(F.size(failed) > 0, F.element_at(F.array(*map(F.lit, (*precedence, "invalid_response"))), F.array_min(failed) + 1))
+    return F.when(F.size(failed) > 0, F.element_at(F.array(*map(F.lit, (*precedence, "invalid_response"))), F.coalesce(F.array_min(failed), F.lit(0)) + 1))
 
 
 def available(value: Column, **fields: Column) -> Column:
@@ -91,7 +91,7 @@ def strict_sum(df: DataFrame, keys: list[str], value: str, status: str, window:
         F.min("__e.rank").alias("__worst"), F.bool_or("__e.fixture").alias("__fixture"), spread.alias("__one_window"),
     )
     names = F.array(*map(F.lit, (*precedence, "invalid_response")))
-    status_out = F.when(F.col("n_missing") > 0, F.element_at(names, F.col("__worst") + 1)).when(~F.col("__one_window"), "invalid_response").when(F.col("__fixture"), "synthetic_fixture").otherwise("available")
+    status_out = F.when(F.col("n_missing") > 0, F.element_at(names, F.coalesce("__worst", F.lit(0)) + 1)).when(~F.col("__one_window"), "invalid_response").when(F.col("__fixture"), "synthetic_fixture").otherwise("available")
     whole = (F.col("n_missing") == 0) & F.col("__one_window")
     reason = F.when(F.col("n_missing") > 0, F.concat(F.col("n_missing"), F.lit(" of "), F.col("n_inputs"), F.lit(" inputs unavailable"))).when(~F.col("__one_window"), "windows differ")
     return out.select(*keys, F.when(whole, F.col("partial")).alias("value"), status_out.alias("status"), reason.alias("reason"), "partial", "n_inputs", "n_missing")

@@ -151,7 +151,7 @@ def coverage(pieces: DataFrame, targets: DataFrame, tolerance: float = 1e-6) ->
     return out.select(
         "target", "area_m2", "mapped", "observed", (F.col("mapped") - F.col("observed")).alias("unavailable"), F.greatest(F.lit(0.0), F.col("area_m2") - F.col("mapped")).alias("uncovered"),
         (F.col("observed") / F.col("area_m2")).alias("observed_fraction"), complete.alias("complete"), (F.col("mapped") > F.col("area_m2") + slack).alias("overlapping"),
-        F.when(complete, "available").otherwise(F.coalesce(F.element_at(names, F.col("worst") + 1), F.lit("out_of_coverage"))).alias("status"),
+        F.when(complete, "available").when(F.col("worst").isNull(), "out_of_coverage").otherwise(F.element_at(names, F.coalesce("worst", F.lit(0)) + 1)).alias("status"),
     )
 
 

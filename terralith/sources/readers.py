@@ -16,7 +16,7 @@ POINT_CSV = "lat double, lon double, water_score double, landslide_score double,
 
 def read_points_csv(spark: SparkSession, path: str, schema: str = POINT_CSV) -> DataFrame:
     """A CSV with a header by place; rows that are short or don't parse are left out."""
-    return spark.read.csv(path, schema=schema, header=True, mode="DROPMALFORMED", enforceSchema=True)
+    return spark.read.option("columnPruning", False).csv(path, schema=schema, header=True, mode="DROPMALFORMED", enforceSchema=True)  # every column is parsed, also for a count
 
 
 def read_keyed_csv(spark: SparkSession, path: str, key: str, fields: list[str]) -> DataFrame:
@@ -150,7 +150,10 @@ def rgba_classes(pixels: DataFrame, palette: DataFrame) -> DataFrame:
     return out.withColumns({"status": status, "code": F.when(status == "available", F.col("code"))})
 
 
-@F.pandas_udf("array<array<struct<x:double,y:double>>>")
+RINGS = T.ArrayType(T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])))
+
+
+@F.pandas_udf(RINGS)
 def wkb_rings(column):
     """Rings of WKB or GeoPackage polygons and multipolygons (the rings of all parts in order); others are null."""
     import struct
