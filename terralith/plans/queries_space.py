@@ -140,11 +140,11 @@ def g07_legacy_direction(spark, d):
 
 
 @query("""
-SELECT 'node_id_repeats' AS code, node_id AS ident FROM (SELECT (c_custkey % 1490)::VARCHAR AS node_id FROM customer) GROUP BY node_id HAVING count(*) > 1
-UNION ALL SELECT 'pipe_end_unknown', 'p' || o_orderkey FROM orders WHERE o_orderkey % 50 = 0 AND o_custkey % 100 = 7
-UNION ALL SELECT 'pipe_is_loop', 'p' || o_orderkey FROM orders WHERE o_custkey % 1490 = (o_custkey * 3) % 1490 AND NOT (o_orderkey % 50 = 0 AND o_custkey % 100 = 7)
-UNION ALL SELECT 'pipe_length_invalid', 'p' || o_orderkey FROM orders WHERE o_totalprice < 2000
-UNION ALL SELECT 'no_outfall', 'network'""")
+WITH n AS (SELECT (c_custkey % 1490)::VARCHAR AS node_id FROM customer),
+p AS (SELECT 'p' || o_orderkey AS id, (o_custkey % 1490)::VARCHAR AS a, CASE WHEN o_orderkey % 50 = 0 AND o_custkey % 100 = 7 THEN 'nowhere' ELSE (o_custkey * 3 % 1490)::VARCHAR END AS b, o_totalprice FROM orders)
+SELECT 'node_id_repeats' AS code, node_id AS ident FROM n GROUP BY node_id HAVING count(*) > 1
+UNION ALL SELECT 'pipe_start_unknown', id FROM p WHERE a NOT IN (SELECT node_id FROM n) UNION ALL SELECT 'pipe_end_unknown', id FROM p WHERE b NOT IN (SELECT node_id FROM n)
+UNION ALL SELECT 'pipe_is_loop', id FROM p WHERE a = b UNION ALL SELECT 'pipe_length_invalid', id FROM p WHERE o_totalprice < 2000 UNION ALL SELECT 'no_outfall', 'network'""")
 def g01_network_issues(spark, d):
     c, o = table(spark, d, "customer"), table(spark, d, "orders")
     nodes = c.select((F.col("c_custkey") % 1490).cast("string").alias("node_id"), F.lit("inlet").alias("type"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon"))
