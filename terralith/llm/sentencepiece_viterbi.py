@@ -30,6 +30,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Words advanced together, and words whose ids a task remembers before it starts anew.
 TOGETHER, REMEMBERED = 20_000, 300_000
+#: Text encoded at once: the more words advance together, the less each costs.
+TEXT_BYTES = 4 << 20
 #: Size of the table that tells quickly which hashes are no piece's.
 _SIEVE = 1 << 21
 _U = np.uint64
@@ -122,9 +124,9 @@ class Pieces:
         """BPE: which pairs of pieces are left as they are (left < 0: nothing stands before)."""
         code = (left + 1) * (1 << 22) + right
         at = np.searchsorted(self.pairs, code)
-        new = np.unique(code[self.pairs[np.minimum(at, len(self.pairs) - 1)] != code]) if len(self.pairs) else np.unique(code)
+        new = code[self.pairs[np.minimum(at, len(self.pairs) - 1)] != code] if len(self.pairs) else code
         if len(new):
-            stay = []
+            new, stay = np.unique(new), []
             for c in new.tolist():
                 parts = [self.pieces[x] for x in ((c >> 22) - 1, c & (1 << 22) - 1) if x >= 0]
                 stay.append(self.merged("".join(parts)) == parts)
@@ -203,10 +205,12 @@ def _viterbi(p: Pieces, points: np.ndarray) -> list[bytes]:
                 better = best[end, rows] == least
                 # an unknown character merges with nothing on either side
                 free = (before == unit) | (i == unit)
-                look = np.flatnonzero(better & free)
-                better[look] = _alone(p, np.where(before[look] == unit, i[look], before[look]))
+                if free.any():
+                    look = np.flatnonzero(better & free)
+                    better[look] = _alone(p, np.where(before[look] == unit, i[look], before[look]))
                 bound = np.flatnonzero(better & ~free)
-                better[bound] = p.apart(before[bound], i[bound])
+                if len(bound):
+                    better[bound] = p.apart(before[bound], i[bound])
             rows = rows[better]
             best[end, rows], take[end, rows], piece[end, rows] = value[better], size, i[better]
     # all words go back together, a piece each round
@@ -308,7 +312,7 @@ def _with(df: DataFrame, name: str, kind: T.DataType, arrow: pa.DataType, column
 
 
 def _encoded(p: Pieces, batches: Iterator[pa.RecordBatch], column: str):
-    for batch, _, _ in blocks(batches, column):
+    for batch, _, _ in blocks(batches, column, TEXT_BYTES):
         source = batch.column(batch.schema.get_field_index(column))
         ids = encode(p, [x or "" for x in source.to_pylist()])
         ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
