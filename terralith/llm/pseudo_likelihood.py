@@ -3,7 +3,8 @@
 Word counts over the whole corpus give the vocabulary and the output's starting bias. The network is trained in numpy
 on every partition's own documents, on a share of masked words that each round draws anew; after a round, the
 partitions' weights are averaged by their words. Every word of every document is then predicted, and a document's
-score is the sum of the log probabilities.
+score is the sum of the log probabilities. A word outside the vocabulary has the probability of its ending times its
+own share of that ending's words, from the counts of all words.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ class Network:
     vocabulary: np.ndarray  # hashes of the words that are tokens, sorted
     token: np.ndarray  # their tokens
     weights: np.ndarray  # all parameters, flat
+    rest: np.ndarray | None = None  # how often words outside the vocabulary occur, by ending
 
     def parts(self) -> dict[str, np.ndarray]:
         out, at = {}, 0
@@ -51,20 +53,30 @@ class Network:
         return out
 
 
-def tokens_of(net: Network, text: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The token of each word, and how many words each text has."""
-    starts, ends, hashes, sizes = words(text, cuts)
-    if not len(hashes):
-        return np.empty(0, np.int64), sizes
-    last = np.zeros(len(hashes), np.uint64)
+def _ending(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The ending of each word: a number below ENDINGS from its last three bytes."""
+    last = np.zeros(len(starts), np.uint64)
     for back in range(1, 4):
         inside = ends - back >= starts
         last = last * _U(257) + np.where(inside, text[np.maximum(ends - back, 0)].astype(np.uint64) + _U(1), _U(0))
-    out = (TOKENS - ENDINGS + (mix(last) % _U(ENDINGS)).astype(np.int64)).astype(np.int64)
+    return (mix(last) % _U(ENDINGS)).astype(np.int64)
+
+
+def _tokens(net: Network, text: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The token of each word, how many words each text has, and each word's hash."""
+    starts, ends, hashes, sizes = words(text, cuts)
+    if not len(hashes):
+        return np.empty(0, np.int64), sizes, hashes
+    out = TOKENS - ENDINGS + _ending(text, starts, ends)
     if len(net.vocabulary):
         at = np.minimum(np.searchsorted(net.vocabulary, hashes), len(net.vocabulary) - 1)
         out = np.where(net.vocabulary[at] == hashes, net.token[at], out)
-    return out, sizes
+    return out, sizes, hashes
+
+
+def tokens_of(net: Network, text: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The token of each word, and how many words each text has."""
+    return _tokens(net, text, cuts)[:2]
 
 
 def windows(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,20 +147,24 @@ class Trainer:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[np.ndarray] = []
+    endings: list[np.ndarray] = []
     n = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        value, count = np.unique(np.concatenate(held), return_counts=True)
+        value, first, count = np.unique(np.concatenate(held), return_index=True, return_counts=True)
+        ending = np.concatenate(endings)[first].astype(np.int64)
         for at in range(0, len(value), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(value[at : at + 200_000].view(np.int64)), pa.array(count[at : at + 200_000].astype(np.int64))], names=["word", "n"])
+            part = slice(at, at + 200_000)
+            yield pa.RecordBatch.from_arrays([pa.array(value[part].view(np.int64)), pa.array(ending[part]), pa.array(count[part].astype(np.int64))], names=["word", "ending", "n"])
 
     for _, text, cuts in blocks(batches):
-        hashes = words(text, cuts)[2]
+        starts, ends, hashes, _ = words(text, cuts)
         held.append(hashes)
+        endings.append(_ending(text, starts, ends).astype(np.int16))
         n += len(hashes)
         if n >= FLUSH_WORDS:
             yield from flush()
-            held, n = [], 0
+            held, endings, n = [], [], 0
     if n:
         yield from flush()
 
@@ -191,25 +207,30 @@ def _average(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": table.column("chunk")[:1], "shard": pa.array([table.column("shard")[0].as_py() // FAN_IN]), "weight": pa.array([weight.sum()]), "numbers": pa.array([mean.tobytes()], pa.binary())})
 
 
-def fit(texts: DataFrame) -> Network:
-    """texts: one column, text. What is gathered are the counts of all words and each partition's weights."""
-    counts = written(texts.mapInArrow(_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "word_counts")
+def fit(texts: DataFrame) -> tuple[Network, DataFrame]:
+    """The network, and word, n: the count of every word. texts: one column, text. What is gathered are the counts of
+    the vocabulary and of the endings, and each partition's weights."""
+    counts = texts.mapInArrow(_counts, "word long, ending long, n long").groupBy("word").agg(F.min("ending").alias("ending"), F.sum("n").alias("n"))
+    counts = written(counts, "word_counts")
     top = counts.orderBy(F.desc("n"), "word").limit(TOKENS - ENDINGS).toArrow()
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    rest = np.zeros(ENDINGS)
+    for r in counts.groupBy("ending").agg(F.sum("n").alias("n")).collect():
+        rest[r.ending] = r.n
+    np.subtract.at(rest, top.column("ending").to_numpy(), top.column("n").to_numpy())
     hashes = top.column("word").to_numpy().astype(np.int64).view(np.uint64)
     often = top.column("n").to_numpy().astype(np.float64)
     order = np.argsort(hashes)
     rng = np.random.default_rng(11)
     share = np.full(TOKENS, 0.5)
     share[: len(often)] += often
-    share[TOKENS - ENDINGS :] += max(0.0, total - often.sum()) / ENDINGS
+    share[TOKENS - ENDINGS :] += rest
     share = share.reshape(CLASSES, WITHIN)
     start = {name: np.zeros(shape) for name, shape in _SHAPES.items()}
     start["embed"] = rng.normal(0, 0.3, _SHAPES["embed"])
     start["w1"] = rng.normal(0, (2 * SIDE * EMBEDDING) ** -0.5, _SHAPES["w1"])
     start["wc"], start["ww"] = rng.normal(0, 0.01, _SHAPES["wc"]), rng.normal(0, 0.01, _SHAPES["ww"])
     start["bc"], start["bw"] = np.log(share.sum(1)) - np.log(share.sum()), np.log(share) - np.log(share.sum(1, keepdims=True))
-    net = Network(hashes[order], order.astype(np.int64), np.concatenate([start[n].ravel() for n in _SHAPES]).astype(np.float32))
+    net = Network(hashes[order], order.astype(np.int64), np.concatenate([start[n].ravel() for n in _SHAPES]).astype(np.float32), rest)
     for turn in range(ROUNDS):
         made = texts.mapInArrow(_train(texts.sparkSession.sparkContext.broadcast(net), turn), "chunk long, shard long, weight double, numbers binary")
         made = written(made, "weights")
@@ -221,43 +242,71 @@ def fit(texts: DataFrame) -> Network:
                 break
         rows = made.orderBy("chunk").toArrow()  # the weights once: _SIZE numbers
         if len(rows):
-            net = Network(net.vocabulary, net.token, np.concatenate([np.frombuffer(x.as_py(), np.float64) for x in rows.column("numbers")]).astype(np.float32))
-    return net
+            net = Network(net.vocabulary, net.token, np.concatenate([np.frombuffer(x.as_py(), np.float64) for x in rows.column("numbers")]).astype(np.float32), rest)
+    return net, counts.select("word", "n")
 
 
 def log_probabilities(net: Network, text: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of every word given its neighbours, and how many words each text has."""
+    """Of every word's token given its neighbours, and how many words each text has."""
     tokens, sizes = tokens_of(net, text, cuts)
+    return _predicted(net, tokens, sizes), sizes
+
+
+def _predicted(net: Network, tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     laid, place = windows(tokens, sizes)
     p = net.parts()
     out = [forward(p, laid[place[at : at + TOGETHER, None] + _OFFSETS], tokens[at : at + TOGETHER])[0] for at in range(0, len(tokens), TOGETHER)]
-    return np.concatenate([np.empty(0, np.float32), *out]), sizes
+    return np.concatenate([np.empty(0, np.float32), *out])
 
 
 def _score(shared):
+    """Of every text the log probability of its endings and tokens, less the log count of each ending's words; and the
+    words outside the vocabulary, with how often they occur in it: their own log counts are still to be added."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net: Network = shared.value
+        # a word that was never counted has the share of one that was counted once
+        less = np.log(np.maximum(net.rest, 1.0))
+        row = TaskContext.get().partitionId() << 33
         for batch, text, cuts in blocks(batches):
-            logp, sizes = log_probabilities(shared.value, text, cuts)
-            total = np.r_[0.0, np.cumsum(logp, dtype=np.float64)]
+            tokens, sizes, hashes = _tokens(net, text, cuts)
+            logp = _predicted(net, tokens, sizes).astype(np.float64)
+            rare = np.flatnonzero(tokens >= TOKENS - ENDINGS)
+            logp[rare] -= less[tokens[rare] - (TOKENS - ENDINGS)]
+            total = np.r_[0.0, np.cumsum(logp)]
             ends = np.cumsum(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(total[ends] - total[ends - sizes])], names=["doc_id", "n_tokens", "logp"])
+            doc, word = np.repeat(np.arange(len(sizes)), sizes)[rare], hashes[rare]
+            order = np.lexsort((word, doc))
+            doc, word = doc[order], word[order]
+            first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])][: len(doc)])
+            times = np.diff(np.r_[first, len(doc)])
+            at = pa.array(np.searchsorted(doc[first], np.arange(len(sizes) + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (word[first].view(np.int64), times.astype(np.int64))]
+            rows = pa.array(row + np.arange(len(sizes), dtype=np.int64))
+            row += len(sizes)
+            yield pa.RecordBatch.from_arrays([rows, batch.column(0), pa.array(sizes, pa.int64()), pa.array(total[ends] - total[ends - sizes]), *lists], names=["row", "doc_id", "n_tokens", "logp", "words", "times"])
 
     return run
 
 
-def score(docs: DataFrame, net: Network, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, net: Network, counts: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, pseudo_logp (summed, natural), pseudo_perplexity (null without words).
 
-    A null or empty text, or one of white space, has 0 tokens and a sum of 0; a null id stays null; repeated rows are
+    net and counts: from fit. A null or empty text, or one of white space, has 0 tokens and a sum of 0; a null id stays null; repeated rows are
     each returned; an empty table gives no rows; other columns are not read.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(net)), f"doc_id {kind}, n_tokens long, logp double")
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+    # written, so that the rows' numbers stay as they are whichever task is repeated
+    made = written(rows.mapInArrow(_score(shared), f"row long, doc_id {kind}, n_tokens long, logp double, words array<long>, times array<long>"), "token_scores")
+    each = made.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
+    own = each.join(counts, "word").select("row", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("long").alias("n_tokens"), (F.col("times") * F.log("n")).alias("logp"))
+    scored = made.select("row", "doc_id", "n_tokens", "logp").unionByName(own).groupBy("row").agg(F.any_value("doc_id", True).alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("logp").alias("logp"))
     mean = F.when(F.col("n_tokens") > 0, F.round(F.exp(-F.col("logp") / F.col("n_tokens")), 4))
     return scored.select("doc_id", "n_tokens", F.round("logp", 3).alias("pseudo_logp"), mean.alias("pseudo_perplexity"))
 
 
 def pseudo_likelihood(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The network fitted on docs' own texts, and every document's score by it."""
-    return score(docs, fit(docs.select(F.col(text).alias("text"))), doc_id, text)
+    return score(docs, *fit(docs.select(F.col(text).alias("text"))), doc_id, text)

@@ -3,6 +3,7 @@
 import math
 import random
 import zlib
+from collections import Counter
 from hashlib import sha256
 
 import numpy as np
@@ -138,6 +139,30 @@ def test_language_model_job(spark):
     assert pseudo_likelihood.pseudo_likelihood(docs.limit(0)).count() == 0
 
 
+def test_words_outside_the_vocabulary_have_their_own_probability(spark):
+    # 900 words of one ending, so that over 100 stand outside the vocabulary; two of them told apart only by themselves
+    common = " ".join(f"{i:04d}xyz" for i in range(900))
+    data = [(i, common) for i in range(6)] + [(6, "rareaxyz " * 3), (7, "0001xyz rareaxyz 0002xyz"), (8, "0001xyz rarebxyz 0002xyz"), (None, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    net, counts = pseudo_likelihood.fit(docs.select("text"))
+    got = {r.doc_id: r for r in pseudo_likelihood.score(docs, net, counts).collect()}
+    assert len(got) == len(data) and got[None].n_tokens == 0
+    # counted 4 times and once
+    assert math.isclose(got[7].pseudo_logp - got[8].pseudo_logp, math.log(4), abs_tol=2e-3)
+    seen = Counter(w for _, t in data for w in (t or "").split())
+    for i, text in data[6:9]:
+        cuts = np.array([0, len(text)])
+        logp, _ = pseudo_likelihood.log_probabilities(net, np.frombuffer(text.encode(), np.uint8), cuts)
+        tokens, _ = pseudo_likelihood.tokens_of(net, np.frombuffer(text.encode(), np.uint8), cuts)
+        every = " ".join(seen).encode()
+        kinds = dict(zip(seen, pseudo_likelihood.tokens_of(net, np.frombuffer(every, np.uint8), np.array([0, len(every)]))[0]))
+        want = sum(float(p) + (math.log(seen[w] / sum(n for v, n in seen.items() if kinds[v] == k)) if k >= pseudo_likelihood.TOKENS - pseudo_likelihood.ENDINGS else 0) for w, p, k in zip(text.split(), logp, tokens))
+        assert math.isclose(got[i].pseudo_logp, want, abs_tol=5e-3)
+    # a word that was never counted is as likely as one counted once
+    new = pseudo_likelihood.score(spark.createDataFrame([(1, "0001xyz newxyz 0002xyz")], "doc_id long, text string"), net, counts).first()
+    assert math.isclose(new.pseudo_logp, got[8].pseudo_logp, abs_tol=2e-3)
+
+
 # SentencePiece -------------------------------------------------------------------------------
 
 
