@@ -1,7 +1,7 @@
 """LM scoring by masked pseudo-likelihood: a small network predicts every word from the words on both its sides.
 
 Word counts over the whole corpus give the vocabulary and the output's starting bias. The network is trained in numpy
-on every partition's own documents, on a share of masked words that each round draws anew; after a round, the
+on every partition's own documents, each round on every word of them; after a round, the
 partitions' weights are averaged by their words. Every word of every document is then predicted, and a document's
 score is the sum of the log probabilities. A word outside the vocabulary has the probability of its ending times its
 own share of that ending's words, from the counts of all words.
@@ -26,8 +26,8 @@ CLASSES, WITHIN, ENDINGS = 32, 32, 256
 TOKENS = CLASSES * WITHIN
 #: Words on each side, size of an embedding, hidden units.
 SIDE, EMBEDDING, HIDDEN = 2, 16, 32
-#: Share of words that a round masks, rounds, step size, words a step.
-MASKED, ROUNDS, RATE, BATCH = 0.1, 2, 3e-3, 2048
+#: Rounds (each predicts every word once; a word is never in its own context), step size, words a step.
+ROUNDS, RATE, BATCH = 2, 3e-3, 2048
 #: Words scored at once; words whose counts are gathered before they are handed on; numbers in a row of weights.
 TOGETHER, FLUSH_WORDS, CHUNK = 8192, 2_000_000, 4096
 #: Weights averaged by one task at once.
@@ -176,12 +176,12 @@ def _train(shared, turn: int):
         for _, text, cuts in blocks(batches):
             tokens, sizes = tokens_of(trainer.net, text, cuts)
             laid, place = windows(tokens, sizes)
-            # by the word's place in the block and the block's own content, so a repeated task masks the same words
+            # the order of a block's words comes from its own content, so a repeated task takes them in the same order
             seed = int(tokens[:64].sum()) * 1_000_003 + len(tokens)
-            masked = place[np.random.default_rng([turn, seed]).random(len(place)) < MASKED]
-            contexts.append(laid[masked[:, None] + _OFFSETS])
-            targets.append(laid[masked])
-            n += len(masked)
+            place = np.random.default_rng([turn, seed]).permutation(place)
+            contexts.append(laid[place[:, None] + _OFFSETS])
+            targets.append(laid[place])
+            n += len(place)
             if n >= BATCH:
                 c, t = np.concatenate(contexts), np.concatenate(targets)
                 whole = n // BATCH * BATCH

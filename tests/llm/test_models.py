@@ -5,8 +5,10 @@ import random
 import zlib
 from collections import Counter
 from hashlib import sha256
+from unittest import mock
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from terralith.llm import embedding_dedup, kneser_ney, matroska, pseudo_likelihood, sentencepiece_viterbi
@@ -163,6 +165,16 @@ def test_words_outside_the_vocabulary_have_their_own_probability(spark):
     assert math.isclose(new.pseudo_logp, got[8].pseudo_logp, abs_tol=2e-3)
 
 
+def test_every_word_is_a_target_in_each_round():
+    texts = [" ".join(f"w{i}" for i in range(j, j + 700)) for j in range(0, 7000, 700)] + ["", None, "one"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    net = pseudo_likelihood.Network(np.empty(0, np.uint64), np.empty(0, np.int64), np.zeros(pseudo_likelihood._SIZE, np.float32))
+    for turn in range(pseudo_likelihood.ROUNDS):
+        with mock.patch.object(pseudo_likelihood.TaskContext, "get", lambda: mock.Mock(partitionId=lambda: 0)):
+            got = list(pseudo_likelihood._train(mock.Mock(value=net), turn)(iter([batch])))
+        assert {x.column(2)[0].as_py() for x in got} == {7001.0}
+
+
 # SentencePiece -------------------------------------------------------------------------------
 
 
