@@ -12,12 +12,11 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_width
 
-#: Beyond so many sources their rates are joined by shuffle, not broadcast. A rate row with its table of the
-#: distribution has under 500 terms (4 kB).
-BROADCAST_SOURCES = 5_000
-#: A mean above this is split into whole repetitions and a Poisson rest of this mean or up to 1 more: exp(-mean)
-#: must stay a normal number, and the table of the distribution (mean + 12 deviations + 20 terms) short.
-LARGEST_MEAN = 256.0
+#: Beyond so many sources, or terms of all their tables (8 bytes each), rates are joined by shuffle, not broadcast.
+BROADCAST_SOURCES, BROADCAST_TERMS = 5_000, 2_500_000
+#: Up to this mean the distribution is summed from exp(-mean), which must stay a normal number; above, from 12
+#: deviations and 20 terms below the mean, where less than 10**-20 is left out, and divided by the sum.
+LARGEST_START = 700.0
 
 
 def uniform(key: Column, seed: str) -> Column:
@@ -26,7 +25,8 @@ def uniform(key: Column, seed: str) -> Column:
 
 
 def source_rates(docs: DataFrame, weights: dict[str, float] | None, total: float | None, source: str) -> DataFrame:
-    """mix_source, n_rows, rate, whole, cdf: one row per source (null is a source of its own).
+    """mix_source, n_rows, rate, whole, cdf: one row per source (null is a source of its own). cdf[i] is the probability
+    of at most whole + i copies.
 
     weights: a source's share, relative to the others; sources that are not named get 0. None: equal shares.
     total: target rows in all; None: as many as the input has.
@@ -42,16 +42,20 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None, total: float
     sum_w, wanted = float(sums.w or 0.0), float(total if total is not None else sums.n or 0)
     rate = F.col("w") / F.lit(sum_w) * F.lit(wanted) / F.col("n_rows") if sum_w > 0 else F.lit(0.0)
     rates = counted.select("mix_source", "n_rows", rate.alias("rate"))
-    whole = F.when(F.col("rate") > LARGEST_MEAN, F.floor(F.col("rate") - LARGEST_MEAN)).otherwise(F.lit(0)).cast("int")
-    rates = rates.withColumn("whole", whole).withColumn("rest", F.col("rate") - F.col("whole"))
-    start = F.struct(F.exp(-F.col("rest")).alias("p"), F.array(F.exp(-F.col("rest"))).alias("cdf"))
+    far = 12 * F.sqrt("rate") + 20
+    whole = F.when(F.col("rate") > LARGEST_START, F.floor(F.col("rate") - far)).otherwise(F.lit(0)).cast("int")
+    rates = rates.withColumn("whole", whole)
+    p0 = F.when(F.col("whole") > 0, F.lit(1.0)).otherwise(F.exp(-F.col("rate")))
+    start = F.struct(p0.alias("p"), F.array(p0).alias("cdf"))
     # p(k) = p(k - 1) * mean / k; the running sum is the distribution
     grown = F.aggregate(
-        F.sequence(F.lit(1), F.ceil(F.col("rest") + 12 * F.sqrt("rest") + 20).cast("int")),
+        F.sequence(F.col("whole") + 1, F.ceil(F.col("rate") + far).cast("int")),
         start,
-        lambda acc, k: F.struct((acc["p"] * F.col("rest") / k).alias("p"), F.concat(acc["cdf"], F.array(F.element_at(acc["cdf"], -1) + acc["p"] * F.col("rest") / k)).alias("cdf")),
+        lambda acc, k: F.struct((acc["p"] * F.col("rate") / k).alias("p"), F.concat(acc["cdf"], F.array(F.element_at(acc["cdf"], -1) + acc["p"] * F.col("rate") / k)).alias("cdf")),
     )
-    return rates.select("mix_source", "n_rows", "rate", "whole", grown["cdf"].alias("cdf"))
+    rates = rates.select("mix_source", "n_rows", "rate", "whole", grown["cdf"].alias("cdf"))
+    most = F.element_at("cdf", -1)
+    return rates.withColumn("cdf", F.when(F.col("whole") > 0, F.transform("cdf", lambda c: c / most)).otherwise(F.col("cdf")))
 
 
 def poisson_mix(
@@ -68,7 +72,8 @@ def poisson_mix(
     docs = docs.drop("mix_copy")
     names = docs.columns
     rates = source_rates(docs, weights, total, source).select(*(F.col(c).alias(f"__mix_{c}") for c in ("mix_source", "whole", "cdf")))
-    few = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    size = rates.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("__mix_cdf")).alias("terms")).first()
+    few = size.n <= BROADCAST_SOURCES and (size.terms or 0) <= BROADCAST_TERMS
     joined = docs.join(F.broadcast(rates) if few else rates, F.col(source).eqNullSafe(F.col("__mix_mix_source")))
     key = F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))
     u = uniform(key, seed)

@@ -79,3 +79,19 @@ def test_mix_edges(spark):
     assert poisson_mix(df, {}).count() == 0
     order = [r.doc_id for r in poisson_mix(spark.range(2000).selectExpr("id AS doc_id", "'s' AS source")).collect()]
     assert order != sorted(order)
+
+
+def test_mix_draws_large_means(spark):
+    rows, mean = 60, 5000.0
+    df = spark.createDataFrame([(i, "small") for i in range(rows)], "doc_id long, source string")
+    got = poisson_mix(df, total=rows * mean, seed="large", shuffle=False).groupBy("doc_id").count().collect()
+    counts = {r.doc_id: r["count"] for r in got}
+    for i in range(rows):
+        u = int(hashlib.md5(f"large:{i}".encode()).hexdigest()[:13], 16) / 2**52
+        n = cdf = 0
+        while (cdf := cdf + math.exp(n * math.log(mean) - mean - math.lgamma(n + 1))) <= u:
+            n += 1
+        assert abs(counts[i] - n) <= 1  # one: where u stands at a step's very edge
+    middle = sum(counts.values()) / rows
+    spread = sum((n - middle) ** 2 for n in counts.values()) / (rows - 1)
+    assert 0.5 * mean < spread < 2 * mean and abs(middle - mean) < 5 * math.sqrt(mean / rows)
