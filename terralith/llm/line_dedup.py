@@ -58,11 +58,12 @@ def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES, doc_id: str =
     return sure.unionByName(exact.select("k1", "k2")), lines
 
 
-def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, most_cut: float = MOST_CUT, doc_id: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
+def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, most_cut: float | None = MOST_CUT, doc_id: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
     """docs' columns with boilerplate lines cut from the text, n_lines and n_cut after them.
 
     A line is cut if it stands on min_sites distinct sites or more, in every document, even of a null site, unless
-    such lines hold more than most_cut of the document's characters; that document stays whole. Other lines stay byte for byte, in order. A null text stays null with 0 lines; an empty text has one blank line; blank
+    such lines hold more than most_cut of the document's characters; that document stays whole. With most_cut None only
+    a document without any other line (blank ones aside) stays whole. Other lines stay byte for byte, in order. A null text stays null with 0 lines; an empty text has one blank line; blank
     lines are never cut; repeated rows are each returned; an empty table gives no rows. Columns of docs that are
     named n_lines or n_cut are replaced.
     """
@@ -77,7 +78,11 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, most_cut: float = MO
     kept = F.filter(lines_of(F.col(text)), lambda line, i: ~F.array_contains("__line_dedup_cut", i))
     n = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines_of(F.col(text)))).cast("long")
     rows = rows.withColumn("__line_dedup_kept", F.when(F.col("__line_dedup_cut").isNotNull(), kept)).withColumn("n_lines", n)
-    total = F.length(text) - F.col("n_lines") + 1
-    cuts = F.coalesce(total - F.length(F.array_join("__line_dedup_kept", "")) <= most_cut * total, F.lit(False))
+    if most_cut is None:
+        few = F.exists("__line_dedup_kept", lambda line: _normal(line) != "")
+    else:
+        total = F.length(text) - F.col("n_lines") + 1
+        few = total - F.length(F.array_join("__line_dedup_kept", "")) <= most_cut * total
+    cuts = F.coalesce(few, F.lit(False))
     shown = [F.when(cuts, F.array_join("__line_dedup_kept", "\n")).otherwise(F.col(text)).alias(c) if c == text else F.col(c) for c in names]
     return rows.select(*shown, "n_lines", F.when(cuts, F.size("__line_dedup_cut")).otherwise(0).cast("long").alias("n_cut"))

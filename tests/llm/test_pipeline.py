@@ -48,6 +48,29 @@ def test_stages(spark, tiny):
         before = after
 
 
+def test_boilerplate_goes_from_every_document(spark, tiny):
+    footer = ["All rights reserved, whatever the page says about it", "Sign in to read on", "Home | News | About"]
+    copy = "the whole copy\nstands on many sites"
+    data = [(i, "\n".join([footer[0], f"own {i}", *footer[1:]]), f"site{i % 6}") for i in range(30)]
+    data += [(100 + i, copy, f"site{i}") for i in range(7)] + [(200, f"{copy}\n  \n", "site1"), (201, None, "site1"), (202, "", None), (203, f"{footer[0]}\nown", None)]
+    made = spark.createDataFrame([(i, t, s, len(t or "")) for i, t, s in data], "doc_id long, text string, source string, n_chars long")
+    for docs in (made, spark.read.parquet(f"{tiny}/documents.parquet")):
+        norm = lambda s: re.sub(r"[\x20\x09-\x0D]+", " ", s).strip(" ")
+        old, sites = docs.collect(), {}
+        for r in old:
+            for x in (r.text or "").split("\n"):
+                sites.setdefault(norm(x), set()).update({r.source} - {None})
+        want = {}
+        for r in old:
+            kept = [x for x in (r.text or "").split("\n") if not norm(x) or len(sites[norm(x)]) < 5]
+            want[r.doc_id] = "\n".join(kept) if r.text and any(map(norm, kept)) else r.text
+        got = corpus_pipeline.lines(spark, docs, tiny).collect()
+        assert len(got) == len(old) and {r.doc_id: r.text for r in got} == want
+        assert all(r.n_chars == len(r.text or "") for r in got)
+        if docs is made:
+            assert want[3] == "own 3" and want[100] == copy and want[203] == "own"
+
+
 def test_registry():
     numbers = sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES)
     assert numbers == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
