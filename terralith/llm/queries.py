@@ -34,7 +34,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(table(spark, sf_dir, "documents"), min_sites=5, most_cut=0.5).select("doc_id", "n_lines", "n_cut", "text")
+    return line_dedup(table(spark, sf_dir, "documents"), min_sites=5).select("doc_id", "n_lines", "n_cut", "text")
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,11 +85,9 @@ line AS (
 wide AS (SELECT same FROM line WHERE same <> '' GROUP BY same HAVING count(DISTINCT source) >= 5),
 marked AS (SELECT l.*, w.same IS NOT NULL AS cut FROM line l LEFT JOIN wide w ON l.same = w.same),
 made AS (
-  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE cut) AS n_cut, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT cut) AS kept,
-    sum(length(line)) AS total, coalesce(sum(length(line)) FILTER (WHERE cut), 0) AS gone
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE cut) AS n_cut, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT cut) AS kept
   FROM marked GROUP BY doc_id)
-SELECT s.doc_id, CASE WHEN s.text IS NULL THEN 0 ELSE n_lines END AS n_lines, CASE WHEN n_cut > 0 AND gone <= 0.5 * total THEN n_cut ELSE 0 END AS n_cut,
-  CASE WHEN n_cut > 0 AND gone <= 0.5 * total THEN coalesce(kept, '') ELSE s.text END AS text
+SELECT s.doc_id, CASE WHEN s.text IS NULL THEN 0 ELSE n_lines END AS n_lines, n_cut, CASE WHEN n_cut > 0 THEN coalesce(kept, '') ELSE s.text END AS text
 FROM split s JOIN made USING (doc_id)
 """,
     "op8_embedding_near_dedup": """

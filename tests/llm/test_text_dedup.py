@@ -5,7 +5,12 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
+from terralith.llm import components as components_module
+from terralith.llm import line_dedup as line_module
+from terralith.llm import minhash
+from terralith.llm.common import written
 from terralith.llm.components import components
 from terralith.llm.line_dedup import line_dedup
 from terralith.llm.minhash import band_count, drop_near_duplicates, most_odd_bits, near_duplicates
@@ -118,7 +123,47 @@ def test_members_far_from_their_lead_are_still_decided(spark):
     assert len(set(got.values())) < 8
 
 
+@pytest.mark.parametrize("edits", [(1, 4), (5, 6)])
+def test_a_large_group_makes_rows_in_proportion(spark, monkeypatch, edits):
+    """Near copies above and below the threshold: twice the copies make at most about twice the rows in every table."""
+    made = {}
+    for size in (200, 400):
+        rng = random.Random(3)
+        base = [f"w{rng.randrange(400)}" for _ in range(150)]
+        data = []
+        for i in range(size):
+            t = list(base)
+            for _ in range(rng.randint(*edits)):
+                t[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+            data.append((i, " ".join(t)))
+        made[size] = defaultdict(int)
+
+        def counted(df, name, own=made[size]):
+            out = written(df, name)
+            own[name] = max(own[name], out.count())
+            return out
+
+        monkeypatch.setattr(minhash, "written", counted)
+        monkeypatch.setattr(components_module, "written", counted)
+        got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), 3, 85).collect()}
+        if size == 200:
+            want = near_by_force([(*r, None) for r in data], 3, 85)
+            assert got == {i: c for i, (_, c) in want.items()}
+        assert (len(set(got.values())) < size / 2) == (edits[0] == 1)
+    assert sum(made[400].values()) <= 2.5 * sum(made[200].values()), made
+    for name, n in made[400].items():
+        assert n <= band_count(0.85) * 400, name
+
+
+def test_overlaps():
+    rng = np.random.default_rng(5)
+    x, y = ([np.unique(rng.integers(0, 3000, rng.integers(0, 90))) for _ in range(m)] for m in (17, 23))
+    assert (minhash._overlaps(x, y) == [[len(np.intersect1d(a, b)) for b in y] for a in x]).all()
+    assert minhash._overlaps(x, [np.empty(0, np.int64)]).sum() == 0
+
+
 def test_odd_sketch_bounds():
+    assert [minhash.band_rows(n) for n in (0, 1000, 10**6, 10**7, 10**10)] == [4, 4, 4, 5, 8]
     assert band_count(0.85) >= 20
     assert 0 < most_odd_bits(0.85, 88) < 256
 
@@ -131,7 +176,7 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_line_dedup(spark):
+def test_line_dedup(spark, monkeypatch):
     rng = random.Random(4)
     common = ["All rights  reserved.", "Sign in\tto read", "  footer  "]
     data = []
@@ -151,9 +196,7 @@ def test_line_dedup(spark):
     for i, t, *_ in data:
         lines = (t or "").split("\n")
         kept = [x for x in lines if not norm(x) or len(sites[norm(x)]) < 5]
-        total, left = sum(map(len, lines)), sum(map(len, kept))
-        cut = len(kept) < len(lines) and total - left <= 0.5 * total
-        want.append((i, None if t is None else "\n".join(kept) if cut else t, 0 if t is None else len(lines), len(lines) - len(kept) if cut else 0))
+        want.append((i, None if t is None else "\n".join(kept), 0 if t is None else len(lines), len(lines) - len(kept)))
     df = spark.createDataFrame(data, SCHEMA)
     got = line_dedup(df)
     assert got.columns == [*df.columns, "n_lines", "n_cut"]
@@ -161,3 +204,16 @@ def test_line_dedup(spark):
     assert sorted(((r.doc_id, r.text, r.n_lines, r.n_cut) for r in got.collect()), key=key) == sorted(want, key=key)
     assert sum(w[3] for w in want) > 30
     assert line_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
+    # documents of nothing but boilerplate stay whole on demand; the shuffle join cuts the same lines as the broadcast
+    monkeypatch.setattr(line_module, "BROADCAST_LINES", 0)
+    whole = {r.doc_id: (r.text, r.n_cut) for r in line_dedup(df, keep_whole=True).collect()}
+    for i, t, _, n in want:
+        own = any(norm(x) for x in (t or "").split("\n"))
+        assert whole[i] == ((t, n) if own else (next(r[1] for r in data if r[0] == i), 0))
+
+
+def test_line_dedup_of_a_document_with_very_many_lines(spark):
+    text = "\n".join(f"own {i}" if i % 3 else "Subscribe" for i in range(60_000))
+    data = [(1, text, "a")] + [(i, "Subscribe", f"s{i}") for i in range(2, 9)]
+    got = {r.doc_id: (r.text, r.n_cut) for r in line_dedup(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()}
+    assert got[1] == ("\n".join(f"own {i}" for i in range(60_000) if i % 3), 20_000) and got[2] == ("", 1)
