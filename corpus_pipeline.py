@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without boilerplate lines; n_chars follows the text. Documents of nothing else are copies that stand on
     many sites: they stay whole, and the next stage keeps one of them."""
-    cut = line_dedup(docs, min_sites=5, most_cut=None)
+    cut = line_dedup(docs, min_sites=5, keep_whole=True)
     kind = docs.schema["n_chars"].dataType
     return cut.withColumn("n_chars", F.when(F.col("n_cut") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars"))).select(*docs.columns)
 
