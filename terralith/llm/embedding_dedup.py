@@ -122,7 +122,9 @@ def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.93, vec_id: st
     good = F.col("e").isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull() & finite & F.exists("e", lambda v: v != 0)
     # -0.0 and 0.0 are the same number, but not the same key
     rows = rows.withColumn("e", F.when(good, F.transform("e", lambda v: v + F.lit(0.0))))
-    classes = written(rows.where("e IS NOT NULL").groupBy("label", "e").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")).select("rep", "copies", "label", F.size("e").alias("dim"), "e"), "vector_classes")
+    classes = rows.where("e IS NOT NULL").groupBy("label", "e").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    # one id may stand for several vectors; classes have numbers of their own, fixed by being written
+    classes = written(classes.select(F.monotonically_increasing_id().alias("rep"), "least", "copies", "label", F.size("e").alias("dim"), "e"), "vector_classes")
 
     sizes = {(r.label, r.dim): r["n"] for r in classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(1).collect()}
     cells = min(MOST_CELLS, max(1, math.ceil(max(sizes.values(), default=0) / CELL)))
@@ -136,7 +138,7 @@ def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.93, vec_id: st
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
 
     label_type = classes.schema["label"].dataType.simpleString()
-    shown = written(classes.mapInArrow(_cells(centroids, threshold), f"rep long, copies long, label {label_type}, dim int, cell int, home boolean, unit binary"), "cells")
+    shown = written(classes.drop("least").mapInArrow(_cells(centroids, threshold), f"rep long, copies long, label {label_type}, dim int, cell int, home boolean, unit binary"), "cells")
     where = ["label", "dim", "cell"]
     blocks = shown.groupBy(*where).agg(F.ceil(F.count_if("home") / BLOCK).cast("int").alias("na"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb")).where("na > 0")
     dealt = shown.join(blocks, where).withColumn("h", F.xxhash64("rep", F.lit(11)))
@@ -147,8 +149,9 @@ def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.93, vec_id: st
 
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    of_class = classes.select("label", "e", "rep", "copies").join(links, "rep", "left").join(joined.withColumnRenamed("id", "rep"), "rep", "left")
-    of_class = of_class.select("label", "e", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    of_class = classes.drop("dim").join(links, "rep", "left").join(joined.withColumnRenamed("id", "rep"), "rep", "left").withColumn("k", F.coalesce("component", "rep"))
+    of_class = of_class.join(of_class.groupBy("k").agg(F.min("least").alias("component_id")), "k")
+    of_class = of_class.select("label", "e", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     good_rows = rows.where("e IS NOT NULL").join(of_class, ["label", "e"]).select("vec_id", "n_links", "component_id")
     bad_rows = rows.where("e IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return good_rows.unionByName(bad_rows).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
