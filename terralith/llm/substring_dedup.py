@@ -2,8 +2,9 @@
 
 A window is removed where an earlier document (a smaller id) has it too. Hashes travel packed: each map task drops
 what it can already decide (a window repeated within the task's own documents), and sends the rest once per window
-and document, in runs of windows that follow each other. A run's bucket is the least hash of three words within the
-window, which equal windows share and neighbours mostly share too; so the shuffle carries about 8 bytes a window.
+and document, in runs of windows that follow each other and share an anchor, the least hash of eight words within the
+window. Equal windows share it and neighbours mostly share it too; it gives the run's bucket and is compared beside the
+window's own hash, so equality rests on 128 bits while the shuffle carries about 8 bytes a window.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ WINDOW = 50
 FLUSH_WORDS = 1_500_000
 #: Buckets for each shuffle partition: enough that partitions are even, few enough that a row is worth its overhead.
 BUCKETS_PER_PARTITION = 8
-_ANCHOR = 3
-_PACKED = "bucket int, ids binary, keys binary, starts binary, sizes binary, hashes binary"
+#: Words of an anchor: so many that no frequent phrase draws many windows into one bucket.
+_ANCHOR = 8
+_PACKED = "bucket int, ids binary, keys binary, starts binary, sizes binary, anchors binary, hashes binary"
+_ANCHOR_BASE = np.uint64(0xA24BAED4963EE407)  # another one than the windows' own
 _HITS = "sub_id long, sub_key long, runs binary"
 
 
@@ -40,7 +43,7 @@ def window_hashes(text: np.ndarray, cuts: np.ndarray, k: int) -> tuple[np.ndarra
 
 def _anchors(hashes: np.ndarray, k: int) -> np.ndarray:
     """The least hash of _ANCHOR consecutive words in each window of k, by doubling."""
-    small = rolling(hashes, min(_ANCHOR, k))
+    small = rolling(hashes, min(_ANCHOR, k), _ANCHOR_BASE)
     width = k - min(_ANCHOR, k) + 1
     have, least = 1, small
     while have < width:
@@ -61,6 +64,13 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _changes(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Whether any key differs from the one before."""
+    new = np.ones(len(sorted_keys[0]), bool)
+    new[1:] = np.any([key[1:] != key[:-1] for key in sorted_keys], axis=0)
+    return new
+
+
 def _pack(k: int, n_buckets: int):
     """Documents to packed runs of window hashes; bucket < 0 holds the windows that are already decided."""
 
@@ -71,23 +81,22 @@ def _pack(k: int, n_buckets: int):
         hashes = np.concatenate([x[2] for x in held])
         doc = np.concatenate([x[3] + at for x, at in zip(held, doc_from)])
         start = np.concatenate([x[4] for x in held])
-        bucket = np.concatenate([x[5] for x in held])
+        anchor = np.concatenate([x[5] for x in held])
         held.clear()
         if not len(hashes):
             return
         by_id = np.argsort(ids, kind="stable")
         rank = np.empty(len(ids), np.int64)
         rank[by_id] = np.arange(len(ids))
-        order = np.lexsort((start, rank[doc], hashes))
+        order = np.lexsort((start, rank[doc], anchor, hashes))
         h, d = hashes[order], doc[order]
-        new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
+        new = _changes(h, anchor[order])
         least = ids[d[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]]  # the least id with this window here
         later = ids[d] > least
         repeat = ~new & ~later
         repeat[1:] &= d[1:] == d[:-1]  # the same window again in the same document: its first place stands for it
         decided, sent = np.sort(order[later]), np.sort(order[~later & ~repeat])
-        rows: dict[str, list] = {c: [] for c in ("bucket", "ids", "keys", "starts", "sizes", "hashes")}
+        rows: dict[str, list] = {c: [] for c in ("bucket", "ids", "keys", "starts", "sizes", "anchors", "hashes")}
 
         def add(b: int, which: np.ndarray, heads: np.ndarray, ends: np.ndarray, with_hashes: bool) -> None:
             rows["bucket"].append(b)
@@ -95,6 +104,7 @@ def _pack(k: int, n_buckets: int):
             rows["keys"].append(keys[doc[which[heads]]].tobytes())
             rows["starts"].append(start[which[heads]].astype(np.int32).tobytes())
             rows["sizes"].append((ends - heads).astype(np.int32).tobytes())
+            rows["anchors"].append(anchor[which[heads]].tobytes() if with_hashes else b"")
             rows["hashes"].append(hashes[np.concatenate([which[a:b] for a, b in zip(heads, ends)])].tobytes() if with_hashes and len(heads) else b"")
 
         if len(decided):
@@ -103,15 +113,15 @@ def _pack(k: int, n_buckets: int):
             for at in range(0, len(heads), 4096):  # any bucket will do
                 add(-1 - int(mix(ids[doc[decided[heads[at : at + 1]]]].astype(np.uint64))[0] % np.uint64(n_buckets)), decided, heads[at : at + 4096], ends[at : at + 4096], False)
         if len(sent):
-            heads = _runs(doc[sent], bucket[sent], start[sent])
+            heads = _runs(doc[sent], anchor[sent], start[sent])
             ends = np.r_[heads[1:], len(sent)]
-            own = bucket[sent[heads]]
+            own = (mix(anchor[sent[heads]]) % np.uint64(n_buckets)).astype(np.int32)
             by = np.argsort(own, kind="stable")
             cut = np.flatnonzero(np.r_[True, own[by][1:] != own[by][:-1]])
             for a, b in zip(cut, np.r_[cut[1:], len(by)]):
                 add(int(own[by[a]]), sent, heads[by[a:b]], ends[by[a:b]], True)
         for at in range(0, len(rows["bucket"]), 256):
-            kinds = [pa.int32(), *[pa.binary()] * 5]
+            kinds = [pa.int32(), *[pa.binary()] * 6]
             yield pa.RecordBatch.from_arrays([pa.array(v[at : at + 256], t) for v, t in zip(rows.values(), kinds)], names=list(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,8 +132,7 @@ def _pack(k: int, n_buckets: int):
             h, doc, start, at, hashes = window_hashes(text, cuts, k)
             if not len(h):
                 continue
-            bucket = (mix(_anchors(hashes, k)[at]) % np.uint64(n_buckets)).astype(np.int32)
-            held.append((ids, keys, h, doc, start, bucket))
+            held.append((ids, keys, h, doc, start, _anchors(hashes, k)[at]))
             n += len(h)
             if n >= FLUSH_WORDS:
                 yield from flush(held)
@@ -136,16 +145,16 @@ def _pack(k: int, n_buckets: int):
 
 def _decide(table: pa.Table) -> pa.Table:
     """All packed rows of one bucket: the windows of which a document with a smaller id has the same."""
-    col = {c: [x.as_py() for x in table.column(c)] for c in ("ids", "keys", "starts", "sizes", "hashes")}
+    col = {c: [x.as_py() for x in table.column(c)] for c in ("ids", "keys", "starts", "sizes", "anchors", "hashes")}
     both = lambda c, kind: np.frombuffer(b"".join(col[c]), kind)
     ids, keys, starts, sizes, hashes = both("ids", np.int64), both("keys", np.int64), both("starts", np.int32), both("sizes", np.int32), both("hashes", np.uint64)
     if len(hashes):
         run = np.repeat(np.arange(len(ids)), sizes)
+        anchor = both("anchors", np.uint64)[run]
         place = starts[run] + np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        order = np.lexsort((ids[run], hashes))
+        order = np.lexsort((ids[run], anchor, hashes))
         h = hashes[order]
-        new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
+        new = _changes(h, anchor[order])
         least = ids[run[order]][np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
         hit = np.sort(order[ids[run[order]] > least])
         ids, keys, place = ids[run[hit]], keys[run[hit]], place[hit].astype(np.int64)
@@ -217,8 +226,8 @@ def substring_dedup(docs: DataFrame, k: int = WINDOW, doc_id: str = "doc_id", te
     Removes each word covered by a window of k words that also starts in a document with a smaller id. Windows are
     judged on the input. A null text has no words; a text shorter than k words is kept whole; a row with a null id
     is kept whole and stands against no other; rows of one id never stand against each other; an empty table gives
-    no rows; other columns are not read. Words are compared by 64-bit hashes of the window: of n distinct windows,
-    about n * n / 2**65 pairs are taken for equal by chance.
+    no rows; other columns are not read. Windows are compared by 64-bit hashes of the window and of its anchor: of n
+    distinct windows with one anchor about n * n / 2**65 pairs are taken for equal by chance, of n others n * n / 2**129.
     """
     hits = repeated_windows(docs, k, doc_id, text).groupBy("sub_id", "sub_key").agg(F.collect_list("runs").alias("__sub_runs"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), row_key(doc_id, text).alias("sub_key"))
