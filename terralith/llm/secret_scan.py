@@ -2,7 +2,7 @@
 
 Multipart credential linking: access identifiers, secrets and endpoints of one scope (SCOPE code points of one
 document) are interval-joined by their start; a weak candidate is reported only when a part of a complementary
-role stands in its scope.
+role stands in its scope and one of the two is a secret.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 #: Weak parts: too short or too common to be reported alone.
 WEAK_ACCESS = r"(?i:\b(?:client_?id|user(?:name)?|login|account)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{3,})"
 ENDPOINT = r"(?i:\b(?:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\x00-\x20\"'<>]{4,})"
+#: Matches of one text whose starts are summed together.
+TOGETHER = 256
 #: Code points between the starts of two parts of one credential.
 SCOPE = 200
 KINDS = ("assign", "access", "hex", "weak_assign", "weak_access", "endpoint")
@@ -29,24 +31,44 @@ ROLES = {"assign": "secret", "hex": "secret", "weak_assign": "secret", "access":
 WEAK = ("weak_assign", "weak_access", "endpoint")
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def spans(text: Column, pattern: str, kinds: Column | str) -> Column:
     """array<struct<kind, start, stop, value>> of the leftmost non-overlapping matches, in code points.
 
-    kinds: a kind, or a function of the match's text that gives one (null: the match is dropped).
+    kinds: a function of the match's text that gives a kind (null: the match is dropped). Starts are running sums of
+    the lengths, taken in blocks of TOGETHER matches and then over the blocks, so the work grows with the matches.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,stop:int,value:string>>").alias("out"))
+    kind = "array<struct<kind:string,start:int,stop:int,value:string>>"
+    empty = F.array().cast(kind)
+    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("hit")))
 
     def step(acc: Column, pair: Column) -> Column:
-        begin = acc["at"] + F.length(pair["gap"])
+        begin = acc["at"] + pair["gap"]
         stop = begin + F.length(pair["hit"])
         one = F.struct(kinds(pair["hit"]).alias("kind"), begin.alias("start"), stop.alias("stop"), pair["hit"].alias("value"))
         return F.struct(stop.alias("at"), F.when(one["kind"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(one))).alias("out"))
 
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    empty = F.array().cast("array<struct<kind:string,start:int,stop:int,value:string>>")
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step)["out"]).otherwise(empty)
+    def in_blocks(p: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(p), F.lit(TOGETHER))
+        return F.transform(starts, lambda first: F.aggregate(F.slice(p, first, F.lit(TOGETHER)), F.struct(F.lit(0).alias("at"), empty.alias("out")), step))
+
+    def laid(blocks: Column) -> Column:
+        before = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, block: F.concat(acc, F.array(F.element_at(acc, -1) + block["at"])))
+        moved = lambda block, at: F.transform(block["out"], lambda s: F.struct(s["kind"].alias("kind"), (s["start"] + at).alias("start"), (s["stop"] + at).alias("stop"), s["value"].alias("value")))
+        return F.flatten(F.zip_with(blocks, F.slice(before, F.lit(1), F.size(blocks)), moved))
+
+    return F.when(text.rlike(pattern), bound(bound(pairs, in_blocks), laid)).otherwise(empty)
+
+
+def scan_key(doc_id: str, text: str) -> Column:
+    """Names a row by its id and a hash of its content: rows of different ids never meet, whatever their hashes."""
+    return F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), row_key(doc_id, text).cast("string"))
 
 
 def parts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -69,7 +91,7 @@ def parts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         spans(t, WEAK_ACCESS, lambda hit: F.lit("weak_access")),
         spans(t, ENDPOINT, lambda hit: F.lit("endpoint")),
     )
-    return docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("scan_key"), found.alias("found"))
+    return docs.select(F.col(doc_id).alias("doc_id"), scan_key(doc_id, text).alias("scan_key"), found.alias("found"))
 
 
 def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -88,7 +110,9 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     ends = ends.select("scan_key", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"), F.col("role").alias("with"), "first", "last")
     near = (F.col("first") - F.col("start") <= scope) & (F.col("start") - F.col("last") <= scope) & ((F.abs(F.col("first") - F.col("start")) <= scope) | (F.abs(F.col("last") - F.col("start")) <= scope))
     weak = one.where(F.col("kind").isin(*WEAK))
-    met = weak.join(ends, ["scan_key", "bin"]).where((F.col("with") != F.col("role")) & near)
+    # two parts make a credential only if one of them is a secret
+    complete = (F.col("with") != F.col("role")) & ((F.col("with") == "secret") | (F.col("role") == "secret"))
+    met = weak.join(ends, ["scan_key", "bin"]).where(complete & near)
     met = met.groupBy("scan_key", "kind", "start").agg(F.array_sort(F.collect_set("with")).alias("partners"))
     out = one.join(met, ["scan_key", "kind", "start"], "left").where(~F.col("kind").isin(*WEAK) | F.col("partners").isNotNull())
     return out.select("doc_id", "scan_key", "kind", "start", "stop", "value", F.coalesce("partners", F.array().cast("array<string>")).alias("partners"))
@@ -99,7 +123,7 @@ def secret_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sco
 
     Strong kinds (assign, access, hex) are always reported. Weak ones (weak_assign: a short assigned value;
     weak_access: a short key identifier or a login name; endpoint) are reported when a part of another role starts
-    within `scope` code points in the same text. A null or empty text has no spans; a null id stays null; rows that
+    within `scope` code points in the same text; an identifier or endpoint needs a secret there. A null or empty text has no spans; a null id stays null; rows that
     repeat are each reported; an empty table gives no rows; other columns of docs are not read.
     """
     return linked(written(parts(docs, doc_id, text).where("size(found) > 0"), "secret_parts"), scope).drop("scan_key")
