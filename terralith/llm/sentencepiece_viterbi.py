@@ -11,6 +11,8 @@ model's own library returns.
 
 from __future__ import annotations
 
+import heapq
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,6 +32,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Words advanced together, and words whose ids a task remembers before it starts anew.
 TOGETHER, REMEMBERED = 20_000, 300_000
+#: A word with more characters is encoded alone, character by character: no other word advances with it.
+LONG = 512
 #: Text encoded at once: the more words advance together, the less each costs.
 TEXT_BYTES = 4 << 20
 #: Size of the table that tells quickly which hashes are no piece's.
@@ -255,6 +259,50 @@ def _alone(p: Pieces, i: np.ndarray) -> np.ndarray:
     return ok
 
 
+def _long_word(p: Pieces, word: str) -> bytes:
+    """The ids of one long word, in time linear in its length but for a logarithm."""
+    n = len(word)
+    piece, take = np.full(n + 1, -1, np.int64), np.zeros(n + 1, np.int64)
+    if p.unigram:
+        best = [0.0] + [-math.inf] * n
+        for end in range(1, n + 1):
+            for size in range(1, min(end, p.longest) + 1):
+                i = p.lookup.get(word[end - size : end])
+                if i is None and size > 1:
+                    continue
+                value = best[end - size] + (p.least if i is None else float(p.scores[i]))
+                if value >= best[end]:  # of equals the longest
+                    best[end], piece[end], take[end] = value, p.unknown if i is None else i, size
+    else:
+        size, after, before = [1] * n, list(range(1, n + 1)), list(range(-1, n - 1))  # by first character; size 0: merged away
+        heap: list[tuple[float, int, int]] = []
+
+        def offer(at: int) -> None:
+            if at >= 0 and after[at] < n:
+                both = size[at] + size[after[at]]
+                i = p.lookup.get(word[at : at + both])
+                if i is not None:
+                    heapq.heappush(heap, (-float(p.scores[i]), at, both))
+
+        for at in range(n):
+            offer(at)
+        while heap:
+            _, at, both = heapq.heappop(heap)
+            other = after[at]
+            if not size[at] or other >= n or size[at] + size[other] != both:
+                continue  # one of the two has merged since
+            size[at], size[other], after[at] = both, 0, after[other]
+            if after[at] < n:
+                before[after[at]] = at
+            offer(before[at])
+            offer(at)
+        for at in range(n):
+            if size[at]:
+                i = p.lookup.get(word[at : at + size[at]])
+                piece[at + size[at]], take[at + size[at]] = p.unknown if i is None else i, size[at]
+    return _with_fallback(p, np.array([ord(c) for c in word], np.uint64), piece, take)
+
+
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -271,6 +319,9 @@ def encode(p: Pieces, texts: list[str]) -> list[np.ndarray]:
     for word in set(chain.from_iterable(split)) - p.memory.keys():
         new.setdefault(len(word), []).append(word)
     for length, words in new.items():
+        if length > LONG:
+            p.memory.update((w, _long_word(p, w)) for w in words)
+            continue
         step = max(1, min(TOGETHER, (1 << 21) // length))
         for at in range(0, len(words), step):
             some = words[at : at + step]
