@@ -191,6 +191,22 @@ def test_ids_equal_the_librarys(spark):
     assert [sentencepiece_viterbi.decode(p, i) for i in ids] == library.decode([i.tolist() for i in ids])
 
 
+def test_long_words():
+    spm = pytest.importorskip("sentencepiece")
+    library = spm.SentencePieceProcessor(model_file=sentencepiece_viterbi.MODEL)
+    p = sentencepiece_viterbi.load(sentencepiece_viterbi.MODEL)
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("etaoinshr", "ab", "日本語é🙂abc", "a") for n in (513, 700, 3000)]
+    texts += [f"start {texts[0]} {texts[6]}  end", "".join(rng.choice("the and of ing".split()) for _ in range(20_000))]
+    for text, ids in zip(texts, sentencepiece_viterbi.encode(p, texts)):
+        assert ids.tolist() == library.encode(text)
+    for unigram in (False, True):  # the long way and the batched one agree
+        p.unigram = unigram
+        for word in ("tion" * 30, "xyz\u2603the" * 9, "▁Information" * 4):
+            points = np.array([[ord(c) for c in word]], np.uint64)
+            assert sentencepiece_viterbi._long_word(p, word) == sentencepiece_viterbi._viterbi(p, points)[0]
+
+
 def test_unigram_viterbi_is_the_best_path():
     p = sentencepiece_viterbi.load(sentencepiece_viterbi.MODEL)
     p.unigram = True
@@ -251,6 +267,12 @@ def test_embedding_links_are_exact(spark, monkeypatch):  # both numbers are read
     assert embedding_dedup.embedding_near_dedup(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_repeated_ids(spark):
+    data = [(1, [1.0, 0.0], "a"), (1, [0.0, 1.0], "b"), (2, [1.0, 0.01], "a"), (3, [0.01, 1.0], "b"), (4, [1.0, 1.0], "c"), (4, [1.0, 1.01], "c")]
+    got = embedding_dedup.embedding_near_dedup(spark.createDataFrame(data, "vec_id long, embedding array<double>, label string")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 1, 4, True), (4, 1, 4, True)]
+
+
 # Media ---------------------------------------------------------------------------------------
 
 

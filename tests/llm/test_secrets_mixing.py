@@ -40,11 +40,19 @@ def test_base_spans_and_linked_parts(spark):
     assert by[4].spans == "" and by[1].spans == ""  # too far apart; alone
     assert "weak_access" in by[5].spans and "weak_assign" in by[5].spans
     spans = secret_scan(df.where("doc_id = 3")).collect()
-    assert {tuple(r.partners) for r in spans} == {("endpoint", "secret"), ("endpoint", "identifier"), ("identifier", "secret")}
+    assert {r.kind: tuple(r.partners) for r in spans} == {"weak_access": ("secret",), "weak_assign": ("endpoint", "identifier"), "endpoint": ("secret",)}
+    assert secret_scan(spark.createDataFrame([(1, "user: alice https://db.example.org/x")], "doc_id long, text string")).count() == 0  # no secret
     assert all(TEXTS[3][r.start : r.stop] == r.value for r in spans)
     assert secret_digest(df.limit(0)).count() == 0 and secret_scan(df.limit(0)).count() == 0
 
 
+def test_very_many_matches_of_one_text(spark):
+    text = "x".join(f"{i:016x}" for i in range(30_000)) + " user: bob token = short " + "g".join(f"{i:08x}" for i in range(3000))
+    (r,) = secret_digest(spark.createDataFrame([(7, text)], "doc_id long, text string")).collect()
+    counts, sha = base(text)
+    assert r.n_hex == counts["hex"] == 30_000 and r.base_sha256 == sha and r.n_linked == 2
+
+
 def drawn(seed, key, rate):
     u = int(hashlib.md5(f"{seed}:{key}".encode()).hexdigest()[:13], 16) / 2**52
     p = cdf = math.exp(-rate)
