@@ -19,38 +19,63 @@ TABLE = "/root/testdata/sf0.01"
 # Kneser-Ney ---------------------------------------------------------------------------------
 
 
-def test_kneser_ney_probabilities_add_up_and_match_brute_force(spark):
-    text = "abracadabra abba cab"
-    docs = spark.createDataFrame([(1, text, "xx")], "doc_id long, text string, lang string")
-    model = kneser_ney.fit(docs, spark.createDataFrame([(1,)], "doc_id long"), order=2)
-    a = kneser_ney.ALPHABET
-    p = np.exp(model.logp[""].astype(float)).reshape(a, a)
-    ids = [0, *model.symbols[""][[ord(c) for c in text]]]
-    seen = sorted(set(ids[:-1]))
-    assert np.allclose(p[seen].sum(1), 1, atol=1e-4)
-    # bigram counts, continuation counts, discounts by counts of counts
-    count = {}
-    for g in zip(ids, ids[1:]):
-        count[g] = count.get(g, 0) + 1
-    cont = {}
-    for _, w in count:
-        cont[w] = cont.get(w, 0) + 1
-
-    def discounts(values):
-        n = {i: sum(v == i for v in values) for i in (1, 2, 3, 4)}
+def kneser_ney_by_force(texts, order, letters):
+    """p(character | the order - 1 characters before it), by the definition, from lists and dictionaries."""
+    edge = "\0"
+    grams = {k: Counter() for k in range(1, order + 1)}
+    for t in texts:
+        laid = edge * (order - 1) + t
+        grams[order].update(laid[i : i + order] for i in range(len(t)))
+    for k in range(order - 1, 0, -1):  # how many longer n-grams end so
+        grams[k].update(g[1:] for g in grams[k + 1])
+    cuts = {}
+    for k, count in grams.items():
+        n = Counter(count.values())
         y = n[1] / (n[1] + 2 * n[2]) if n[1] + 2 * n[2] else None
-        return {i: min(max(0.5 if y is None or not n[i] else i - (i + 1) * y * n[i + 1] / n[i], 0.1), i) for i in (1, 2, 3)}
-
-    d2, d1 = discounts(count.values()), discounts(cont.values())
-    low = {w: (cont[w] - d1[min(cont[w], 3)]) / sum(cont.values()) for w in cont}
-    rest = sum(d1[min(c, 3)] for c in cont.values()) / sum(cont.values())
-    for x in seen:
-        total = sum(c for (b, _), c in count.items() if b == x)
-        gamma = sum(d2[min(c, 3)] for (b, _), c in count.items() if b == x) / total
-        for w in cont:
-            c = count.get((x, w), 0)
-            want = max(c - d2.get(min(c, 3), 0), 0) / total + gamma * (low[w] + rest / (a - 1))
-            assert math.isclose(p[x, w], want, rel_tol=1e-4)
+        cuts[k] = {i: min(max(0.5 if y is None or not n[i] else i - (i + 1) * y * n[i + 1] / n[i], 0.1), i) for i in (1, 2, 3)}
+
+    def p(gram):
+        k = len(gram)
+        if not k:
+            return 1 / letters
+        own = {g: n for g, n in grams[k].items() if g[:-1] == gram[:-1]}
+        low = p(gram[1:])
+        if not own:
+            return low
+        total = sum(own.values())
+        alpha = (own[gram] - cuts[k][min(own[gram], 3)]) / total if gram in own else 0
+        return alpha + sum(cuts[k][min(n, 3)] for n in own.values()) / total * low
+
+    return lambda text: sum(math.log(p((edge * (order - 1) + text)[i : i + order])) for i in range(len(text)))
+
+
+@pytest.mark.parametrize("order", [2, 4])
+def test_kneser_ney_matches_brute_force(spark, monkeypatch, order):
+    trusted = ["abracadabra abba cab", "日本語の文と 🙂 a cab", "abba"]
+    others = ["abrabab", "語の語 zq", "", None, "🙂" * 5, "cab " * 400]
+    docs = spark.createDataFrame([(i, t, "xx") for i, t in enumerate(trusted + others)], "doc_id long, text string, lang string")
+    model = kneser_ney.fit(docs, spark.createDataFrame([(0,), (1,), (2,)], "doc_id long"), order=order)
+    fitted = {r[0] for r in kneser_ney.fitted_ids(spark.createDataFrame([(0,), (1,), (2,)], "doc_id long")).collect()}
+    seen = [t for i, t in enumerate(trusted) if i in fitted]
+    want = kneser_ney_by_force(seen, order, len(set("".join(seen))) + 1)
+    sent = {r.doc_id: (r.kn_chars, r.kn_logp) for r in kneser_ney.score(docs, model).collect()}
+    monkeypatch.setattr(kneser_ney, "MOST_GRAMS", 0)
+    joined = {r.doc_id: (r.kn_chars, r.kn_logp) for r in kneser_ney.score(docs, model).collect()}
+    for i, t in enumerate(trusted + others):
+        assert sent[i][0] == joined[i][0] == len(t or "")
+        assert math.isclose(sent[i][1], want(t or ""), rel_tol=1e-5, abs_tol=1e-6) and math.isclose(joined[i][1], want(t or ""), rel_tol=1e-5, abs_tol=1e-6), t
+
+
+def test_each_language_has_its_own_model(spark, monkeypatch):
+    """Also a ninth language, and scripts with more than forty letters."""
+    monkeypatch.setattr(kneser_ney, "LEAST_CHARS", 500)
+    rng = random.Random(2)
+    words = {f"l{i:02}": ["".join(chr(0x4E00 + 60 * i + rng.randrange(60)) for _ in range(3)) for _ in range(30)] for i in range(12)}
+    data = [(f"l{i % 12:02}", " ".join(rng.choice(words[f"l{i % 12:02}"]) for _ in range(60))) for i in range(480)]
+    data += [(lang, " ".join("".join(rng.sample(w, 3)) for w in rng.choices(words[lang], k=60))) for lang in words for _ in range(4)]  # letters mixed up
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(data)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.kept for r in kneser_ney.quality_scores(docs, docs.where("doc_id < 480").select("doc_id")).collect()}
+    assert sum(got[i] for i in range(480)) >= 470 and sum(got[i] for i in range(480, 528)) <= 5
 
 
 def test_classifier_held_out(spark):
