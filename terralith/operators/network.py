@@ -2,28 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import METRES_PER_DEGREE, haversine_m
+from ..sources.intermediate import written
 
 #: Two candidates whose distances differ by less are ambiguous.
 SNAP_AMBIGUITY_M = 1e-6
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the session's checkpoint folder, so that iterations don't grow a plan."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{base.rstrip('/')}/terralith/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def snap_pairs(points: DataFrame, nodes: DataFrame, tolerance_m: float, ident: str = "point_id") -> DataFrame:
     """ident, node_id, d of all points (ident, lat, lon) and nodes (node_id, lat, lon) within a distance.
 
@@ -117,18 +105,18 @@ def direction_counts(pipes: DataFrame) -> DataFrame:
 def upstream_of(edges: DataFrame, outfalls: DataFrame) -> DataFrame:
     """outfall_id, node_id, steps: every node from which an outfall is reached along known edges, by rounds that
     add only new pairs; cycles end by themselves. edges: from_node, to_node."""
-    edges = checkpointed(edges.where("from_node IS NOT NULL AND to_node IS NOT NULL").select("from_node", "to_node").distinct())
-    new = checkpointed(outfalls.select(F.col("node_id").alias("outfall_id"), "node_id", F.lit(0).alias("steps")).distinct())
+    edges = written(edges.where("from_node IS NOT NULL AND to_node IS NOT NULL").select("from_node", "to_node").distinct())
+    new = written(outfalls.select(F.col("node_id").alias("outfall_id"), "node_id", F.lit(0).alias("steps")).distinct())
     seen, step = new, 0
     while True:
         step += 1
         next_ = new.join(edges, new.node_id == edges.to_node).select("outfall_id", F.col("from_node").alias("node_id"), F.lit(step).alias("steps")).distinct()
-        new = checkpointed(next_.join(seen, ["outfall_id", "node_id"], "left_anti"))
+        new = written(next_.join(seen, ["outfall_id", "node_id"], "left_anti"))
         if not new.head(1):
             return seen
         seen = seen.unionByName(new)
         if step % 8 == 0:
-            seen = checkpointed(seen)
+            seen = written(seen)
 
 
 def forest(edges: DataFrame, sources: DataFrame) -> DataFrame:
@@ -139,7 +127,7 @@ def forest(edges: DataFrame, sources: DataFrame) -> DataFrame:
     Rows stay one a node. Nodes whose jump doesn't end after log2(nodes) rounds run into a cycle: no total.
     """
     start = sources.join(edges.where("down IS NOT NULL").groupBy("node_id").agg(F.min("down").alias("jump")), "node_id", "left")
-    state = checkpointed(start.select("node_id", "own", "jump", F.col("own").alias("total"), F.coalesce("jump", "node_id").alias("terminal")))
+    state = written(start.select("node_id", "own", "jump", F.col("own").alias("total"), F.coalesce("jump", "node_id").alias("terminal")))
     rounds = max(1, state.count().bit_length() + 1)
     for _ in range(rounds):
         if not state.where("jump IS NOT NULL").head(1):
@@ -147,7 +135,7 @@ def forest(edges: DataFrame, sources: DataFrame) -> DataFrame:
         add = state.where("jump IS NOT NULL").groupBy(F.col("jump").alias("node_id")).agg(F.sum("total").alias("__add"))
         far = state.select(F.col("node_id").alias("jump"), F.col("jump").alias("__far"), F.col("terminal").alias("__end"))
         state = state.join(add, "node_id", "left").join(far, "jump", "left")
-        state = checkpointed(state.select("node_id", "own", F.col("__far").alias("jump"), (F.col("total") + F.coalesce("__add", F.lit(0.0))).alias("total"), F.coalesce("__end", "terminal").alias("terminal")))
+        state = written(state.select("node_id", "own", F.col("__far").alias("jump"), (F.col("total") + F.coalesce("__add", F.lit(0.0))).alias("total"), F.coalesce("__end", "terminal").alias("terminal")))
     # what still jumps is upstream of a cycle or on it; what such a node leads to has no total either
     cyclic = F.col("jump").isNotNull()
     return state.select("node_id", "own", F.when(~cyclic, F.col("total")).alias("total"), F.when(~cyclic, F.col("terminal")).alias("terminal"), cyclic.alias("cyclic"))
@@ -179,11 +167,11 @@ def mass_balance(totals: DataFrame) -> DataFrame:
 def damped_propagation(edges: DataFrame, nodes: DataFrame, rounds: int = 20, stop: float = 0.01) -> DataFrame:
     """node_id, load: local load plus damped inflow, decaying with length, until it changes by less than stop.
     edges: from_node, to_node, length_m, known; nodes: node_id, own."""
-    edges = checkpointed(edges.select("from_node", "to_node", (F.exp(-0.001 * F.col("length_m")) * F.when(F.col("known"), 1.0).otherwise(0.5) * 0.5).alias("k")))
-    state = checkpointed(nodes.select("node_id", "own", F.col("own").alias("load")))
+    edges = written(edges.select("from_node", "to_node", (F.exp(-0.001 * F.col("length_m")) * F.when(F.col("known"), 1.0).otherwise(0.5) * 0.5).alias("k")))
+    state = written(nodes.select("node_id", "own", F.col("own").alias("load")))
     for _ in range(rounds):
         inflow = edges.join(state.select(F.col("node_id").alias("from_node"), "load"), "from_node").groupBy(F.col("to_node").alias("node_id")).agg(F.sum(F.col("load") * F.col("k")).alias("__in"))
-        step = checkpointed(state.join(inflow, "node_id", "left").select("node_id", "own", F.col("load").alias("was"), (F.col("own") + F.coalesce("__in", F.lit(0.0))).alias("load")))
+        step = written(state.join(inflow, "node_id", "left").select("node_id", "own", F.col("load").alias("was"), (F.col("own") + F.coalesce("__in", F.lit(0.0))).alias("load")))
         change = step.agg(F.max(F.abs(F.col("load") - F.col("was")))).first()[0]
         state = step.select("node_id", "own", "load")
         if change is None or change < stop:
