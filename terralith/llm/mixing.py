@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_width
+from .common import shuffle_width, written
 
 #: Beyond so many sources, or terms of all their tables (8 bytes each), rates are joined by shuffle, not broadcast.
 BROADCAST_SOURCES, BROADCAST_TERMS = 5_000, 2_500_000
@@ -32,6 +32,7 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None, total: float
     total: target rows in all; None: as many as the input has.
     """
     counted = docs.groupBy(F.col(source).alias("mix_source")).agg(F.count(F.lit(1)).alias("n_rows"))
+    counted = written(counted, "source_counts")  # the rows are counted once
     if weights is None:
         weight = F.lit(1.0)
     else:
@@ -72,6 +73,7 @@ def poisson_mix(
     docs = docs.drop("mix_copy")
     names = docs.columns
     rates = source_rates(docs, weights, total, source).select(*(F.col(c).alias(f"__mix_{c}") for c in ("mix_source", "whole", "cdf")))
+    rates = written(rates, "rates")
     size = rates.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("__mix_cdf")).alias("terms")).first()
     few = size.n <= BROADCAST_SOURCES and (size.terms or 0) <= BROADCAST_TERMS
     joined = docs.join(F.broadcast(rates) if few else rates, F.col(source).eqNullSafe(F.col("__mix_mix_source")))

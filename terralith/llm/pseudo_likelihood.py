@@ -308,5 +308,9 @@ def score(docs: DataFrame, net: Network, counts: DataFrame, doc_id: str = "doc_i
 
 
 def pseudo_likelihood(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The network fitted on docs' own texts, and every document's score by it."""
+    """The network fitted on docs' own texts, and every document's score by it: see score for its columns and edges.
+
+    Each input partition trains its own copy between two averages, so scores depend on how the table is split into
+    files, within what another order of training would change; for one layout they are repeatable.
+    """
     return score(docs, *fit(docs.select(F.col(text).alias("text"))), doc_id, text)
