@@ -151,12 +151,13 @@ def parse_date(text) -> Column:
 
 
 def failure_status(http, message) -> Column:
-    """Evidence status of a failed request, by its code, else by words of its message."""
-    code, text = _col(http), F.lower(F.coalesce(_col(message), F.lit("")))
+    """Evidence status of a failed request, by its code (null: none) and by codes and words within its message."""
+    text = F.lower(F.concat_ws(" ", _col(http).cast("string"), _col(message)))
     has = lambda *words: reduce(lambda a, b: a | b, (F.contains(text, F.lit(w)) for w in words))
+    # What stands for each status, in this order
     return (
-        F.when(code.isin(401, 403), "auth_required").when(code == 429, "rate_limited").when(code == 404, "missing")
-        .when(code.isNotNull(), "upstream_error").when(has("unauthor", "forbidden", "credential"), "auth_required").when(has("rate limit", "too many"), "rate_limited").otherwise("upstream_error")
+        F.when(has("401", "403", "unauthorized", "forbidden"), "auth_required").when(has("429", "rate limit"), "rate_limited")
+        .when(has("404", "enoent", "not found"), "missing").otherwise("upstream_error")
     )
 
 

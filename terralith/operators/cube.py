@@ -18,11 +18,14 @@ POINT = T.StructType([
     T.StructField("metadata", T.MapType(T.StringType(), T.StringType())), T.StructField("ingest_seq", T.LongType()),
 ])
 
-# Fields of the wide row that layer:variable keys stand for; of several, the first listed wins.
+# Fields of the wide row that layer:variable keys stand for; of several points for one, the latest wins, then the first listed.
 FEATURE_OF = {
-    "DEM:elevation": "elevation", "DEM:slope": "slope", "DEM:roughness": "roughness", "DEM:aspect": "aspect", "DEM:curvature": "curvature",
-    "ELSUS:class": "elsus_class", "ESHM20:pga": "hazard_pga", "ESHM20:pgv": "hazard_pgv", "CLC:class": "clc_class", "RAIN:24h": "rain24h",
-    "RAIN:48h": "rain48h", "RAIN:72h": "rain72h", "SOIL:moisture": "soil_moisture", "SNOW:swe": "swe", "SOIL:permeability": "permeability", "LITHO:class": "lithology",
+    "DEM:elevation": "elevation", "DEM:slope": "slope", "DEM:aspect": "aspect", "DEM:curvature": "curvature", "DEM:roughness": "roughness",
+    "ELSUS:class": "elsus_class", "ELSUS:elsus_class": "elsus_class",
+    "PGA:pga": "hazard_pga", "PGA:pga_475yr": "hazard_pga", "PGV:pgv": "hazard_pgv", "PGV:pgv_475yr": "hazard_pgv", "SEISMIC:pga": "hazard_pga", "SEISMIC:pgv": "hazard_pgv",
+    "CLC:class": "clc_class", "CLC:clc_class": "clc_class", "LANDCOVER:class": "clc_class",
+    "RAIN:rain_24h": "rain24h", "RAIN:rain_48h": "rain48h", "RAIN:rain_72h": "rain72h", "WEATHER:rain_24h": "rain24h", "WEATHER:rain_48h": "rain48h", "WEATHER:rain_72h": "rain72h",
+    "SOIL:moisture": "soil_moisture", "SOIL:permeability": "permeability", "SNOW:swe": "swe", "GEOLOGY:lithology": "lithology", "GEOLOGY:permeability": "permeability",
 }
 
 

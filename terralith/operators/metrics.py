@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.scalars import point_segment_distance
+from ..sources.intermediate import written
 
-#: Ranges of scores that are cumulated side by side, so that no task sorts all scores.
+#: Ranges of scores that are cumulated side by side, so that no task sorts all scores: so many, or one for each shuffle partition.
 RANGES = 64
 
 
@@ -18,7 +20,8 @@ def score_groups(rows: DataFrame, keys: list[str], score: str, label: str) -> Da
     it comes from the ranges' totals, a row for each. Where the ranges are cut changes nothing in the result.
     """
     rows = rows.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & F.col(label).isNotNull())
-    cuts = rows.agg(F.percentile_approx(F.col(score).cast("double"), [i / RANGES for i in range(1, RANGES)], 1000).alias("q")).first().q or []
+    n = max(RANGES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = rows.agg(F.percentile_approx(F.col(score).cast("double"), [i / n for i in range(1, n)], 1000).alias("q")).first().q or []
     groups = rows.groupBy(*keys, F.col(score).cast("double").alias("score")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("p"))
     place = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))).cast("array<double>"), lambda q: q < F.col("score")))
     groups = groups.withColumn("__range", place)
@@ -107,22 +110,39 @@ def boundary_segments(cells: DataFrame, wet: str, size: float) -> DataFrame:
     return out.select("row", "col", "s.side", ((F.col("col") + 0.5 + F.col("s.dc") * 0.5) * size).alias("x"), ((F.col("row") + 0.5 + F.col("s.dr") * 0.5) * size).alias("y"))
 
 
-def boundary_distances(a: DataFrame, b: DataFrame, size: float, reach: int) -> DataFrame:
-    """From each midpoint of a the distance to the nearest one of b, by buckets of reach * size around it.
-
-    Points without a neighbour in reach have null: ask again with a larger reach for those. The pairs are those of
-    neighbouring buckets, not all.
-    """
-    w = size * reach
-    near = b.select((F.floor(F.col("x") / w)).alias("bx0"), (F.floor(F.col("y") / w)).alias("by0"), F.col("x").alias("x2"), F.col("y").alias("y2")).distinct()
+def _within(a: DataFrame, b: DataFrame, size: float, reach: float) -> DataFrame:
+    """x, y, distance (null: none within reach * size) from points of a to edges of b, by buckets: the pairs are those of
+    neighbouring buckets, not all. A bucket is wider than the reach by an edge, whose midpoint gives its own bucket."""
+    w = size * (reach + 1)
+    flat, half = F.col("side").isin("N", "S"), F.lit(size / 2)
+    ends = [F.col("x") - F.when(flat, half).otherwise(0.0), F.col("y") - F.when(flat, 0.0).otherwise(half), F.col("x") + F.when(flat, half).otherwise(0.0), F.col("y") + F.when(flat, 0.0).otherwise(half)]
+    near = b.select(F.floor(F.col("x") / w).alias("bx0"), F.floor(F.col("y") / w).alias("by0"), *(e.alias(n) for e, n in zip(ends, ("ax", "ay", "cx", "cy")))).distinct()
     spread = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    near = near.withColumn("o", F.explode(spread)).select((F.col("bx0") + F.col("o.i")).alias("bx"), (F.col("by0") + F.col("o.j")).alias("by"), "x2", "y2")
+    near = near.withColumn("o", F.explode(spread)).select((F.col("bx0") + F.col("o.i")).alias("bx"), (F.col("by0") + F.col("o.j")).alias("by"), "ax", "ay", "cx", "cy")
     left = a.select("x", "y").distinct().withColumns({"bx": F.floor(F.col("x") / w), "by": F.floor(F.col("y") / w)})
-    d = left.join(near, ["bx", "by"], "left").groupBy("x", "y").agg(F.min(F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2"))).alias("d"))
-    return d.withColumn("distance", F.when(F.col("d") <= w, F.col("d"))).drop("d")
+    d = left.join(near, ["bx", "by"], "left").groupBy("x", "y").agg(F.min(point_segment_distance("x", "y", "ax", "ay", "cx", "cy")).alias("d"))
+    return d.select("x", "y", F.when(F.col("d") <= size * reach, F.col("d")).alias("distance"))
 
 
-def symmetric_p95(a: DataFrame, b: DataFrame, size: float, reach: int) -> DataFrame:
-    """The 95th percentile (linear) of both directions' distances together, and how many were out of reach."""
+def boundary_distances(a: DataFrame, b: DataFrame, size: float, reach: float = 8) -> DataFrame:
+    """X, y, distance from each edge's midpoint of a to the nearest edge of b, however far; null if b has none.
+
+    Points that find nothing within reach look again four times as far, so most are found among few pairs.
+    """
+    if not b.head(1):
+        return a.select("x", "y", F.lit(None).cast("double").alias("distance")).distinct()
+    out = None
+    while True:
+        found = written(_within(a, b, size, reach), "boundary_distances")
+        done = found.where("distance IS NOT NULL")
+        out = done if out is None else out.unionByName(done)
+        a, reach = found.where("distance IS NULL"), reach * 4
+        if not a.head(1):
+            return out
+
+
+def symmetric_p95(a: DataFrame, b: DataFrame, size: float, reach: float = 8) -> DataFrame:
+    """The 95th percentile (linear) of both directions' distances together, the largest, and their number; nulls
+    and 0 if either boundary is empty."""
     both = boundary_distances(a, b, size, reach).unionByName(boundary_distances(b, a, size, reach))
-    return both.agg(F.percentile("distance", 0.95).alias("p95"), F.max("distance").alias("largest"), F.count_if(F.col("distance").isNull()).alias("out_of_reach"))
+    return both.agg(F.percentile("distance", 0.95).alias("p95"), F.max("distance").alias("largest"), F.count("distance").alias("n"))

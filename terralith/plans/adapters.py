@@ -112,19 +112,19 @@ def rectangles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """supplier as source rectangles, a coarse lattice of customers as targets."""
     s, c = table(spark, d, "supplier"), table(spark, d, "customer")
     k = F.col("s_suppkey")
-    x, y, w = (k * 37 % 200).cast("double"), (k * 53 % 200).cast("double"), 3 + F.abs(F.col("s_acctbal")) % 17
+    x, y, w = (k * 37 % 200).cast("double"), (k * 53 % 200 + F.floor(k / 400) * 200).cast("double"), 3 + F.abs(F.col("s_acctbal")) % 17
     sources = s.select(k.alias("id"), x.alias("x0"), y.alias("y0"), (x + F.round(w, 3)).alias("x1"), (y + 8).alias("y1"), F.when(k % 10 != 0, F.col("s_acctbal")).alias("value"), (k % 4).alias("category"))
     t = F.col("c_custkey")
-    targets = c.where("c_custkey < 400").select(t.alias("id"), (t % 20 * 10).cast("double").alias("x0"), (F.floor(t / 20) * 10).cast("double").alias("y0"), (t % 20 * 10 + 10).cast("double").alias("x1"), (F.floor(t / 20) * 10 + 10).cast("double").alias("y1"))
+    targets = c.select(t.alias("id"), (t % 20 * 10).cast("double").alias("x0"), (F.floor(t / 20) * 10).cast("double").alias("y0"), (t % 20 * 10 + 10).cast("double").alias("x1"), (F.floor(t / 20) * 10 + 10).cast("double").alias("y1"))
     return targets, sources
 
 
 RECTANGLES_SQL = """src AS (
-  SELECT s_suppkey AS source, (s_suppkey * 37 % 200)::DOUBLE AS x0, (s_suppkey * 53 % 200)::DOUBLE AS y0, (s_suppkey * 37 % 200)::DOUBLE + round(3 + abs(s_acctbal) % 17, 3) AS x1,
-    (s_suppkey * 53 % 200)::DOUBLE + 8 AS y1, CASE WHEN s_suppkey % 10 <> 0 THEN s_acctbal END AS value, s_suppkey % 4 AS category FROM supplier),
+  SELECT s_suppkey AS source, (s_suppkey * 37 % 200)::DOUBLE AS x0, (s_suppkey * 53 % 200 + s_suppkey // 400 * 200)::DOUBLE AS y0, (s_suppkey * 37 % 200)::DOUBLE + round(3 + abs(s_acctbal) % 17, 3) AS x1,
+    (s_suppkey * 53 % 200 + s_suppkey // 400 * 200)::DOUBLE + 8 AS y1, CASE WHEN s_suppkey % 10 <> 0 THEN s_acctbal END AS value, s_suppkey % 4 AS category FROM supplier),
 tgt AS (
   SELECT c_custkey AS target, (c_custkey % 20 * 10)::DOUBLE AS x0, (c_custkey // 20 * 10)::DOUBLE AS y0, (c_custkey % 20 * 10 + 10)::DOUBLE AS x1, (c_custkey // 20 * 10 + 10)::DOUBLE AS y1
-  FROM customer WHERE c_custkey < 400),
+  FROM customer),
 pairs AS (
   SELECT target, source, value, category, (least(t.x1, s.x1) - greatest(t.x0, s.x0)) * (least(t.y1, s.y1) - greatest(t.y0, s.y0)) AS area
   FROM tgt t JOIN src s ON least(t.x1, s.x1) > greatest(t.x0, s.x0) AND least(t.y1, s.y1) > greatest(t.y0, s.y0))"""

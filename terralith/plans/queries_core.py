@@ -345,11 +345,13 @@ def p39_dates(spark, d):
 
 
 @query("""
-SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'auth_required' WHEN 1 THEN 'auth_required' WHEN 2 THEN 'rate_limited' WHEN 3 THEN 'missing' WHEN 4 THEN 'upstream_error' WHEN 5 THEN 'auth_required' WHEN 6 THEN 'rate_limited' ELSE 'upstream_error' END AS status FROM events""")
+SELECT event_id, (['auth_required', 'auth_required', 'rate_limited', 'missing', 'upstream_error', 'auth_required', 'rate_limited', 'upstream_error', 'missing', 'missing', 'missing', 'auth_required', 'rate_limited', 'upstream_error'])[event_id % 14 + 1] AS status FROM events""")
 def p40_failure_status(spark, d):
-    k = F.col("event_id") % 8
+    k = F.col("event_id") % 14
     code = F.when(k == 0, 401).when(k == 1, 403).when(k == 2, 429).when(k == 3, 404).when(k == 4, 500)
-    message = F.when(k == 5, "Forbidden for you").when(k == 6, "Too Many requests").otherwise("broken pipe")
+    told = ["Forbidden for you", "Rate limit reached", "broken pipe", "ENOENT: no such file", "Tile Not Found", "HTTP 404 for tile", "status 403, later 404", "got 429 and 404", "Too many requests"]
+    message = F.element_at(F.array(*map(F.lit, told)), F.greatest(k - 4, F.lit(1)).cast("int"))
+    message = F.when(k >= 5, message).when(k == 4, "broken pipe")
     return table(spark, d, "events").select("event_id", S.failure_status(code, message).alias("status"))
 
 

@@ -155,18 +155,18 @@ def g01_network_issues(spark, d):
 
 
 @query("""
-WITH a AS (SELECT DISTINCT (p_partkey % 900)::VARCHAR AS code, CASE WHEN p_partkey % 900 < 100 THEN p_partkey ELSE p_partkey % 900 END AS pipe FROM part WHERE p_partkey < 1000),
+WITH a AS (SELECT DISTINCT (p_partkey % 900)::VARCHAR AS code, CASE WHEN p_partkey % 900 < 100 THEN p_partkey ELSE p_partkey % 900 END AS pipe FROM part),
 r AS (SELECT o_orderkey AS record_id, (o_orderkey % 1000)::VARCHAR AS code FROM orders)
 SELECT record_id, r.code, CASE WHEN count(DISTINCT pipe) = 1 THEN min(pipe)::VARCHAR END AS pipe_id, CASE count(DISTINCT pipe) WHEN 1 THEN 'available' WHEN 0 THEN 'missing' ELSE 'invalid_response' END AS status FROM r LEFT JOIN a ON a.code = r.code GROUP BY ALL""")
 def j14_inflow_attachment(spark, d):
     k = F.col("p_partkey")
-    aliases = table(spark, d, "part").where("p_partkey < 1000").select((k % 900).cast("string").alias("alias"), F.when(k % 900 < 100, k).otherwise(k % 900).cast("string").alias("pipe_id"))
+    aliases = table(spark, d, "part").select((k % 900).cast("string").alias("alias"), F.when(k % 900 < 100, k).otherwise(k % 900).cast("string").alias("pipe_id"))
     rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("record_id"), (F.col("o_orderkey") % 1000).cast("string").alias("code"))
     return network.attached(rows, aliases).select("record_id", "code", "pipe_id", "status")
 
 
-_SNAP = """p AS (SELECT c_custkey AS point_id, 46 + (c_custkey % 61) * 0.0001e0 AS lat, 11 + (c_custkey % 47) * 0.0001e0 AS lon FROM customer),
-n AS (SELECT s_suppkey AS node_id, 46 + (s_suppkey % 31) * 0.0002e0 + 0.00002e0 AS lat, 11 + (s_suppkey % 23) * 0.0002e0 + 0.00003e0 AS lon FROM supplier WHERE s_suppkey < 100)"""
+_SNAP = """p AS (SELECT c_custkey AS point_id, 46 + (c_custkey % 61) * 0.0001e0 + (c_custkey // 2867) * 0.01e0 AS lat, 11 + (c_custkey % 47) * 0.0001e0 AS lon FROM customer),
+n AS (SELECT s_suppkey AS node_id, 46 + (s_suppkey % 31) * 0.0002e0 + 0.00002e0 + (s_suppkey // 713) * 0.01e0 AS lat, 11 + (s_suppkey % 23) * 0.0002e0 + 0.00003e0 AS lon FROM supplier)"""
 
 
 @query(f"""WITH {_SNAP}, q AS (SELECT point_id, node_id, pow(sin(radians(n.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(n.lat)) * pow(sin(radians(n.lon - p.lon) / 2), 2) AS h FROM p, n),
@@ -176,8 +176,8 @@ c AS (SELECT b.point_id, count(*) AS n FROM b JOIN m ON m.point_id = b.point_id
 SELECT p.point_id, CASE WHEN n = 1 THEN node_id END AS node_id, CASE WHEN n IS NULL THEN 'none' WHEN n > 1 THEN 'ambiguous' ELSE 'snapped' END AS status, round(dist, 4) AS distance_m FROM p LEFT JOIN b USING (point_id) LEFT JOIN c USING (point_id)""")
 def j05_snap_to_nodes(spark, d):
     k, s = F.col("c_custkey"), F.col("s_suppkey")
-    p = table(spark, d, "customer").select(k.alias("point_id"), (46 + (k % 61) * 0.0001).alias("lat"), (11 + (k % 47) * 0.0001).alias("lon"))
-    n = table(spark, d, "supplier").where("s_suppkey < 100").select(s.alias("node_id"), (46 + (s % 31) * 0.0002 + 0.00002).alias("lat"), (11 + (s % 23) * 0.0002 + 0.00003).alias("lon"))
+    p = table(spark, d, "customer").select(k.alias("point_id"), (46 + (k % 61) * 0.0001 + F.floor(k / 2867) * 0.01).alias("lat"), (11 + (k % 47) * 0.0001).alias("lon"))
+    n = table(spark, d, "supplier").select(s.alias("node_id"), (46 + (s % 31) * 0.0002 + 0.00002 + F.floor(s / 713) * 0.01).alias("lat"), (11 + (s % 23) * 0.0002 + 0.00003).alias("lon"))
     return network.snapped(p, n, 8.0).select("point_id", "node_id", "status", F.round("distance_m", 4).alias("distance_m"))
 
 
@@ -311,24 +311,24 @@ def a13_coverage(spark, d):
 
 @query("""
 WITH pt AS (SELECT c_custkey AS point_id, (c_custkey % 40) * 0.5e0 + 0.13e0 AS x, (c_custkey * 7 % 41) * 0.5e0 + 0.27e0 AS y FROM customer),
-tri AS (SELECT s_suppkey AS id, s_suppkey % 5 AS priority, (s_suppkey % 17)::DOUBLE AS ax, (s_suppkey % 13)::DOUBLE AS ay FROM supplier WHERE s_suppkey < 60),
+tri AS (SELECT s_suppkey AS id, s_suppkey % 5 AS priority, (s_suppkey % 17)::DOUBLE AS ax, (s_suppkey % 13)::DOUBLE AS ay FROM supplier),
 hit AS (SELECT point_id, id, priority FROM pt, tri WHERE x > ax AND y > ay AND (x - ax) / 6 + (y - ay) / 4 < 1)
 SELECT pt.point_id, arg_min(id, struct_pack(a := priority, b := id)) AS polygon_id, count(id) AS n_containing FROM pt LEFT JOIN hit USING (point_id) GROUP BY pt.point_id""")
 def j08_polygon_pick(spark, d):
     k, s = F.col("c_custkey"), F.col("s_suppkey")
     pts = table(spark, d, "customer").select(k.alias("point_id"), ((k % 40) * 0.5 + 0.13).alias("x"), ((k * 7 % 41) * 0.5 + 0.27).alias("y"))
     at = lambda dx, dy: F.struct(((s % 17) + F.lit(dx)).cast("double").alias("x"), ((s % 13) + F.lit(dy)).cast("double").alias("y"))
-    tri = table(spark, d, "supplier").where("s_suppkey < 60").select(s.alias("polygon_id"), (s % 5).alias("priority"), F.array(F.array(at(0.0, 0.0), at(6.0, 0.0), at(0.0, 4.0))).alias("rings"))
+    tri = table(spark, d, "supplier").select(s.alias("polygon_id"), (s % 5).alias("priority"), F.array(F.array(at(0.0, 0.0), at(6.0, 0.0), at(0.0, 4.0))).alias("rings"))
     return geometry.containing(pts, tri, 5.0).select("point_id", "polygon_id", "n_containing")
 
 
 @query("""
-WITH tri AS (SELECT s_suppkey AS id, (s_suppkey % 17)::DOUBLE AS ax, (s_suppkey % 13)::DOUBLE AS ay FROM supplier WHERE s_suppkey < 60)
+WITH tri AS (SELECT s_suppkey AS id, (s_suppkey % 17)::DOUBLE AS ax, (s_suppkey % 13)::DOUBLE AS ay FROM supplier)
 SELECT id AS polygon_id, r.i AS row, c.i AS col FROM tri, range(0, 60) r(i), range(0, 80) c(i) WHERE (c.i + 0.5e0) * 0.3e0 > ax AND (r.i + 0.5e0) * 0.3e0 > ay AND ((c.i + 0.5e0) * 0.3e0 - ax) / 6 + ((r.i + 0.5e0) * 0.3e0 - ay) / 4 < 1""")
 def r08_rasterise(spark, d):
     s = F.col("s_suppkey")
     at = lambda dx, dy: F.struct(((s % 17) + F.lit(dx)).cast("double").alias("x"), ((s % 13) + F.lit(dy)).cast("double").alias("y"))
-    tri = table(spark, d, "supplier").where("s_suppkey < 60").select(s.alias("polygon_id"), F.array(F.array(at(0.0, 0.0), at(6.0, 0.0), at(0.0, 4.0))).alias("rings"))
+    tri = table(spark, d, "supplier").select(s.alias("polygon_id"), F.array(F.array(at(0.0, 0.0), at(6.0, 0.0), at(0.0, 4.0))).alias("rings"))
     return geometry.rasterised(tri, 0.3)
 
 
@@ -402,14 +402,16 @@ def m06_boundary_segments(spark, d):
 
 @query(f"""WITH {GRID_SQL}, o AS (SELECT * FROM (VALUES (-1, 0), (0, 1), (1, 0), (0, -1)) v(dr, dc)),
 k AS (SELECT row, col, size > 45 AS a, size < 6 AS b FROM grid),
-sa AS (SELECT DISTINCT w.col + 0.5e0 + dc * 0.5e0 AS x, w.row + 0.5e0 + dr * 0.5e0 AS y FROM k w, o JOIN k n ON n.row = w.row + dr AND n.col = w.col + dc WHERE w.a AND NOT n.a),
-sb AS (SELECT DISTINCT w.col + 0.5e0 + dc * 0.5e0 AS x, w.row + 0.5e0 + dr * 0.5e0 AS y FROM k w, o JOIN k n ON n.row = w.row + dr AND n.col = w.col + dc WHERE w.b AND NOT n.b),
-dist AS (SELECT min(sqrt(pow(sa.x - sb.x, 2) + pow(sa.y - sb.y, 2))) AS v FROM sa, sb GROUP BY sa.x, sa.y UNION ALL SELECT min(sqrt(pow(sa.x - sb.x, 2) + pow(sa.y - sb.y, 2))) FROM sb, sa GROUP BY sb.x, sb.y)
-SELECT round(quantile_cont(v, 0.95), 6) AS p95, round(max(v), 6) AS largest, 0::BIGINT AS out_of_reach FROM dist""")
+sa AS (SELECT DISTINCT w.col + 0.5e0 + dc * 0.5e0 AS x, w.row + 0.5e0 + dr * 0.5e0 AS y, dr <> 0 AS flat FROM k w, o JOIN k n ON n.row = w.row + dr AND n.col = w.col + dc WHERE w.a AND NOT n.a),
+sb AS (SELECT DISTINCT w.col + 0.5e0 + dc * 0.5e0 AS x, w.row + 0.5e0 + dr * 0.5e0 AS y, dr <> 0 AS flat FROM k w, o JOIN k n ON n.row = w.row + dr AND n.col = w.col + dc WHERE w.b AND NOT n.b),
+dist AS (
+  SELECT min(sqrt(pow(greatest(abs(p.x - e.x) - CASE WHEN e.flat THEN 0.5e0 ELSE 0 END, 0), 2) + pow(greatest(abs(p.y - e.y) - CASE WHEN e.flat THEN 0 ELSE 0.5e0 END, 0), 2))) AS v FROM sa p, sb e GROUP BY p.x, p.y
+  UNION ALL SELECT min(sqrt(pow(greatest(abs(p.x - e.x) - CASE WHEN e.flat THEN 0.5e0 ELSE 0 END, 0), 2) + pow(greatest(abs(p.y - e.y) - CASE WHEN e.flat THEN 0 ELSE 0.5e0 END, 0), 2))) FROM sb p, sa e GROUP BY p.x, p.y)
+SELECT round(quantile_cont(v, 0.95), 6) AS p95, round(max(v), 6) AS largest, count(*) AS n FROM dist""")
 def m07_boundary_distance(spark, d):
     g = part_grid(spark, d)
     a, b = (metrics.boundary_segments(g.select("row", "col", m.alias("wet")), "wet", 1.0) for m in (F.col("size") > 45, F.col("size") < 6))
-    return metrics.symmetric_p95(a, b, 1.0, 40).select(r6("p95").alias("p95"), r6("largest").alias("largest"), "out_of_reach")
+    return metrics.symmetric_p95(a, b, 1.0, 1).select(r6("p95").alias("p95"), r6("largest").alias("largest"), "n")
 
 
 # Gates ------------------------------------------------------------------------------------
