@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import EARTH_RADIUS_M, haversine_m
+from ..sources.intermediate import written
 from .geometry import in_polygon
 
 
@@ -87,25 +88,30 @@ def sampling_bounds(cells: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.col("east") - F.col("west") > 180, "invalid_response").otherwise("available"))
 
 
-def nearest_node(points: DataFrame, nodes: DataFrame, reach_m: float = 1000.0, rounds: int = 16) -> DataFrame:
-    """Each point (point_id, lat, lon) with the nearest node, however far: buckets as wide as the reach, doubled for
-    the points that found none. A point is only settled by a node within the reach, so none nearer is missed."""
-    from .network import snapped
+def nearest_node(points: DataFrame, nodes: DataFrame, reach_m: float = 1000.0) -> DataFrame:
+    """Each point (point_id, lat, lon) with the nearest node (of equals the smallest id), however far: node_id, distance_m.
+
+    Points and nodes meet in cubes of space as wide as the reach, so neither poles nor the date line cut anything off.
+    A point is settled by a node within the reach only; those that found none look again four times as far, at last
+    over the whole globe. Without any node both are null.
+    """
+
+    def placed(df: DataFrame, width: float, *names: str) -> DataFrame:
+        lat, lon = F.radians("lat"), F.radians("lon")
+        xyz = (F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat))
+        return df.select(*names, "lat", "lon", *(F.floor(c * EARTH_RADIUS_M / width).alias(f"b{i}") for i, c in enumerate(xyz)))
 
     settled, left, reach = None, points.select("point_id", "lat", "lon"), reach_m
-    for _ in range(rounds):
-        got = snapped(left, nodes, reach, "point_id")
-        # of nodes that are equally near the smallest id is taken: ambiguity is no matter here
-        pick = _closest(left.join(got.where("status <> 'none'").select("point_id"), "point_id", "left_semi"), nodes, reach)
-        settled = pick if settled is None else settled.unionByName(pick)
-        left = left.join(got.where("status = 'none'").select("point_id"), "point_id", "left_semi")
-        reach *= 2
-        if reach > 2_000_000 or not left.head(1):
-            break
-    return points.select("point_id").join(settled, "point_id", "left")
-
-
-def _closest(points: DataFrame, nodes: DataFrame, reach_m: float) -> DataFrame:
-    from .network import snap_pairs
-
-    return snap_pairs(points, nodes, reach_m, "point_id").groupBy("point_id").agg(F.min_by("node_id", F.struct("d", "node_id")).alias("node_id"), F.min("d").alias("distance_m"))
+    while True:
+        # a chord is never longer than its arc, so what is within the reach is at most one cube away
+        near = placed(nodes, reach, "node_id")
+        for i in range(3):
+            near = near.withColumn(f"o{i}", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn(f"b{i}", F.col(f"b{i}") + F.col(f"o{i}")).drop(f"o{i}")
+        near = near.withColumnsRenamed({"lat": "nlat", "lon": "nlon"})
+        pairs = placed(left, reach, "point_id").join(near, ["b0", "b1", "b2"]).select("point_id", "node_id", haversine_m("lat", "lon", "nlat", "nlon").alias("d")).where(F.col("d") <= reach)
+        got = written(pairs.groupBy("point_id").agg(F.min_by("node_id", F.struct("d", "node_id")).alias("node_id"), F.min("d").alias("distance_m")), "nearest")
+        settled = got if settled is None else settled.unionByName(got)
+        left = written(left.join(got, "point_id", "left_anti"), "unsettled")
+        if reach > EARTH_RADIUS_M * 4 or not left.head(1):
+            return points.select("point_id").join(settled, "point_id", "left")
+        reach *= 4
