@@ -46,7 +46,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("mix", mix), ("tokens", tokens)]
 
-#: SQL can't train the classifier or run Viterbi; the tests compare every stage with a brute-force version instead.
+#: SQL can't train the classifier or run Viterbi. The tests compare lines, near_duplicates and mix with plain Python row by
+#: row, the classifier's scores with the definition, quality by the labels, and tokens with the vocabulary's own library.
 ORACLE_SQL = None
 
 

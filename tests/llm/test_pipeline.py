@@ -1,4 +1,4 @@
-"""The pipeline's stages against plain Python on the smallest table."""
+"""The pipeline's stages on the smallest table: plain Python, the labels (quality) and the library (tokens)."""
 
 import math
 import re
