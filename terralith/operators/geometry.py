@@ -43,9 +43,15 @@ def in_polygon(rings: Column, x: Column, y: Column, edges_inside: bool = False)
     return (inside | F.exists(rings, lambda r: on_ring(r, x, y))) if edges_inside else inside
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is named."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def ring_area(ring: Column) -> Column:
     """Area by the shoelace formula."""
-    return F.abs(F.aggregate(_edges(ring), F.lit(0.0), lambda acc, e: acc + e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])) / 2
+    twice = lambda r: F.aggregate(_edges(r), F.lit(0.0), lambda acc, e: acc + e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])
+    return F.abs(_bound(ring, twice)) / 2
 
 
 def clipped(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
@@ -66,9 +72,12 @@ def clipped(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Col
 
         return F.flatten(F.transform(_edges(r), cut))
 
+    def sided(out: Column, axis: str, at: Column, above: bool) -> Column:
+        return _bound(out, lambda r: side(r, axis, at, above))
+
     out = ring.cast(point)
     for axis, at, above in (("x", x0, True), ("x", x1, False), ("y", y0, True), ("y", y1, False)):
-        out = side(out, axis, at, above)
+        out = sided(out, axis, at, above)
     return out
 
 
