@@ -117,3 +117,20 @@ def requested(cells: DataFrame, results: dict[str, DataFrame], key: str) -> tupl
     layers = F.array(*(F.struct(F.lit(n).alias("layer"), F.col(f"{n}.status").alias("status"), F.col(f"{n}.reason").alias("reason")) for n in results))
     issues = out.select(key, F.explode(layers).alias("i")).select(key, "i.*").where(~F.col("status").isin(*CARRYING))
     return out, issues
+
+
+def window_evidence(asked: DataFrame, windows: DataFrame, samples: DataFrame, key: str = "cell") -> DataFrame:
+    """Evidence (value, status, reason) of every requested cell of a window. asked: window_id, key; windows:
+    window_id, status, reason and more, which each cell's row carries as the struct `window`; samples: window_id, key,
+    value, status, reason.
+
+    A window that isn't available gives its own status to all of its cells, whatever was sampled; a cell of an available
+    one that no sample names is an invalid response, as is one of a window that isn't known.
+    """
+    rest = [c for c in windows.columns if c != "window_id"]
+    rows = asked.select("window_id", key).distinct().join(windows.select("window_id", F.struct(*rest).alias("window")), "window_id", "left")
+    rows = rows.join(samples.select("window_id", key, F.struct("value", "status", "reason").alias("__s")), ["window_id", key], "left")
+    up, gone = F.col("window.status") == "available", F.col("window").isNull()
+    status = F.when(gone, "invalid_response").when(~up, F.col("window.status")).otherwise(F.coalesce("__s.status", F.lit("invalid_response")))
+    reason = F.when(gone, "window is unknown").when(~up, F.col("window.reason")).when(F.col("__s").isNull(), "cell is absent from the samples").otherwise(F.col("__s.reason"))
+    return rows.select("window_id", key, F.when(up & ~gone, F.col("__s.value")).alias("value"), status.alias("status"), reason.alias("reason"), "window")

@@ -38,6 +38,26 @@ def leakage(datasets: DataFrame, cutoff, retrospective: bool = False) -> DataFra
     })
 
 
+def whole_date(value: Column | str) -> Column:
+    """Yyyymmdd as a number from the first eight digits of a whole number, given as one or as text; else null."""
+    text = F.trim((F.col(value) if isinstance(value, str) else value).cast("string"))
+    digits = F.when(text.rlike("^[0-9]+$"), F.regexp_replace(text, "^0+", ""))
+    return F.when(F.length(digits) >= 8, F.substring(digits, 1, 8).cast("int"))
+
+
+def before_cutoff(features: DataFrame, date: str, cutoff: int, geometry: str) -> DataFrame:
+    """Features with `verdict`: missing_date, post_cutoff (from the cutoff, yyyymmdd, on), missing_geometry or
+    eligible, the first that applies. Keep the eligible ones; verdict_counts() tells what went."""
+    day = whole_date(date)
+    verdict = F.when(day.isNull(), "missing_date").when(day >= cutoff, "post_cutoff").when(F.col(geometry).isNull(), "missing_geometry").otherwise("eligible")
+    return features.withColumn("verdict", verdict)
+
+
+def verdict_counts(features: DataFrame) -> DataFrame:
+    """Verdict, n."""
+    return features.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
 def grid_consistent(width: Column, height: Column, size: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """V03."""
     return (F.abs(x1 - x0 - width * size) < 1e-6) & (F.abs(y1 - y0 - height * size) < 1e-6)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.scalars import finite_difference_slope
+from .evidence import PRECEDENCE_SLOPE, worst_of
 from .network import forest
 
 # Neighbours in the order N NE E SE S SW W NW, codes of terminals.
@@ -59,15 +61,51 @@ def nearest_index(value: Column, axis: list[float]) -> Column:
     return F.when(value.between(min(axis) - half, max(axis) + half), best)
 
 
-def nearest_pixel(points: DataFrame, pixels: DataFrame, west: float, north: float, size: float, value: str = "value") -> DataFrame:
-    """Each point (lat, lon) with the pixel it lies in: value and status; outside the raster is out of coverage."""
+def nearest_pixel(points: DataFrame, pixels: DataFrame, west: float, north: float, size: float, value: str = "value", least: float | None = 0.0) -> DataFrame:
+    """Each point (lat, lon) with the pixel it lies in: value and status; outside the raster is out of coverage,
+    values under `least` are invalid."""
     at = points.withColumns({"row": F.floor((F.lit(north) - F.col("lat")) / size), "col": F.floor((F.col("lon") - west) / size)})
     hit = at.join(pixels.select("row", "col", F.col(value).alias("value"), F.lit(True).alias("__in")), ["row", "col"], "left")
     v = F.col("value")
-    status = F.when(F.col("__in").isNull(), "out_of_coverage").when(v.isNull() | F.isnan(v), "missing").when(v < 0, "invalid_response").otherwise("available")
+    status = F.when(F.col("__in").isNull(), "out_of_coverage").when(v.isNull() | F.isnan(v), "missing").when(F.lit(False) if least is None else v < least, "invalid_response").otherwise("available")
     return hit.select(*points.columns, F.when(status == "available", v).alias("value"), status.alias("status"))
 
 
+def terrain_samples(points: DataFrame, pixels: DataFrame, west: float, north: float, size: float, value: str = "value", offset: float = 1 / 3600, ident: str = "point_id") -> DataFrame:
+    """Of each point (ident, lat, lon) the elevation of its pixel, and the slope from those `offset` degrees north,
+    south, east and west: value and status each. A slope needs all four; of their failures the first in order counts."""
+    o = F.lit(offset)
+    places = {"centre": (0, 0), "north": (1, 0), "south": (-1, 0), "east": (0, 1), "west": (0, -1)}
+    around = F.array(*(F.struct(F.lit(n).alias("place"), (F.col("lat") + o * dy).alias("lat"), (F.col("lon") + o * dx).alias("lon")) for n, (dy, dx) in places.items()))
+    five = points.select(ident, F.col("lat").alias("__lat"), F.explode(around).alias("__p")).select(ident, "__lat", "__p.*")
+    hit = nearest_pixel(five, pixels, west, north, size, value, least=None)
+    got = lambda n: F.max(F.when(F.col("place") == n, F.struct("value", "status"))).alias(n)
+    per = hit.groupBy(ident).agg(F.max("__lat").alias("__lat"), *map(got, places))
+    failed = worst_of([F.col(f"{n}.status") for n in ("north", "south", "east", "west")], PRECEDENCE_SLOPE)
+    slope = finite_difference_slope(*(F.col(f"{n}.value") for n in ("west", "east", "south", "north")), F.col("__lat"), offset)
+    return per.select(ident, F.col("centre.value").alias("elevation"), F.col("centre.status").alias("elevation_status"), F.when(failed.isNull(), slope).alias("slope"), F.coalesce(failed, F.lit("available")).alias("slope_status"))
+
+
+def aligned_bounds(x0: Column, y0: Column, x1: Column, y1: Column, origin_x: float, origin_y: float, size: float) -> Column:
+    """struct(x0, y0, x1, y1, width, height): the bounds widened to a lattice of cells of that size, and its number of cells."""
+    down = lambda v, o: F.lit(o) + F.floor((v - F.lit(o)) / size) * size
+    up = lambda v, o: F.lit(o) + F.ceil((v - F.lit(o)) / size) * size
+    a, b, c, d = down(x0, origin_x), down(y0, origin_y), up(x1, origin_x), up(y1, origin_y)
+    return F.struct(a.alias("x0"), b.alias("y0"), c.alias("x1"), d.alias("y1"), F.round((c - a) / size).cast("long").alias("width"), F.round((d - b) / size).cast("long").alias("height"))
+
+
+def pixel_window(source: tuple[Column, ...], inner: tuple[Column, ...], size: float, width: Column, height: Column) -> Column:
+    """struct(left, top, right, bottom, status): pixels of a raster (x0, y0, x1, y1; width by height) that bounds
+    inside it take up. Bounds off the lattice or out of the raster have no window: status invalid."""
+    (sx0, _, _, sy1), (x0, y0, x1, y1) = source, inner
+    edges = {"left": (x0 - sx0) / size, "top": (sy1 - y1) / size, "right": (x1 - sx0) / size, "bottom": (sy1 - y0) / size}
+    whole = F.lit(True)
+    for v in edges.values():
+        whole &= v == F.floor(v)
+    ok = F.coalesce(whole & (edges["left"] >= 0) & (edges["top"] >= 0) & (edges["right"] <= width) & (edges["bottom"] <= height) & (edges["left"] < edges["right"]) & (edges["top"] < edges["bottom"]), F.lit(False))
+    return F.struct(*(F.when(ok, v.cast("long")).alias(n) for n, v in edges.items()), F.when(ok, "available").otherwise("invalid").alias("status"))
+
+
 def neighbours(cells: DataFrame, *columns: str, key: str = "cell") -> DataFrame:
     """Cells joined with what their eight neighbours hold: dir, and the columns prefixed n_. Missing neighbours have nulls."""
     offsets = F.array(*(F.struct(F.lit(i).alias("dir"), F.lit(r).alias("dr"), F.lit(c).alias("dc")) for i, (r, c) in enumerate(NEIGHBOURS)))
@@ -141,6 +179,21 @@ def steepest_neighbour(cells: DataFrame, adjacency: DataFrame) -> DataFrame:
     return cells.select("cell").join(best, "cell", "left")
 
 
+def immediate_flow(cells: DataFrame, adjacency: DataFrame, outlets: DataFrame) -> DataFrame:
+    """Cell, down, ends: the neighbour with the steepest descent (of equals the smallest id), or why there is none.
+
+    A cell without an elevation, and one with a neighbour that has none or isn't in the table, is incomplete_elevation;
+    an outlet flows nowhere; a cell without a lower neighbour is a depression. cells: cell, elevation; adjacency: cell,
+    nbr, dist_m, of all neighbours, known or not; outlets: cell.
+    """
+    high = adjacency.join(cells.select("cell", "elevation"), "cell").join(cells.select(F.col("cell").alias("nbr"), F.col("elevation").alias("below")), "nbr", "left")
+    high = high.withColumn("grade", (F.col("elevation") - F.col("below")) / F.col("dist_m"))
+    per = high.groupBy("cell").agg(F.bool_or(F.col("below").isNull()).alias("gap"), F.min_by("nbr", F.when(F.col("grade") > 0, F.struct(-F.col("grade"), "nbr"))).alias("down"))
+    out = cells.select("cell", "elevation").join(per, "cell", "left").join(outlets.select("cell", F.lit(True).alias("out")).distinct(), "cell", "left")
+    ends = F.when(F.col("elevation").isNull(), "incomplete_elevation").when(F.col("out"), "outlet").when(F.col("gap"), "incomplete_elevation").when(F.col("down").isNull(), "depression")
+    return out.select("cell", F.when(ends.isNull(), F.col("down")).alias("down"), ends.alias("ends"))
+
+
 def priority_flood(cells: DataFrame, adjacency: DataFrame) -> DataFrame:
     """Per connected domain the terminal of each cell and the level at which it spills. cells: domain, cell,
     elevation, terminal_rank (null: no terminal); adjacency: domain, cell, nbr. Cells that no terminal reaches are null.

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import cells as C
 from ..operators import cube, gates, geometry, grid, network, risk, runoff
-from ..operators.evidence import CARRYING, requested, strict_sum
+from ..operators.evidence import CARRYING, available, requested, strict_sum
+from ..sources.intermediate import written
 
 
 def features_from_layers(layers: dict[str, DataFrame], key: str = "cell") -> DataFrame:
@@ -77,13 +79,65 @@ def conditioned_terrain(cells: DataFrame, pairs: DataFrame, barrier: Column, obs
     return kept.unionByName(made).unionByName(out)
 
 
-def surface_paths(cells: DataFrame, adjacency: DataFrame, outlets: DataFrame) -> DataFrame:
-    """Of each cell the end of its steepest path, how many cells drain through it, and whether it ends at an outlet."""
-    step = grid.steepest_neighbour(cells, adjacency).join(outlets.select("cell", F.lit(True).alias("__out")), "cell", "left")
-    edges = step.select(F.col("cell").alias("node_id"), F.when(F.col("__out").isNull(), F.col("down")).alias("down"))
-    out = network.forest(edges, cells.select(F.col("cell").alias("node_id"), F.lit(1.0).alias("own")))
-    ends = outlets.select(F.col("cell").alias("terminal"), F.lit("outlet").alias("__end"))
-    return out.join(ends, "terminal", "left").select(F.col("node_id").alias("cell"), "terminal", F.col("total").cast("long").alias("n_cells"), F.coalesce("__end", F.lit("depression")).alias("ends_at"))
+def surface_paths(cells: DataFrame, adjacency: DataFrame, outlets: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """Cell, terminal, n_steps, n_cells, ends_at, contributes: the end of each cell's steepest path, its length, how
+    many cells drain through the cell, how the path ends (outlet, incomplete_elevation, depression, or coverage_exit where
+    it leaves the targets) and whether it drains to an outlet, which is unknown where elevations are incomplete."""
+    flow = grid.immediate_flow(cells, adjacency, outlets)
+    if targets is not None:
+        inside = flow.join(targets.select("cell", F.lit(True).alias("__in")).distinct(), "cell", "left")
+        flow = inside.select("cell", F.when(F.col("__in"), F.col("down")).alias("down"), F.when(F.col("__in"), F.col("ends")).otherwise("coverage_exit").alias("ends"))
+    flow = written(flow)
+    out = network.forest(flow.select(F.col("cell").alias("node_id"), "down"), flow.select(F.col("cell").alias("node_id"), F.lit(1.0).alias("own")))
+    out = out.join(flow.where("ends IS NOT NULL").select(F.col("cell").alias("terminal"), F.col("ends").alias("ends_at")), "terminal", "left")
+    contributes = F.when(F.col("ends_at") == "outlet", True).when(F.col("ends_at") != "incomplete_elevation", False)
+    return out.select(F.col("node_id").alias("cell"), "terminal", F.col("steps").alias("n_steps"), F.col("total").cast("long").alias("n_cells"), "ends_at", contributes.alias("contributes"))
+
+
+def conditioned_runoff(paths: DataFrame, areas: DataFrame, layers: dict[str, DataFrame], most: int = 100) -> DataFrame:
+    """Strict runoff volume of the cells that drain to each outlet, as far as a request goes: the `most` cells
+    with the shortest paths, of equals the smallest ids. Says how many cells there were and whether all are in.
+
+    paths: surface_paths(); areas: cell, area_m2; layers: rain, slope and land_cover, each cell, value, status, reason. A
+    layer that leaves a cell out is an invalid response, and so is an area not above 0.
+    """
+    all_ = paths.where("contributes").select("terminal", "cell", "n_steps")
+    rank = F.row_number().over(Window.partitionBy("terminal").orderBy("n_steps", "cell"))
+    chosen = written(all_.withColumn("rank", rank).where(F.col("rank") <= most).select("terminal", "cell").join(areas.select("cell", "area_m2"), "cell", "left"))
+    evidence, _ = requested(chosen, layers, "cell")
+    rows = chosen.join(evidence, "cell").withColumn("coverage_fraction", F.lit(1.0)).withColumn("runoff", runoff.runoff())
+    totals = runoff.catchment_totals(runoff.cell_volumes(rows), key="terminal")
+    size = chosen.groupBy("terminal").agg(F.count(F.lit(1)).alias("n_selected"), F.sum("area_m2").alias("area_m2"))
+    found = all_.groupBy("terminal").agg(F.count(F.lit(1)).alias("n_candidates")).join(size, "terminal").join(totals, "terminal")
+    return found.select("terminal", "n_candidates", "n_selected", (F.col("n_selected") == F.col("n_candidates")).alias("covers_all"), "area_m2", "value", "status", "reason", "partial")
+
+
+def event_runoff(cells: DataFrame, rain: DataFrame, lats: list[float], lons: list[float], area_m2: float) -> DataFrame:
+    """An event's runoff on a grid: the rain of the nearest source cell, runoff depth, volume, and what comes down
+    the frozen flow. cells: idx, lat, lon, slope, land_cover, down; rain: i, j (places on the axes), value. As all of the
+    land must carry evidence, a cell without a depth raises."""
+    at = cells.withColumns({"i": grid.nearest_index(F.col("lat"), lats), "j": grid.nearest_index(F.col("lon"), lons)}).join(rain.select("i", "j", F.col("value").alias("__rain")), ["i", "j"], "left")
+    ev = lambda c: available(F.col(c))
+    rows = at.withColumns({"rain": ev("__rain"), "slope": ev("slope"), "land_cover": ev("land_cover")}).withColumn("runoff", runoff.runoff())
+    depth = written(rows.select("idx", "down", F.col("rain.value").alias("rain_mm"), F.col("runoff.value").alias("runoff_mm"), (F.col("runoff.value") / 1000 * area_m2).alias("volume")))
+    if depth.where("volume IS NULL").head(1):
+        raise ValueError("cells of the land lack rain, slope or land cover")
+    return depth.drop("down").join(grid.volumes(depth, depth).select(F.col("node_id").alias("idx"), F.col("total").alias("accumulated")), "idx")
+
+
+def footprint_parameters(pieces: DataFrame, parameters: DataFrame, targets: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """Per target the area-weighted mean of each parameter of its land-cover classes, the dominant class (of
+    equals the smallest) and their number, where classes with parameters cover it within the tolerance (a share of its
+    area); else nulls. pieces: target, category, area; parameters: category and the parameters; targets: target, area_m2."""
+    names = [c for c in parameters.columns if c != "category"]
+    per = pieces.where("category IS NOT NULL AND area > 0").groupBy("target", "category").agg(F.sum("area").alias("area"))
+    rows = per.join(parameters.select("category", *(F.col(c).alias(f"__{c}") for c in names), F.lit(True).alias("__known")), "category", "left")
+    out = rows.groupBy("target").agg(
+        F.sum("area").alias("mapped"), F.bool_and(F.coalesce("__known", F.lit(False))).alias("known"), F.count(F.lit(1)).alias("n_classes"),
+        F.min_by("category", F.struct(-F.col("area"), F.col("category"))).alias("dominant"), *((F.sum(F.col(f"__{c}") * F.col("area")) / F.sum("area")).alias(c) for c in names),
+    )
+    ok = F.coalesce(F.col("known") & (F.abs(F.col("mapped") - F.col("area_m2")) <= F.col("area_m2") * tolerance), F.lit(False))
+    return targets.select("target", "area_m2").join(out, "target", "left").select("target", ok.alias("valid"), *(F.when(ok, F.col(c)).alias(c) for c in ("dominant", "n_classes", *names)))
 
 
 def asset_risk(assets: DataFrame, scores: DataFrame) -> DataFrame:

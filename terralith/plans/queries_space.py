@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import cells as C
 from ..operators import gates, geometry, grid, metrics, network, series, solver
 from .adapters import GRID_SQL, NETWORK_SQL, RECTANGLES_SQL, part_grid, pipes_and_nodes, points, r6, rectangles, shown, table
 
@@ -140,18 +141,39 @@ def g07_legacy_direction(spark, d):
 
 
 @query("""
-WITH n AS (SELECT (c_custkey % 1490)::VARCHAR AS node_id FROM customer),
-p AS (SELECT 'p' || o_orderkey AS id, (o_custkey % 1490)::VARCHAR AS a, CASE WHEN o_orderkey % 50 = 0 AND o_custkey % 100 = 7 THEN 'nowhere' ELSE (o_custkey * 3 % 1490)::VARCHAR END AS b, o_totalprice FROM orders)
-SELECT 'node_id_repeats' AS code, node_id AS ident FROM n GROUP BY node_id HAVING count(*) > 1
-UNION ALL SELECT 'pipe_start_unknown', id FROM p WHERE a NOT IN (SELECT node_id FROM n) UNION ALL SELECT 'pipe_end_unknown', id FROM p WHERE b NOT IN (SELECT node_id FROM n)
-UNION ALL SELECT 'pipe_is_loop', id FROM p WHERE a = b UNION ALL SELECT 'pipe_length_invalid', id FROM p WHERE o_totalprice < 2000 UNION ALL SELECT 'no_outfall', 'network'""")
+WITH n AS (SELECT c_custkey AS c, (c_custkey % 1490)::VARCHAR AS id FROM customer),
+p AS (SELECT 'p' || o_orderkey AS id, o_orderkey AS o, o_totalprice AS price, (o_custkey % 1490)::VARCHAR AS a, CASE WHEN o_orderkey % 50 = 0 AND o_custkey % 100 = 7 THEN 'nowhere' ELSE (o_custkey * 3 % 1490)::VARCHAR END AS b FROM orders),
+t AS (SELECT (s_suppkey % 90)::VARCHAR AS id, (s_suppkey * 20)::VARCHAR AS node FROM supplier),
+pairs AS (SELECT least(a, b) || '|' || greatest(a, b) AS id FROM p)
+SELECT 'empty_network_id' AS code, 'network' AS ident, 1::BIGINT AS n
+UNION ALL SELECT unnest(list_filter([CASE WHEN c % 97 = 0 THEN 'invalid_node_type' END, CASE WHEN c % 89 = 0 THEN 'invalid_position' END, CASE WHEN c % 79 = 0 THEN 'invalid_h3' END, CASE WHEN c % 83 = 0 THEN 'invalid_elevation_evidence' END,
+  CASE WHEN c % 79 = 0 OR c % 73 = 0 THEN 'elevation_h3_mismatch' END, CASE WHEN c % 71 = 0 THEN 'invalid_node_source' END], lambda x: x IS NOT NULL)), id, 1 FROM n
+UNION ALL SELECT unnest(list_filter([CASE WHEN a = b THEN 'self_loop' END, CASE WHEN a NOT IN (SELECT id FROM n) OR b NOT IN (SELECT id FROM n) THEN 'missing_pipe_endpoint' END, CASE WHEN price < 2000 THEN 'invalid_pipe_length' END, CASE WHEN o % 67 = 0 THEN 'invalid_pipe_diameter' END,
+  CASE WHEN o % 59 = 0 OR o % 53 = 0 THEN 'invalid_pipe_path' END, CASE WHEN o % 47 = 0 THEN 'invalid_pipe_invert_evidence' END, CASE WHEN o % 43 = 0 THEN 'invalid_pipe_invert_evidence' END, CASE WHEN o % 41 = 0 THEN 'invalid_pipe_source' END], lambda x: x IS NOT NULL)), id, 1 FROM p
+UNION ALL SELECT 'duplicate_node_id', id, count(*) - 1 FROM n GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'duplicate_pipe_endpoints', id, count(*) - 1 FROM pairs GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'duplicate_catchment_attachment', id, count(*) - 1 FROM t GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'missing_catchment_outlet', id, 1 FROM t WHERE node NOT IN (SELECT id FROM n)""")
 def g01_network_issues(spark, d):
-    c, o = table(spark, d, "customer"), table(spark, d, "orders")
-    nodes = c.select((F.col("c_custkey") % 1490).cast("string").alias("node_id"), F.lit("inlet").alias("type"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon"))
-    lost = (F.col("o_orderkey") % 50 == 0) & (F.col("o_custkey") % 100 == 7)
-    pipes = o.select(F.concat(F.lit("p"), F.col("o_orderkey").cast("string")).alias("pipe_id"), (F.col("o_custkey") % 1490).cast("string").alias("node_a"), F.when(lost, "nowhere").otherwise((F.col("o_custkey") * 3 % 1490).cast("string")).alias("node_b"), (F.col("o_totalprice") - 2000 + 1e-9).alias("length_m"))
-    pipes = pipes.withColumn("length_m", F.when(F.col("length_m") >= 0, F.col("length_m") + 1).otherwise(F.col("length_m")))
-    return network.issues(nodes, pipes)
+    c, o, s = (table(spark, d, t) for t in ("customer", "orders", "supplier"))
+    k, w = F.col("c_custkey"), F.col("o_orderkey")
+    every = lambda col, n, odd, usual: F.when(col % n == 0, odd).otherwise(usual)
+    here = C.cell_of(F.lit(1.0), F.lit(2.0), 5)
+    source = lambda provider, acquired: F.struct(provider.alias("provider"), F.lit("pipes").alias("dataset"), F.lit("derived").alias("origin"), acquired.alias("acquired_at"))
+    evidence = lambda value, status, **more: F.struct(value.alias("value"), status.alias("status"), F.lit(None).cast("string").alias("reason"), *(v.alias(n) for n, v in more.items()))
+    day = F.lit("2020-01-01T00:00:00Z")
+    nodes = c.select(
+        (k % 1490).cast("string").alias("node_id"), every(k, 97, "odd", "inlet").alias("type"), every(k, 89, 99.0, 1.0).alias("lat"), F.lit(2.0).alias("lon"), every(k, 79, F.lit("nowhere"), here).alias("cell"),
+        evidence(F.when(k % 83 != 0, F.lit(0.0)), F.lit("available"), cell=every(k, 73, F.lit("elsewhere"), here)).alias("elevation"), source(every(k, 71, " ", "city"), day).alias("source"),
+    )
+    lost = (w % 50 == 0) & (F.col("o_custkey") % 100 == 7)
+    place = lambda lat: F.struct(lat.alias("lat"), F.lit(2.0).alias("lon"))
+    pipes = o.select(
+        F.concat(F.lit("p"), w.cast("string")).alias("pipe_id"), (F.col("o_custkey") % 1490).cast("string").alias("node_a"), F.when(lost, "nowhere").otherwise((F.col("o_custkey") * 3 % 1490).cast("string")).alias("node_b"),
+        F.when(F.col("o_totalprice") >= 2000, 1.0).otherwise(0.0).alias("length_m"), F.when(w % 67 == 0, -1.0).when(w % 61 != 0, 300.0).alias("diameter_mm"),
+        F.when(w % 59 == 0, F.array(place(F.lit(1.0)))).otherwise(F.array(place(F.lit(1.0)), place(every(w, 53, 91.0, 1.0)))).alias("path"),
+        evidence(F.lit(1.0), F.lit("available"), unit=every(w, 47, "cm", "m")).alias("invert_a"), evidence(F.lit(1.0), every(w, 43, "odd", "available"), unit=F.lit("m")).alias("invert_b"), source(F.lit("city"), every(w, 41, "never", day)).alias("source"),
+    )
+    attachments = s.select((F.col("s_suppkey") % 90).cast("string").alias("catchment_id"), (F.col("s_suppkey") * 20).cast("string").alias("outlet_node_id"))
+    return network.issues(nodes, pipes, attachments, network_id=" ")
 
 
 @query("""

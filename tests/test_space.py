@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from terralith.operators import gates, geometry, grid, metrics, network, series, solver
+from terralith.plans import pipelines as P
 from terralith.sources import readers
 from terralith.streaming import ingest
 
@@ -61,7 +62,43 @@ def test_reachability_and_issues(spark):
     nodes = spark.createDataFrame([("n", "inlet", 1.0, 2.0), ("n", "odd", 99.0, 0.0), ("", "inlet", 0.0, 0.0)], "node_id string, type string, lat double, lon double")
     bad = spark.createDataFrame([("p", "n", "x", 0.0), ("p", "n", "n", 1.0), (None, None, "n", 2.0)], "pipe_id string, node_a string, node_b string, length_m double")
     codes = {r.code for r in network.issues(nodes, bad, spark.createDataFrame([("c", "zz")], "catchment_id string, outlet_node_id string")).collect()}
-    assert codes == {"node_id_blank", "node_id_repeats", "node_type_unknown", "node_position_invalid", "pipe_id_blank", "pipe_id_repeats", "pipe_end_unknown", "pipe_end_missing", "pipe_is_loop", "pipe_length_invalid", "no_outfall", "attachment_node_unknown"}
+    assert codes == {"duplicate_node_id", "invalid_node_type", "invalid_position", "null_pipe_id", "duplicate_pipe_id", "missing_pipe_endpoint", "self_loop", "invalid_pipe_length", "missing_catchment_outlet"}
+    assert [tuple(r) for r in network.issues(nodes.limit(0), bad.limit(0), network_id=" ").collect()] == [("empty_network_id", "network", 1), ("empty_network", "network", 1)]
+
+
+def test_outfall_connectivity(spark):
+    levels = {"A": 103.0, "B": 102.0, "C": 101.0, "D": None, "E": 90.0, "F": 200.0, "G": 95.0}
+    kinds = {"C": "outfall", "D": "outfall", "F": "outfall", "G": "outfall"}
+    nodes = spark.createDataFrame([(k, kinds.get(k, "manhole"), v) for k, v in levels.items()], "node_id string, type string, level double")
+    ends = ("AB", "BC", "AD", "FE", "BF", "BD")
+    pipes = spark.createDataFrame([(p, p[0], p[1], 10.0) for p in ends], "pipe_id string, node_a string, node_b string, length_m double")
+    paths = network.outfall_paths(network.oriented(pipes, nodes), nodes)
+    states = network.outfall_connectivity(paths, nodes)
+    got = {r.outfall_id: tuple(r)[1:] for r in states.collect()}
+    assert got["C"] == ("known_upstream_path", 3, 3, 2, 0) and got["D"] == ("blocked_by_unresolved_direction", 0, 0, 2, 0)
+    assert got["F"] == ("direction_conflict", 0, 0, 0, 2) and got["G"] == ("isolated", 0, 0, 0, 0)
+    counts = {r.what: r.n for r in network.connectivity_counts(paths, states).collect()}
+    assert (counts["n_nodes"], counts["n_pipes"], counts["n_boundary_pipes"], counts["outfalls isolated"]) == (4, 3, 2, 1)
+
+
+def test_surface_paths_and_what_they_carry(spark):
+    cells = spark.createDataFrame([(1, 9.0), (2, 8.0), (3, 7.0), (4, 6.0), (5, None), (6, 5.0)], "cell int, elevation double")
+    near = [(1, 2), (2, 1), (2, 3), (3, 2), (4, 5), (4, 3), (6, 4), (6, 99)]
+    adjacency = spark.createDataFrame([(a, b, 1.0) for a, b in near], "cell int, nbr int, dist_m double")
+    outlets = spark.createDataFrame([(3,)], "cell int")
+    paths = P.surface_paths(cells, adjacency, outlets)
+    got = {r.cell: (r.terminal, r.n_steps, r.n_cells, r.ends_at, r.contributes) for r in paths.collect()}
+    assert got[1] == (3, 2, 1, "outlet", True) and got[3] == (3, 0, 3, "outlet", True)
+    assert {got[k][3:] for k in (4, 5, 6)} == {("incomplete_elevation", None)}
+    left = {r.cell: r.ends_at for r in P.surface_paths(cells, adjacency, outlets, cells.where("cell <> 2")).collect()}
+    assert left[1] == "coverage_exit" and left[3] == "outlet"
+    layer = lambda v, gone=(): spark.createDataFrame([(c, None if c in gone else v, "stale" if c in gone else "available", None) for c in (1, 2, 3)], "cell int, value double, status string, reason string")
+    areas = spark.createDataFrame([(c, 100.0) for c in (1, 2, 3)], "cell int, area_m2 double")
+    layers = {"rain": layer(10.0, (1,)), "slope": layer(0.0), "land_cover": layer(511.0)}
+    two = P.conditioned_runoff(paths, areas, layers, most=2).first()
+    assert (two.n_candidates, two.n_selected, two.covers_all, two.area_m2, two.status) == (3, 2, False, 200.0, "available") and abs(two.value - 2.0) < 1e-9
+    all_ = P.conditioned_runoff(paths, areas, layers).first()
+    assert all_.covers_all and all_.value is None and all_.status == "stale" and abs(all_.partial - 2.0) < 1e-9
 
 
 # Grids ------------------------------------------------------------------------------------
