@@ -29,7 +29,7 @@ SIDE, EMBEDDING, HIDDEN = 2, 16, 32
 #: Rounds (each predicts every word once; a word is never in its own context), step size, words a step.
 ROUNDS, RATE, BATCH = 2, 3e-3, 2048
 #: Words scored at once; words whose counts are gathered before they are handed on; numbers in a row of weights.
-TOGETHER, FLUSH_WORDS, CHUNK = 8192, 2_000_000, 4096
+TOGETHER, FLUSH_WORDS, CHUNK = 2048, 2_000_000, 4096
 #: Weights averaged by one task at once.
 FAN_IN = 64
 _U = np.uint64
@@ -67,10 +67,18 @@ def _tokens(net: Network, text: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarra
     starts, ends, hashes, sizes = words(text, cuts)
     if not len(hashes):
         return np.empty(0, np.int64), sizes, hashes
-    out = TOKENS - ENDINGS + _ending(text, starts, ends)
-    if len(net.vocabulary):
-        at = np.minimum(np.searchsorted(net.vocabulary, hashes), len(net.vocabulary) - 1)
-        out = np.where(net.vocabulary[at] == hashes, net.token[at], out)
+    # words of the vocabulary are found by their hash's first 16 bits, where few or none share them
+    out = np.full(len(hashes), -1)
+    first = np.searchsorted(net.vocabulary >> _U(48), np.arange((1 << 16) + 1, dtype=np.uint64))
+    begin, n = first[:-1], np.diff(first)
+    slot = (hashes >> _U(48)).astype(np.int64)
+    for k in range(int(n.max())):
+        maybe = np.flatnonzero(n[slot] > k)
+        at = begin[slot[maybe]] + k
+        same = net.vocabulary[at] == hashes[maybe]
+        out[maybe[same]] = net.token[at[same]]
+    rare = np.flatnonzero(out < 0)
+    out[rare] = TOKENS - ENDINGS + _ending(text, starts[rare], ends[rare])
     return out, sizes, hashes
 
 
@@ -92,40 +100,48 @@ _OFFSETS = np.array([i for i in range(-SIDE, SIDE + 1) if i])
 
 
 def forward(p: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """Log probability of each target given its 2 * SIDE neighbours, and what the gradient needs."""
-    x = p["embed"][context].reshape(len(context), -1)
-    h = np.tanh(x @ p["w1"] + p["b1"])
+    """Log probability of each target given its 2 * SIDE neighbours, and what the gradient needs.
+
+    Words lie along the last axis of all but x, so that sums and maxima over classes run along whole rows; both levels
+    of the softmax are one array.
+    """
+    x = p["embed"].take(context, 0).reshape(len(context), -1)
+    h = p["w1"].T @ x.T
+    h += p["b1"][:, None]
+    np.tanh(h, out=h)
     a, b = target // WITHIN, target % WITHIN
     row = np.arange(len(target))
+    both = np.concatenate([p["wc"], p["ww"]], 1)
+    soft = both.T @ h
+    soft[:CLASSES] += p["bc"][:, None]
+    soft[CLASSES:] += p["bw"].T.take(a, 1)
     out = np.zeros(len(target), np.float32)
-    soft = []
-    for logits, y in ((h @ p["wc"] + p["bc"], a), (h @ p["ww"] + p["bw"][a], b)):
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(1, keepdims=True)
-        out += logits[row, y] - np.log(total[:, 0])
-        soft.append(e / total)
-    return out, (x, h, a, b, row, soft)
+    for e, y in ((soft[:CLASSES], a), (soft[CLASSES:], b)):
+        e -= e.max(0)
+        out += e[y, row]
+        np.exp(e, out=e)
+        total = e.sum(0)
+        out -= np.log(total)
+        e /= total
+    return out, (x, h, a, b, row, soft, both)
 
 
 def gradient(p: dict[str, np.ndarray], context: np.ndarray, kept: tuple) -> np.ndarray:
     """Gradient of the mean negative log probability, flat."""
-    x, h, a, b, row, (sa, sb) = kept
-    n = np.float32(len(row))
-    sa[row, a] -= 1
-    sb[row, b] -= 1
-    sa /= n
-    sb /= n
-    g = {"wc": h.T @ sa, "bc": sa.sum(0), "ww": h.T @ sb, "bw": np.zeros(_SHAPES["bw"], np.float32)}
-    one = np.zeros((len(row), CLASSES), np.float32)
-    one[row, a] = 1
-    g["bw"] = one.T @ sb
-    dh = (sa @ p["wc"].T + sb @ p["ww"].T) * (1 - h * h)
-    g["w1"], g["b1"] = x.T @ dh, dh.sum(0)
-    dx = (dh @ p["w1"].T).reshape(-1, EMBEDDING)
-    flat = context.ravel()
-    g["embed"] = np.stack([np.bincount(flat, dx[:, i], TOKENS + 1) for i in range(EMBEDDING)], 1)
-    return np.concatenate([g[name].ravel() for name in _SHAPES]).astype(np.float32)
+    x, h, a, b, row, soft, both = kept
+    soft[a, row] -= 1
+    soft[CLASSES + b, row] -= 1
+    one = np.zeros((CLASSES, len(row)), np.float32)
+    one[a, row] = 1
+    w, bias = h @ soft.T, soft.sum(1)
+    g = {"wc": w[:, :CLASSES], "bc": bias[:CLASSES], "ww": w[:, CLASSES:], "bw": one @ soft[CLASSES:].T}
+    dh = both @ soft
+    dh *= 1 - h * h
+    g["w1"], g["b1"] = x.T @ dh.T, dh.sum(1)
+    dx = (p["w1"] @ dh).reshape(2 * SIDE, EMBEDDING, len(row))
+    flat = context.T.ravel()
+    g["embed"] = np.stack([np.bincount(flat, dx[:, i].ravel(), TOKENS + 1) for i in range(EMBEDDING)], 1)
+    return np.concatenate([g[name].ravel() for name in _SHAPES]).astype(np.float32) / np.float32(len(row))
 
 
 class Trainer:
