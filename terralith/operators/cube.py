@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..sources.intermediate import written
+
 KEY = ("cell", "ts", "layer", "variable")
 SERIES = ("cell", "layer", "variable")
 POINT = T.StructType([
@@ -177,39 +179,73 @@ def cube_metadata(points: DataFrame) -> DataFrame:
 
 
 class Cube:
-    """A cube stored as Parquet, partitioned by layer. Writes replace the layers they touch."""
+    """A cube stored as Parquet, partitioned by layer and by day (of UTC, counted from 1970). Keys must not be null.
+
+    A write or delete reads and replaces only the partitions it touches; all other files stay as they are. Each
+    partition's new files are complete before they take the place of the old ones; partitions change one after the other.
+    """
+
+    PARTS = ("layer", "day")
+    #: So many touched partitions, counted, are sent to every task; more are joined by shuffle.
+    MOST_SENT = 10_000
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
 
-    def points(self) -> DataFrame:
-        return self.spark.read.schema(POINT).parquet(self.path)
+    def points(self, start=None, end=None) -> DataFrame:
+        """All points; with times (both inclusive) only the days between are read, and only points between returned."""
+        return matching(self._stored(start, end), start=start, end=end).drop("day")
 
+    @staticmethod
+    def _day(ts: Column) -> Column:
+        return F.floor(F.unix_seconds(ts) / 86_400).cast("int")
 
-    def _replace(self, df: DataFrame, gone: Sequence[str] = ()) -> None:
-        # the new table is written beside the old one, which it reads; then they change places
-        jvm = self.spark.sparkContext._jvm
-        new, old = f"{self.path}.new", f"{self.path}.old"
-        df.write.mode("overwrite").partitionBy("layer").parquet(new)
-        path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-        fs = path(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        fs.delete(path(old), True)
-        if fs.exists(path(self.path)):
-            fs.rename(path(self.path), path(old))
-        fs.rename(path(new), path(self.path))
-        fs.delete(path(old), True)
+    def _stored(self, start=None, end=None) -> DataFrame:
+        rows = self.spark.read.schema(T.StructType([*POINT.fields, T.StructField("day", T.IntegerType())])).parquet(self.path)
+        if start is not None:
+            rows = rows.where(F.col("day") >= self._day(F.lit(start).cast("timestamp")))
+        if end is not None:
+            rows = rows.where(F.col("day") <= self._day(F.lit(end).cast("timestamp")))
+        return rows
+
+    def _within(self, parts: DataFrame, n: int) -> DataFrame:
+        """The stored points of n partitions."""
+        keys = parts.select(*self.PARTS)
+        return self._stored().join(F.broadcast(keys) if n <= self.MOST_SENT else keys, list(self.PARTS), "left_semi")
+
+    def _overwrite(self, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*self.PARTS).parquet(self.path)
 
     def write(self, new: DataFrame) -> None:
-        """Upsert on the key."""
+        """Upsert on the key. Columns that POINT doesn't have are not stored; a null in the key raises."""
+        # written first, so that the partitions to replace and the rows put there come from the same points
+        new = written(new.select(*(F.col(c) for c in POINT.names if c in new.columns)), "points").withColumn("day", self._day(F.col("ts")))
+        parts = new.select(*self.PARTS).distinct()
+        some = new.agg(F.count_if(F.greatest(*(F.col(c).isNull() for c in KEY))).alias("bad"), F.count(F.lit(1)).alias("n")).first()
+        if some.bad:
+            raise ValueError(f"{some.bad} points have a null in their key")
+        if not some.n:
+            return
         jvm = self.spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(self.path)
         there = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-        self._replace(upsert(self.points(), new) if there else upsert(new.limit(0), new))
+        old = self._within(parts, parts.count()) if there else new.limit(0)
+        self._overwrite(upsert(old.drop("day"), new.drop("day")).withColumn("day", self._day(F.col("ts"))))
 
-    def delete(self, **criteria) -> int:
+    def delete(self, start=None, end=None, **criteria) -> int:
         """The number of points that went."""
-        stay, go = delete(self.points(), **criteria)
-        n = go.count()
-        if n:
-            self._replace(stay)
-        return n
+        file = F.min(F.col("_metadata.file_path"))
+        gone = delete(self._stored(start, end), start=start, end=end, **criteria)[1]
+        parts = written(gone.groupBy(*self.PARTS).agg(F.count(F.lit(1)).alias("n"), file.alias("file")), "touched")
+        found = parts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).first()
+        if not found.n:
+            return 0
+        touched = self._within(parts, found.parts)
+        empty = parts.join(touched.groupBy(*self.PARTS).agg(F.count(F.lit(1)).alias("all")), list(self.PARTS)).where("n = all")
+        folders = [r.file for r in empty.select("file").collect()]  # one name a partition, whose folder goes
+        self._overwrite(delete(touched, start=start, end=end, **criteria)[0])
+        jvm = self.spark.sparkContext._jvm
+        for name in folders:
+            folder = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI.create(name)).getParent()
+            folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        return found.n

@@ -75,6 +75,33 @@ def test_cube_store(spark, tmp_path):
     assert store.points().count() == 1
 
 
+def test_writes_leave_other_partitions_alone(spark, tmp_path):
+    path = tmp_path / "cube"
+    store = cube.Cube(spark, str(path))
+    day, columns = 86_400, POINT.replace(",", "").split()[::2]
+    first = points(spark, [("a", 1, 1.0, 1), ("b", 2, 2.0, 2), ("a", day + 1, 3.0, 3)]).select(*columns)
+    odd = first.withColumn("layer", F.lit("M /%41:"))  # a name that needs escapes
+    store.write(first.unionByName(odd))
+    files = lambda: {str(f.relative_to(path)): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+    before = files()
+    assert len({f.rsplit("/", 1)[0] for f in before}) == 4
+    store.write(points(spark, [("a", 1, 9.0, 4), ("c", 5, 7.0, 5)]).select(*columns))
+    after = files()
+    same = {f for f in before if "layer=L/day=0" not in f}
+    assert same and all(after[f] == before[f] for f in same) and set(after) & set(before) == same
+    assert {(r.cell, r.layer, int(r.ts.timestamp())): r.value_num for r in store.points().where("layer = 'L'").collect()} == {("a", "L", 1): 9.0, ("b", "L", 2): 2.0, ("c", "L", 5): 7.0, ("a", "L", day + 1): 3.0}
+    assert [r.value_num for r in store.points(start=points(spark, [("a", day, 0.0, 0)]).first().ts).where("layer = 'L'").collect()] == [3.0]
+    assert store.delete(layers=["M /%41:"], cells=["a"]) == 2  # one of its days is empty now, the other is not
+    assert {f.split("day=")[1][0] for f in files() if not f.startswith("layer=L")} == {"0"} and store.points().count() == 5
+    assert all(files()[f] == after[f] for f in after if f.startswith("layer=L"))
+    store.write(first.limit(0))
+    assert store.points().count() == 5
+    with pytest.raises(ValueError):
+        store.write(first.withColumn("layer", F.lit(None).cast("string")))
+    with pytest.raises(ValueError):
+        store.delete()
+
+
 def test_evidence_rules(spark):
     rows = [("ok0", 0.0, "available", None), ("gone", None, "missing", "why"), ("e2", None, "available", None), ("e3", 1.0, "stale", "why"), ("e5", None, "stale", " "), ("e1", None, "odd", "x"), ("e4", 1.0, "available", "x"), ("null", None, None, None)]
     df = spark.createDataFrame(rows, "id string, value double, status string, missing_reason string")
