@@ -182,7 +182,9 @@ class Cube:
     """A cube stored as Parquet, partitioned by layer and by day (of UTC, counted from 1970). Keys must not be null.
 
     A write or delete reads and replaces only the partitions it touches; all other files stay as they are. Each
-    partition's new files are complete before they take the place of the old ones; partitions change one after the other.
+    partition's new files are complete before they take the place of the old ones; partitions change one after the other,
+    so a reader meanwhile may see some changed and some not, and a driver lost between a removal and its rename leaves that
+    partition in the staging folder. One writer at a time.
     """
 
     PARTS = ("layer", "day")
