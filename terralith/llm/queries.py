@@ -15,6 +15,7 @@ from .mixing import poisson_mix
 from .pseudo_likelihood import pseudo_likelihood
 from .secret_scan import secret_digest
 from .sentencepiece_viterbi import token_digest
+from .spelling import spelling_variants
 from .substring_dedup import substring_dedup
 
 MIX_SEED = "mix-1"
@@ -63,6 +64,10 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "lang", "n_chars", F.col("mix_copy").cast("long").alias("mix_copy"), "text")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_pseudo_likelihood": op2_pseudo_likelihood,
@@ -74,8 +79,21 @@ QUERIES = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_kneser_ney": op9_kneser_ney,
     "op10_poisson_mix": op10_poisson_mix,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 
+#: crc32 of a text's bytes: a table of 256 remainders, then a byte at a time. DuckDB has no such function.
+CRC32 = """
+bit AS (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS r FROM range(256) t(i)),
+crc_table AS (SELECT list(r ORDER BY i) AS crcs FROM bit)"""
+
+
+def crc32(text: str) -> str:
+    """SQL of the unsigned crc32 of a text, for a query with CRC32 and one row of crc_table joined."""
+    byte = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), (2 * i + 1)::BIGINT, 2))::BIGINT)"
+    return f"xor(4294967295, list_reduce(list_concat([4294967295]::BIGINT[], {byte}), lambda c, b: xor(crcs[(xor(c, b) & 255) + 1], c >> 8)))"
+
+
 ORACLE_SQL = {
     "op4_line_dedup": r"""
 WITH split AS (SELECT doc_id, source, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
@@ -118,5 +136,23 @@ drawn AS (
   SELECT d.*, len([c FOR c IN t.cdfs IF c <= ('0x' || substr(md5('{MIX_SEED}:' || d.doc_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE]) AS copies
   FROM documents d JOIN tables t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, source, lang, n_chars, unnest(range(copies)) AS mix_copy, text FROM drawn
+""",
+    "op11_spelling_variants": f"""
+WITH RECURSIVE {CRC32},
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents),
+per AS (SELECT doc_id, run, count(*) AS k FROM runs GROUP BY ALL),
+hashed AS (SELECT run, k, {crc32("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM per, crc_table),
+whole AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM hashed),
+words AS (SELECT word, sum(k)::BIGINT AS n FROM whole WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+less AS (SELECT word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) AS rest FROM words, range(1, 1000000) t(p) WHERE p <= length(word)),
+pairs AS (
+  SELECT a.word, b.word AS other, b.n FROM less a JOIN less b ON a.p = b.p AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, {{'n': -n, 'w': other}}) AS other, max(n) AS other_n FROM pairs GROUP BY word),
+forms AS (SELECT w.word, CASE WHEN other_n >= 5 * w.n THEN other END AS form, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * w.n THEN other_n END AS form_n FROM words w LEFT JOIN best USING (word)),
+way AS (SELECT word, word AS at, form AS next FROM forms UNION ALL SELECT way.word, f.word, f.form FROM way JOIN forms f ON way.next = f.word)
+SELECT f.word, f.form, way.at AS root, f.n, f.n_near, f.form_n FROM forms f JOIN way ON f.word = way.word AND way.next IS NULL
 """,
 }
