@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .conversations import repair_conversations
 from .embedding_dedup import embedding_near_dedup
 from .kneser_ney import quality_scores, trusted_ids
 from .line_dedup import line_dedup
@@ -68,6 +69,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_pseudo_likelihood": op2_pseudo_likelihood,
@@ -80,6 +85,7 @@ QUERIES = {
     "op9_kneser_ney": op9_kneser_ney,
     "op10_poisson_mix": op10_poisson_mix,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 #: crc32 of a text's bytes: a table of 256 remainders, then a byte at a time. DuckDB has no such function.
@@ -154,5 +160,46 @@ best AS (SELECT word, count(*) AS n_near, arg_min(other, {{'n': -n, 'w': other}}
 forms AS (SELECT w.word, CASE WHEN other_n >= 5 * w.n THEN other END AS form, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * w.n THEN other_n END AS form_n FROM words w LEFT JOIN best USING (word)),
 way AS (SELECT word, word AS at, form AS next FROM forms UNION ALL SELECT way.word, f.word, f.form FROM way JOIN forms f ON way.next = f.word)
 SELECT f.word, f.form, way.at AS root, f.n, f.n_near, f.form_n FROM forms f JOIN way ON f.word = way.word AND way.next IS NULL
+""",
+    "op12_conversation_repair": f"""
+WITH RECURSIVE {CRC32},
+hashed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS how FROM conversations, crc_table),
+after AS (
+  SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN how = 1 THEN '' WHEN how = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE WHEN how = 0 THEN 0 WHEN how = 3 THEN 2 ELSE 1 END)) AS copy FROM hashed),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS solid FROM after),
+turns AS (
+  SELECT conv_id, i, turn, role, text, substr(role, 1, 1) AS initial, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+    CASE WHEN solid = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM placed),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+    count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM turns GROUP BY conv_id),
+runs(q, run, mid, lines) AS (
+  VALUES ('-', '', '-', []::VARCHAR[]), ('s', '', 's', []), ('u', '', 'u', []), ('a', '', 'a', []),
+    ('-', 'I', 'u', ['user:']), ('s', 'I', 'u', ['user:']), ('u', 'I', 'a', ['assistant:']), ('a', 'I', 'u', ['user:']),
+    ('-', 'II', 'a', ['user:', 'assistant:']), ('s', 'II', 'a', ['user:', 'assistant:']), ('u', 'II', 'u', ['assistant:', 'user:']), ('a', 'II', 'a', ['user:', 'assistant:'])),
+edits(edit, mid, initial, q, base) AS (
+  VALUES ('D', '-', NULL, '-', 2), ('D', 's', NULL, 's', 2), ('D', 'u', NULL, 'u', 2), ('D', 'a', NULL, 'a', 2), ('R', '-', NULL, 'u', 1), ('R', 's', NULL, 'u', 1), ('R', 'u', NULL, 'a', 1), ('R', 'a', NULL, 'u', 1),
+    ('K', '-', 's', 's', 0), ('K', '-', 'u', 'u', 0), ('K', 's', 'u', 'u', 0), ('K', 'a', 'u', 'u', 0), ('K', 'u', 'a', 'a', 0)),
+ways AS (
+  SELECT conv_id, 0::BIGINT AS i, '-' AS q, 0::BIGINT AS cost, '' AS audit, []::VARCHAR[] AS lines FROM counts
+  UNION ALL
+  SELECT conv_id, i, q, best.cost, best.audit, best.lines FROM (
+    SELECT w.conv_id, t.i, e.q, min({{'cost': (w.cost + 5 * length(r.run) + e.base + CASE WHEN t.fault = 'truncated' AND e.edit <> 'D' THEN 5 ELSE 0 END)::BIGINT, 'audit': w.audit || r.run || e.edit,
+      'lines': w.lines || r.lines || CASE e.edit WHEN 'D' THEN [] WHEN 'K' THEN [t.role || ':' || t.text] ELSE [CASE e.q WHEN 'u' THEN 'user:' ELSE 'assistant:' END || t.text] END}}) AS best
+    FROM ways w JOIN turns t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.i = w.i + 1 JOIN runs r ON r.q = w.q
+    JOIN edits e ON e.mid = r.mid AND (e.edit <> 'K' OR e.initial = t.initial) AND (e.edit = 'D' OR t.fault IS NULL OR t.fault = 'truncated')
+    GROUP BY ALL)),
+ended AS (
+  SELECT w.conv_id, min({{'cost': (w.cost + 5 * length(r.run))::BIGINT, 'audit': w.audit || r.run, 'lines': w.lines || r.lines}}) AS best
+  FROM ways w JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.i JOIN runs r ON r.q = w.q AND (r.mid = 'a' OR w.q = '-' AND r.run = '') GROUP BY ALL)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) ids LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM ids.conv_id
 """,
 }
