@@ -18,6 +18,7 @@ from .secret_scan import secret_digest
 from .sentencepiece_viterbi import token_digest
 from .spelling import spelling_variants
 from .substring_dedup import substring_dedup
+from .toxicity import toxicity
 
 MIX_SEED = "mix-1"
 
@@ -73,6 +74,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(table(spark, sf_dir, "conversations"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_pseudo_likelihood": op2_pseudo_likelihood,
@@ -86,6 +91,7 @@ QUERIES = {
     "op10_poisson_mix": op10_poisson_mix,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_toxicity": op13_toxicity,
 }
 
 #: crc32 of a text's bytes: a table of 256 remainders, then a byte at a time. DuckDB has no such function.

@@ -159,4 +159,4 @@ def test_query_equals_sql(spark, tiny):
     got = QUERIES["op12_conversation_repair"](spark, tiny)
     assert [t for _, t in got.dtypes] == ["bigint"] * 7 + ["string"] * 2
     rows = sorted(map(tuple, got.select(*found.columns).collect()))
-    assert rows == sorted(found.fetchall()) and len(rows) > 20
+    assert rows == sorted(found.fetchall()) and len(rows) >= 20
