@@ -14,12 +14,15 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: One fold in so many by crc32 of the id is held out (remainder 0); the last is for calibration, the others for the dictionaries.
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 4
 #: Labelled documents that are fitted on, those with the least hash of their id: of each label for the dictionaries, of
@@ -161,33 +164,40 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
-def _sample(docs: DataFrame, labels: DataFrame, of: Column, most: int) -> list:
-    """(text, label) of at most `most` labelled documents, those with the least hash of their id, and MOST_TOTAL characters."""
-    own = labels.where(of & fold(F.col("doc_id")).isin([k for k in range(FOLDS) if k != HELD_OUT]))
-    own = docs.join(own, "doc_id").where(F.coalesce(F.length("text"), F.lit(0)) <= MOST_CHARS)
-    sizes = own.select("doc_id", "toxic", F.xxhash64(F.lit("toxicity"), F.col("doc_id").cast("string")).alias("h"), F.coalesce(F.length("text"), F.lit(0)).alias("size"))
-    sizes = sizes.orderBy("h", "doc_id", "size").limit(most).collect()  # `most` rows of numbers
-    ids, total = set(), 0
-    for r in sizes:
-        total += r.size
-        if total <= MOST_TOTAL:
-            ids.add(r.doc_id)
-    kept = docs.sparkSession.createDataFrame([(i,) for i in ids], docs.select("doc_id").schema)
-    rows = own.join(F.broadcast(kept), "doc_id").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("text"), "toxic").collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.text))
-    return [(bytes(r.text), r.toxic) for r in rows[:most]]
+def _samples(docs: DataFrame, labels: DataFrame) -> dict[str, list]:
+    """Per part (toxic, ordinary, calibration) the (text, label) of at most as many labelled documents as it may have.
+
+    Ids are chosen from the labels alone, so that no text is shuffled: the documents are read once beside those ids.
+    Of rows with one id the least text stands for it.
+    """
+    labels = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    f = fold(F.col("doc_id"))
+    part = F.when(f == CALIBRATION, "calibration").when(F.col("toxic") == 1, "toxic").otherwise("ordinary")
+    labels = labels.where(f != HELD_OUT).select("doc_id", "toxic", part.alias("part"), F.xxhash64(F.lit("toxicity"), F.col("doc_id").cast("string")).alias("h"))
+    most = {"toxic": MOST_DOCS, "ordinary": MOST_DOCS, "calibration": MOST_CALIBRATION}
+    ids = reduce(DataFrame.unionByName, [labels.where(F.col("part") == k).orderBy("h", "doc_id").limit(n) for k, n in most.items()])
+    own = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= MOST_CHARS).join(F.broadcast(ids), "doc_id")
+    own = written(own.groupBy("part", "h", "doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")), "toxicity_sample")
+    sizes = own.select("part", "h", "doc_id", F.length("text").alias("size")).collect()  # a few thousand rows of numbers
+    taken, total = [], Counter()
+    for r in sorted(sizes, key=lambda r: (r.h, r.doc_id)):
+        total[r.part] += r.size
+        if total[r.part] <= MOST_TOTAL:
+            taken.append((r.doc_id,))
+    kept = docs.sparkSession.createDataFrame(taken, docs.select("doc_id").schema)
+    rows = own.join(F.broadcast(kept), "doc_id").select("part", "h", "doc_id", "toxic", F.encode("text", "utf-8").alias("text")).collect()
+    out: dict[str, list] = {k: [] for k in most}
+    for r in sorted(rows, key=lambda r: (r.h, r.doc_id)):
+        out[r.part].append((bytes(r.text), r.toxic))
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, window: int = WINDOW) -> Model:
     """The model of labelled documents outside the held-out fold. docs: doc_id, text; labels: doc_id, toxic (0, 1; others don't count)."""
-    docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
-    labels = labels.where("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    rest = fold(F.col("doc_id")) == CALIBRATION
-    toxic = _sample(docs, labels, ~rest & (F.col("toxic") == 1), MOST_DOCS)
-    ordinary = _sample(docs, labels, ~rest & (F.col("toxic") == 0), MOST_DOCS)
-    model = train([t for t, _ in toxic], [t for t, _ in ordinary], window)
-    known = _sample(docs, labels, rest, MOST_CALIBRATION)
-    if not known or not toxic:
+    own = _samples(docs.select("doc_id", "text").where("doc_id IS NOT NULL"), labels)
+    model = train([t for t, _ in own["toxic"]], [t for t, _ in own["ordinary"]], window)
+    known = own["calibration"]
+    if not known or not own["toxic"]:
         return Model(model.toxic, model.ordinary, model.trained, (-30.0, *model.weights[1:]), window)  # nothing says toxic
     distances = Distances(model)
     weights = _fitted(_shaped([distances.features(t) for t, _ in known]), np.array([y for _, y in known], float))
