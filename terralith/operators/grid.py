@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -192,40 +190,3 @@ def immediate_flow(cells: DataFrame, adjacency: DataFrame, outlets: DataFrame) -
     out = cells.select("cell", "elevation").join(per, "cell", "left").join(outlets.select("cell", F.lit(True).alias("out")).distinct(), "cell", "left")
     ends = F.when(F.col("elevation").isNull(), "incomplete_elevation").when(F.col("out"), "outlet").when(F.col("gap"), "incomplete_elevation").when(F.col("down").isNull(), "depression")
     return out.select("cell", F.when(ends.isNull(), F.col("down")).alias("down"), ends.alias("ends"))
-
-
-def priority_flood(cells: DataFrame, adjacency: DataFrame) -> DataFrame:
-    """Per connected domain the terminal of each cell and the level at which it spills. cells: domain, cell,
-    elevation, terminal_rank (null: no terminal); adjacency: domain, cell, nbr. Cells that no terminal reaches are null.
-
-    A heap per domain; domains are groups of their own and must each fit a task.
-    """
-    import pandas as pd
-
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> Iterator[pd.DataFrame] | pd.DataFrame:
-        import heapq
-
-        height = dict(zip(left.cell, left.elevation))
-        near: dict = {}
-        for a, b in zip(right.cell, right.nbr):
-            near.setdefault(a, []).append(b)
-        heap = [(z, 0.0, r, 0, c, c) for c, z, r in zip(left.cell, left.elevation, left.terminal_rank) if pd.notna(r) and pd.notna(z)]
-        heapq.heapify(heap)
-        done: dict = {}
-        while heap:
-            spill, fill, rank, steps, terminal, cell = heapq.heappop(heap)
-            if cell in done:
-                continue
-            done[cell] = (terminal, spill, fill, steps)
-            for other in near.get(cell, ()):
-                z = height.get(other)
-                if other not in done and z is not None and pd.notna(z):
-                    up = max(spill, z)
-                    heapq.heappush(heap, (up, up - z, rank, steps + 1, terminal, other))
-        rows = [(key[0], c, *done.get(c, (None, None, None, None))) for c in left.cell]
-        return pd.DataFrame(rows, columns=["domain", "cell", "terminal", "spill", "fill", "steps"]).astype({"steps": "Int64"})
-
-    kinds = {f.name: f.dataType.simpleString() for f in cells.schema}
-    adjacency = adjacency.select(*(F.col(c).alias(c) for c in ("domain", "cell", "nbr")))  # it may come from cells itself
-    schema = f"domain {kinds['domain']}, cell {kinds['cell']}, terminal {kinds['cell']}, spill double, fill double, steps long"
-    return cells.groupBy("domain").cogroup(adjacency.groupBy("domain")).applyInPandas(run, schema)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cells as C
-from ..operators import gates, geometry, grid, metrics, network, series, solver
+from ..operators import flood, gates, geometry, grid, metrics, network, series, solver
 from .adapters import GRID_SQL, NETWORK_SQL, RECTANGLES_SQL, part_grid, pipes_and_nodes, points, r6, rectangles, shown, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -251,14 +251,40 @@ def g13_concentration(spark, d):
     return grid.concentration(part_grid(spark, d), 30.0).select("idx", "terminal_type", "n_cells", "area_m2")
 
 
-@query()
+def flood_sql(phase: str, nodes: str, edges: str, onward: str, before: str) -> str:
+    """A recursive table `phase` of rounds: each cell's least label, its own or its neighbours' led on, until none changes.
+    nodes: cell, l (null: none yet), w; edges: cell, nbr; before: the label that comes first of two."""
+    return f"""{phase}_r AS (SELECT 0 AS k, cell, w, l, true AS moved FROM ({nodes})
+  UNION ALL SELECT k, cell, w, l, bool_or(l IS DISTINCT FROM was) OVER () FROM (
+    SELECT r.k + 1 AS k, r.cell, r.w, r.l AS was, least(r.l, min(CASE WHEN n.l IS NOT NULL THEN {onward} END)) AS l
+    FROM {phase}_r r LEFT JOIN ({edges}) e ON e.cell = r.cell LEFT JOIN {phase}_r n ON n.cell = e.nbr AND n.l IS NOT NULL WHERE r.moved GROUP BY r.k, r.cell, r.w, r.l)),
+{phase} AS (SELECT cell, {before} FROM {phase}_r WHERE k = (SELECT max(k) FROM {phase}_r))"""
+
+
+_FLOOD = f"""{GRID_SQL},
+z AS (SELECT idx AS cell, row, col, elevation AS z, CASE WHEN col IN (0, 49) OR row = 0 THEN idx % 3 END AS rank FROM grid WHERE elevation IS NOT NULL),
+near AS (SELECT a.cell, b.cell AS nbr, a.z FROM z a JOIN z b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND a.cell <> b.cell),
+{flood_sql("s", "SELECT cell, z AS w, CASE WHEN rank IS NOT NULL THEN z END AS l FROM z", "SELECT cell, nbr FROM near", "greatest(n.l, r.w)", "l AS spill")},
+kept AS (SELECT n.cell, n.nbr FROM near n JOIN s a ON a.cell = n.cell JOIN s b ON b.cell = n.nbr WHERE greatest(n.z, b.spill) = a.spill),
+{flood_sql("f", "SELECT z.cell, spill - z AS w, CASE WHEN rank IS NOT NULL THEN 0e0 END AS l FROM z JOIN s ON s.cell = z.cell WHERE spill IS NOT NULL", "SELECT cell, nbr FROM kept", "greatest(n.l, r.w)", "l AS fill, w AS own")},
+both_ AS (SELECT k.cell, k.nbr FROM kept k JOIN f a ON a.cell = k.cell JOIN f b ON b.cell = k.nbr WHERE greatest(b.fill, a.own) = a.fill),
+{flood_sql("t", "SELECT z.cell, 0 AS w, CASE WHEN rank IS NOT NULL THEN struct_pack(rank := rank, steps := 0::BIGINT, terminal := z.cell) END AS l FROM z JOIN s ON s.cell = z.cell WHERE spill IS NOT NULL", "SELECT cell, nbr FROM both_", "struct_pack(rank := n.l.rank, steps := n.l.steps + 1, terminal := n.l.terminal)", "l")},
+led AS (SELECT b.cell, arg_min(b.nbr, struct_pack(a := y.spill, b := g.fill, c := b.nbr)) AS down FROM both_ b JOIN t x ON x.cell = b.cell JOIN t n ON n.cell = b.nbr JOIN s y ON y.cell = b.nbr JOIN f g ON g.cell = b.nbr
+  WHERE x.l = struct_pack(rank := n.l.rank, steps := n.l.steps + 1, terminal := n.l.terminal) GROUP BY b.cell)"""
+
+
+@query(f"""WITH RECURSIVE {_FLOOD}
+SELECT z.cell, round(spill, 6) AS spill, round(fill, 6) AS fill, l.rank::INT AS terminal_rank, l.steps AS steps, l.terminal AS terminal, down
+FROM z LEFT JOIN s ON s.cell = z.cell LEFT JOIN f ON f.cell = z.cell LEFT JOIN t ON t.cell = z.cell LEFT JOIN led ON led.cell = z.cell""")
 def g12_priority_flood(spark, d):
-    """Spill levels of the part grid, eight-neighbours, terminals on the border: a heap, so rows only."""
-    g = part_grid(spark, d).where("elevation IS NOT NULL").withColumn("domain", F.lit(0))
+    """The part grid, eight neighbours, terminals of three ranks on three of its borders, in tiles of 25 by 25."""
+    g = part_grid(spark, d).where("elevation IS NOT NULL")
     border = (F.col("col").isin(0, 49)) | (F.col("row") == 0)
-    cells = g.select("domain", F.col("idx").alias("cell"), "elevation", F.when(border, 0).alias("terminal_rank"))
-    near = grid.neighbours(g, "idx").where("n_idx IS NOT NULL").select("domain", F.col("idx").alias("cell"), F.col("n_idx").alias("nbr"))
-    return grid.priority_flood(cells, near)
+    tile = F.concat_ws(":", F.floor(F.col("row") / 25), F.floor(F.col("col") / 25))
+    cells = g.select(tile.alias("tile"), F.col("idx").alias("cell"), "elevation", F.when(border, F.col("idx") % 3).alias("terminal_rank"))
+    near = grid.neighbours(g, "idx").where("n_idx IS NOT NULL").select(F.col("idx").alias("cell"), F.col("n_idx").alias("nbr"))
+    out = flood.priority_flood(cells, near)
+    return out.select("cell", r6("spill").alias("spill"), r6("fill").alias("fill"), "terminal_rank", "steps", "terminal", "down")
 
 
 _CELLDIM = "c AS (SELECT s_suppkey AS cell, s_acctbal AS elevation FROM supplier), adj AS (SELECT a.cell, b.cell AS nbr, 50e0 + (a.cell + b.cell) % 7 AS dist_m FROM c a JOIN c b ON abs(a.cell - b.cell) IN (1, 10))"

@@ -7,7 +7,7 @@ import struct
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from terralith.operators import gates, geometry, grid, metrics, network, series, solver
+from terralith.operators import flood, gates, geometry, grid, metrics, network, series, solver
 from terralith.plans import pipelines as P
 from terralith.sources import readers
 from terralith.streaming import ingest
@@ -136,12 +136,52 @@ def test_blocks_and_erosion(spark):
     assert {(r.row, r.col) for r in grid.eroded(cells, 1).collect()} == {(1, 2), (2, 1), (2, 2)}
 
 
-def test_priority_flood_and_idw(spark):
-    z = [5, 5, 5, 5, 1, 5, 3, 5, 5]
-    cells = spark.createDataFrame([(0, i, float(v), 0 if i == 6 else None) for i, v in enumerate(z)], "domain int, cell int, elevation double, terminal_rank int")
-    near = [(0, a, b) for a in range(9) for b in range(9) if a != b and abs(a // 3 - b // 3) + abs(a % 3 - b % 3) == 1]
-    got = {r.cell: r for r in grid.priority_flood(cells, spark.createDataFrame(near, "domain int, cell int, nbr int")).collect()}
-    assert got[4].spill == 5.0 and got[4].fill == 4.0 and got[4].terminal == 6 and got[6].steps == 0
+def flooded(cells, near):
+    """One heap over all cells: labels pop in order and are final then."""
+    import heapq
+
+    z = {c: h for c, h, _ in cells if h is not None}
+    best, heap = {}, [((h, 0.0, r, 0, c), c, None) for c, h, r in cells if r is not None and h is not None]
+    heapq.heapify(heap)
+    popped = {}
+    while heap:
+        label, c, down = heapq.heappop(heap)
+        if c in popped:
+            continue
+        popped[c] = (label, down)
+        for n in near.get(c, ()):
+            if n in z and n not in popped:
+                spill = max(z[n], label[0])
+                new = (spill, max(label[1], spill - z[n]), label[2], label[3] + 1, label[4])
+                if n not in best or new < best[n]:
+                    best[n] = new
+                    heapq.heappush(heap, (new, n, c))
+    # of neighbours that give the label, the one that popped first
+    out = {}
+    for c, (label, down) in popped.items():
+        ways = [(popped[n][0], n) for n in near.get(c, ()) if n in popped and (max(z[c], popped[n][0][0]), max(popped[n][0][1], max(z[c], popped[n][0][0]) - z[c]), popped[n][0][2], popped[n][0][3] + 1, popped[n][0][4]) == label]
+        out[c] = (*label, min(ways)[1] if down is not None else None)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_priority_flood_over_tiles_is_one_heap(spark, seed):
+    rng = random.Random(seed)
+    rows, cols = 14, 11
+    ids = [(r, c) for r in range(rows) for c in range(cols)]
+    key = lambda r, c: r * cols + c
+    cells = [(key(r, c), None if rng.random() < 0.06 else float(rng.randint(0, 9)) / 2, rng.choice([0, 1, 2]) if rng.random() < 0.06 else None) for r, c in ids]
+    near = {key(r, c): [key(r + i, c + j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i or j) and 0 <= r + i < rows and 0 <= c + j < cols] for r, c in ids}
+    df = spark.createDataFrame([(f"{r // 7}:{c // 6}", *x) for (r, c), x in zip(ids, cells)], "tile string, cell long, elevation double, terminal_rank int")
+    pairs = spark.createDataFrame([(a, b) for a, ns in near.items() for b in ns], "cell long, nbr long")
+    want = flooded(cells, near)
+    got = {r.cell: (r.spill, r.fill, r.terminal_rank, r.steps, r.terminal, r.down) for r in flood.priority_flood(df, pairs).collect()}
+    assert len(got) == len(cells)
+    assert {c: v for c, v in got.items() if v[0] is not None} == want
+    if seed == 1:
+        none = flood.priority_flood(df.withColumn("terminal_rank", F.lit(None).cast("int")), pairs).collect()
+        assert len(none) == len(cells) and all(r.spill is None and r.terminal is None for r in none)
+        assert flood.priority_flood(df.limit(0), pairs.limit(0)).count() == 0
 
 
 # Geometry ---------------------------------------------------------------------------------
