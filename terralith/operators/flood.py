@@ -110,5 +110,5 @@ def priority_flood(cells: DataFrame, adjacency: DataFrame) -> DataFrame:
 
 
 def depression_fill(spill: Column, elevation: Column) -> Column:
-    """How far a cell is raised: its spill level above its elevation, at least 0."""
-    return F.greatest(F.lit(0.0), spill - elevation)
+    """How far a cell is raised: its spill level above its elevation, at least 0; null where either is missing."""
+    return F.when((spill - elevation).isNotNull(), F.greatest(F.lit(0.0), spill - elevation))

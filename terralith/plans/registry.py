@@ -1,6 +1,7 @@
 """All registered queries of the library's own operators, with SQL where SQL can express them."""
 
-from . import queries_core, queries_more, queries_rest, queries_space, queries_surface
+from . import queries_core, queries_more, queries_observed, queries_rest, queries_space, queries_surface
 
-QUERIES = {**queries_core.QUERIES, **queries_space.QUERIES, **queries_more.QUERIES, **queries_rest.QUERIES, **queries_surface.QUERIES}
-SQL = {**queries_core.SQL, **queries_space.SQL, **queries_more.SQL, **queries_rest.SQL, **queries_surface.SQL}
+_MODULES = (queries_core, queries_space, queries_more, queries_rest, queries_surface, queries_observed)
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}

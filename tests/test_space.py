@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from terralith.operators import flood, gates, geometry, grid, metrics, network, series, solver
+from terralith.plans import observed
 from terralith.plans import pipelines as P
 from terralith.sources import readers
 from terralith.streaming import ingest
@@ -184,6 +185,33 @@ def test_priority_flood_over_tiles_is_one_heap(spark, seed):
         assert flood.priority_flood(df.limit(0), pairs.limit(0)).count() == 0
 
 
+def test_observed_surface_of_one_area(spark):
+    """Five cells in a row, the outlet at one end, water at the other, a gap that is filled and a bowl that is raised."""
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    targets = frame([(7, 0, c, 10.0) for c in range(5)] + [(8, 0, 9, 10.0)], "area int, tile int, cell long, area_m2 double")
+    adjacency = frame([(c, n) for c in range(5) for n in (c - 1, c + 1) if 0 <= n < 5] + [(9, 10)], "cell long, nbr long")
+    high = {0: 1.0, 1: 0.5, 2: None, 3: 4.0, 4: 2.0, 9: 1.0}
+    elevation = frame([(c, z, "missing" if z is None else "available") for c, z in high.items()], "cell long, value double, status string")
+    surface = frame([(c, "surface_water" if c in (0, 4) else "road", "available") for c in high], "cell long, value string, status string")
+    outlets = frame([(7, "o", 0)], "area int, node_id string, cell long")
+    pairs = frame([(2, c, abs(c - 2)) for c in (0, 1, 3, 4)], "cell long, nbr long, steps int")
+    layer = lambda v: frame([(c, v, "available", None) for c in high], "cell long, value double, status string, reason string")
+    layers = {"rain": layer(100.0), "slope": layer(0.0), "land_cover": layer(111.0)}
+    for state, reason in (("isolated", "outfall_network_isolated"), (None, None)):
+        connectivity = frame([("o", state)] if state else [], "outfall_id string, status string")
+        cells, areas = observed.observed_surface(targets, adjacency, elevation, surface, outlets, connectivity, layers, pairs)
+        by = {r.area: r for r in areas.collect()}
+        assert (by[8].status, by[8].value, by[8].propagation) == ("out_of_coverage", None, "not_attempted")
+        if state is None:
+            assert (by[7].status, by[7].runoff_status, by[7].value) == ("invalid_response", "invalid_response", None)
+            continue
+        assert (by[7].status, by[7].value, by[7].n_contributing, by[7].n_interpolated, by[7].n_water, by[7].n_water_exit, by[7].n_raised) == ("available", 30.0, 3, 1, 1, 1, 1)
+        assert by[7].blocking_reasons == ["not_observed_sewer_catchment"] + [reason] * (reason is not None) and by[7].runoff_status == "available" and by[7].runoff_m3 > 0
+        got = {r.cell: r for r in cells.where("area = 7").collect()}
+        assert math.isclose(got[2].terrain, (1.0 / 2 + 0.5 + 4.0 + 2.0 / 2) / (0.5 + 1 + 1 + 0.5)) and got[2].method == observed.FILLED
+        assert (got[1].hydrologic, got[1].fill_m, got[1].down, got[1].steps) == (1.0, 0.5, 0, 1) and got[4].fill_m is None and got[3].termination == "observed_surface_water_exit"
+
+
 # Geometry ---------------------------------------------------------------------------------
 
 
