@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import projections
 from ..functions import scalars as S
 from ..operators import cells as C
 from ..operators import cube, gates, geometry, grid, runoff
@@ -208,3 +209,68 @@ def g14_volumes(spark, d):
     p = table(spark, d, "part")
     out = grid.volumes(p.select(k.alias("idx"), F.when(k % 32 != 0, k - 1).alias("down")), p.select(k.alias("idx"), F.col("p_retailprice").alias("volume")))
     return out.select(F.col("node_id").alias("idx"), F.round("total", 2).alias("volume"))
+
+
+# Projections --------------------------------------------------------------------------------
+
+_PLACES = "p AS (SELECT c_custkey AS k, radians(lat) AS la, radians(lon) AS lo, lat, lon FROM (SELECT c_custkey, 44e0 + c_custkey % 1400 / 100e0 AS lat, -5e0 + (c_custkey * 7) % 1900 / 100e0 AS lon FROM customer))"
+
+
+def _places(spark, d):
+    k = F.col("c_custkey")
+    return table(spark, d, "customer").select(k.alias("k"), (44.0 + k % 1400 / 100.0).alias("lat"), (-5.0 + (k * 7) % 1900 / 100.0).alias("lon"))
+
+
+@query(f"""WITH {_PLACES},
+c AS (SELECT sqrt(e2) AS e, e2, 6378137e0 AS a FROM (SELECT f * (2 - f) AS e2 FROM (SELECT 1 / 298.257222101e0 AS f))),
+q AS (SELECT c.*, (1 - e2) * (1 / (1 - e2) - ln((1 - e) / (1 + e)) / (2 * e)) AS qp, sin(radians(52e0)) AS s0, cos(radians(52e0)) AS c0 FROM c),
+o AS (SELECT q.*, a * sqrt(qp / 2) AS rq, asin((1 - e2) * (s0 / (1 - e2 * s0 * s0) - ln((1 - e * s0) / (1 + e * s0)) / (2 * e)) / qp) AS b0 FROM q),
+g AS (SELECT o.*, a * c0 / sqrt(1 - e2 * s0 * s0) / (rq * cos(b0)) AS d, k, lat, lon, lo - radians(10e0) AS dl, asin((1 - e2) * (sin(la) / (1 - e2 * sin(la) * sin(la)) - ln((1 - e * sin(la)) / (1 + e * sin(la))) / (2 * e)) / qp) AS b FROM o, p),
+w AS (SELECT *, rq * sqrt(2 / (1 + sin(b0) * sin(b) + cos(b0) * cos(b) * cos(dl))) AS m FROM g)
+SELECT k, round(4321000 + m * d * cos(b) * sin(dl), 3) AS x, round(3210000 + m / d * (cos(b0) * sin(b) - sin(b0) * cos(b) * cos(dl)), 3) AS y, round(lat, 6) AS lat_back, round(lon, 6) AS lon_back FROM w""")
+def p41_equal_area(spark, d):
+    """EPSG:3035 and back."""
+    out = projections.unprojected(projections.projected(_places(spark, d), 3035), 3035, lat="lat_back", lon="lon_back")
+    return out.select("k", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), r6("lat_back").alias("lat_back"), r6("lon_back").alias("lon_back"))
+
+
+def _geocentric_sql(a: float, inverse_f: float, shift: tuple[float, ...]) -> str:
+    """Latitude and longitude h.la, h.lo of places p on another ellipsoid, by seven parameters from WGS84."""
+    dx, dy, dz, rx, ry, rz, ppm = shift
+    return f"""v AS (SELECT 6378137e0 AS a, 0.0066943799901413165e0 AS e2, {a!r}::DOUBLE AS b, (2 - 1 / {inverse_f!r}::DOUBLE) / {inverse_f!r}::DOUBLE AS q2),
+x0 AS (SELECT k, b, q2, a / sqrt(1 - e2 * pow(sin(la), 2)) AS n, la, lo, e2 FROM p, v),
+x1 AS (SELECT k, b, q2, (n * cos(la) * cos(lo) - {dx}) / (1 + {ppm} / 1e6) AS x, (n * cos(la) * sin(lo) - {dy}) / (1 + {ppm} / 1e6) AS y, (n * (1 - e2) * sin(la) - {dz}) / (1 + {ppm} / 1e6) AS z FROM x0),
+r AS (SELECT radians({rx} / 3600e0) AS rx, radians({ry} / 3600e0) AS ry, radians({rz} / 3600e0) AS rz),
+x2 AS (SELECT k, b, q2, b * sqrt(1 - q2) AS bm, x + rz * y - ry * z AS x, y - rz * x + rx * z AS y, z + ry * x - rx * y AS z FROM x1, r),
+x3 AS (SELECT *, sqrt(x * x + y * y) AS pp, atan2(z * b, sqrt(x * x + y * y) * bm) AS t FROM x2),
+x4 AS (SELECT *, atan2(z + q2 / (1 - q2) * bm * pow(sin(t), 3), pp - q2 * b * pow(cos(t), 3)) AS l1 FROM x3),
+x5 AS (SELECT *, atan2(bm / b * sin(l1), cos(l1)) AS t2 FROM x4),
+h AS (SELECT k, b AS a, q2 AS e2, sqrt(q2) AS e, atan2(z + q2 / (1 - q2) * bm * pow(sin(t2), 3), pp - q2 * b * pow(cos(t2), 3)) AS la, atan2(y, x) AS lo FROM x5)"""
+
+
+@query(f"""WITH {_PLACES}, {_geocentric_sql(6377397.155, 299.1528128, (565.4171, 50.3319, 465.5524, -0.398957, 0.343988, -1.8774, 4.0725))},
+s AS (SELECT radians(52.15616055555555e0) AS l0, radians(5.38763888888889e0) AS o0),
+g AS (SELECT h.*, o0, l0, sqrt(1 - e2) / (1 - e2 * pow(sin(l0), 2)) AS rad, sqrt(1 + e2 * pow(cos(l0), 4) / (1 - e2)) AS n FROM h, s),
+u AS (SELECT *, asin(sin(l0) / n) AS c0 FROM g),
+w AS (SELECT *, tan(c0 / 2 + pi() / 4) / (pow(tan(l0 / 2 + pi() / 4), n) * pow((1 - e * sin(l0)) / (1 + e * sin(l0)), n * e / 2)) AS fac, n * (lo - o0) AS dl FROM u),
+x AS (SELECT *, 2 * atan(fac * pow(tan(la / 2 + pi() / 4), n) * pow((1 - e * sin(la)) / (1 + e * sin(la)), n * e / 2)) - pi() / 2 AS chi FROM w),
+y AS (SELECT *, 2 * rad * 0.9999079e0 * a / (1 + sin(c0) * sin(chi) + cos(c0) * cos(chi) * cos(dl)) AS m FROM x)
+SELECT y.k, round(155000 + m * cos(chi) * sin(dl), 3) AS x, round(463000 + m * (cos(c0) * sin(chi) - sin(c0) * cos(chi) * cos(dl)), 3) AS y, round(lat, 4) AS lat_back, round(lon, 4) AS lon_back FROM y JOIN p ON p.k = y.k""")
+def p41_double_stereographic(spark, d):
+    """EPSG:28992 and back, by way of its own ellipsoid."""
+    out = projections.unprojected(projections.projected(_places(spark, d), 28992), 28992, lat="lat_back", lon="lon_back")
+    return out.select("k", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.round("lat_back", 4).alias("lat_back"), F.round("lon_back", 4).alias("lon_back"))
+
+
+@query(f"""WITH {_PLACES}, {_geocentric_sql(6377563.396, 299.3249753150316, (446.448, -125.157, 542.06, 0.1502, 0.247, 0.8421, -20.4894))},
+s AS (SELECT *, a / (1 + n) * (1 + n * n / 4 + pow(n, 4) / 64) AS rad, n / 2 - 2 * n * n / 3 + 5 * pow(n, 3) / 16 + 41 * pow(n, 4) / 180 AS a1, 13 * n * n / 48 - 3 * pow(n, 3) / 5 + 557 * pow(n, 4) / 1440 AS a2,
+  61 * pow(n, 3) / 240 - 103 * pow(n, 4) / 140 AS a3, 49561 * pow(n, 4) / 161280 AS a4 FROM (SELECT k, a, e, la, lo + radians(2e0) AS dl, f / (2 - f) AS n, radians(49e0) AS l0 FROM (SELECT *, 1 / 299.3249753150316e0 AS f FROM h))),
+t AS (SELECT *, sinh(atanh(sin(la)) - e * atanh(e * sin(la))) AS t, atan(sinh(atanh(sin(l0)) - e * atanh(e * sin(l0)))) AS x0 FROM s),
+u AS (SELECT *, atan2(t, cos(dl)) AS xi, atanh(sin(dl) / sqrt(1 + t * t)) AS eta FROM t)
+SELECT k, round(400000 + 0.9996012717e0 * rad * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta) + a4 * cos(8 * xi) * sinh(8 * eta)), 3) AS x,
+  round(-100000 + 0.9996012717e0 * rad * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta) + a4 * sin(8 * xi) * cosh(8 * eta) - x0 - a1 * sin(2 * x0) - a2 * sin(4 * x0) - a3 * sin(6 * x0) - a4 * sin(8 * x0)), 3) AS y,
+  round(lat, 4) AS lat_back, round(lon, 4) AS lon_back FROM u JOIN p USING (k)""")
+def p41_transverse_mercator(spark, d):
+    """EPSG:27700 and back, by way of its own ellipsoid."""
+    out = projections.unprojected(projections.projected(_places(spark, d), 27700), 27700, lat="lat_back", lon="lon_back")
+    return out.select("k", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.round("lat_back", 4).alias("lat_back"), F.round("lon_back", 4).alias("lon_back"))

@@ -169,3 +169,36 @@ def test_scalars(spark):
     assert math.isclose(row.h, math.radians(1) * 6371000, rel_tol=1e-9) and row.t == "S01_00_E011_00" and math.isclose(row.p, 2 * row.h, rel_tol=1e-9)
     assert abs(row.u.east - 682_800) < 500 and abs(row.u.north - 4_929_900) < 1_000
     assert tuple(row.g) == (312000, 534000, 313000, 535000) and str(row.d) == "2020-02-03" and row.n is None and row.c is None and row.z == 0.0 and row.q == 255
+
+
+def test_projections(spark):
+    """The worked examples that the systems' definitions are published with, and there and back."""
+    from terralith.functions import projections as Pr
+
+    dms = lambda d, m, s: d + m / 60 + s / 3600
+    known = [(3035, 50.0, 5.0, 3962799.45, 2999718.85), (27700, dms(52, 39, 27.2531), dms(1, 43, 4.5177), 651409.903, 313177.270), (28992, 53.0, 6.0, 196105.283, 557057.739)]
+    for epsg, lat, lon, x, y in known:
+        df = spark.createDataFrame([(1, lat, lon)], "k int, lat double, lon double")
+        r = Pr.projected(df, epsg, shift=False).first()
+        assert math.isclose(r.x, x, abs_tol=0.006) and math.isclose(r.y, y, abs_tol=0.006), (epsg, r)
+    church = spark.createDataFrame([(52.155172897, 5.387203657)], "lat double, lon double")
+    r = Pr.projected(church, 28992).first()
+    assert math.hypot(r.x - 155000, r.y - 463000) < 1
+    norfolk = spark.createDataFrame([(dms(52, 39, 28.72), dms(1, 42, 57.79))], "lat double, lon double")
+    r = Pr.projected(norfolk, 27700).first()
+    assert math.hypot(r.x - 651409.9, r.y - 313177.3) < 1
+    rows = [(i, 44.0 + i % 14, -5.0 + (i * 7) % 19 + i / 97) for i in range(120)] + [(500, None, 3.0), (501, 95.0, 3.0), (502, 52.0, 10.0)]
+    df = spark.createDataFrame(rows, "k int, lat double, lon double")
+    for epsg, off in ((3035, 2e-8), (27700, 3e-6), (28992, 3e-6), (32632, 1e-9)):
+        back = {r.k: r for r in Pr.unprojected(Pr.projected(df, epsg), epsg, lat="la", lon="lo").collect()}
+        assert len(back) == len(rows) and back[500].la is None and back[501].x is None
+        assert all(abs(r.la - r.lat) < off and abs(r.lo - r.lon) < 2 * off for k, r in back.items() if k not in (500, 501)), epsg
+    utm = Pr.projected(df.where("lon BETWEEN 6 AND 12"), 32632).select("*", S.crs_to_utm("lat", "lon", 32).alias("u")).collect()
+    assert all(abs(r.x - r.u.east) < 0.01 and abs(r.y - r.u.north) < 0.01 for r in utm)
+    over = Pr.reprojected(Pr.projected(df.where("k < 5"), 27700), 27700, 3035).collect()
+    straight = {r.k: r for r in Pr.projected(df.where("k < 5"), 3035).collect()}
+    assert all(math.hypot(r.x - straight[r.k].x, r.y - straight[r.k].y) < 0.5 for r in over)
+    with pytest.raises(ValueError):
+        Pr.system(4326)
+    plan = Pr.projected(df, 28992)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
