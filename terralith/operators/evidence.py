@@ -76,19 +76,15 @@ def strict_sum(df: DataFrame, keys: list[str], value: str, status: str, window:
 
     Empty groups don't exist here; a left join gives them (see catchment_totals). Null values count as missing.
     """
-    def facts(x: Column) -> Column:
-        ok = F.coalesce(x["v"].isNotNull() & x["s"].isin(*CARRYING), F.lit(False))
-        rank = F.when(~ok, F.coalesce(rank_of(x["s"], precedence), F.lit(precedence.index("missing"))))
-        return F.struct(F.when(ok, x["v"]).alias("v"), ok.alias("ok"), rank.alias("rank"), F.coalesce(x["s"] == "synthetic_fixture", F.lit(False)).alias("fixture"))
-
-    # bound once: the inputs may be long expressions
-    own = F.transform(F.array(F.struct(F.col(value).alias("v"), F.col(status).alias("s"))), facts)[0]
-    rows = df.select(*keys, own.alias("__e"), *([F.col(window).alias("__window")] if window else []))
-    ok = F.col("__e.ok")
+    # in stages, so that long inputs are computed once
+    rows = df.select(*keys, F.col(value).alias("__v"), F.col(status).alias("__s"), *([F.col(window).alias("__window")] if window else []))
+    rows = rows.withColumn("__ok", F.coalesce(F.col("__v").isNotNull() & F.col("__s").isin(*CARRYING), F.lit(False)))
+    ok = F.col("__ok")
+    rank = F.when(~ok, F.coalesce(rank_of(F.col("__s"), precedence), F.lit(precedence.index("missing"))))
     spread = F.max(F.when(ok, F.col("__window"))).eqNullSafe(F.min(F.when(ok, F.col("__window")))) if window else F.lit(True)
     out = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_inputs"), F.count_if(~ok).alias("n_missing"), F.sum("__e.v").alias("partial"),
-        F.min("__e.rank").alias("__worst"), F.bool_or("__e.fixture").alias("__fixture"), spread.alias("__one_window"),
+        F.count(F.lit(1)).alias("n_inputs"), F.count_if(~ok).alias("n_missing"), F.sum(F.when(ok, F.col("__v"))).alias("partial"),
+        F.min(rank).alias("__worst"), F.bool_or(F.coalesce(F.col("__s") == "synthetic_fixture", F.lit(False))).alias("__fixture"), spread.alias("__one_window"),
     )
     names = F.array(*map(F.lit, (*precedence, "invalid_response")))
     status_out = F.when(F.col("n_missing") > 0, F.element_at(names, F.coalesce("__worst", F.lit(0)) + 1)).when(~F.col("__one_window"), "invalid_response").when(F.col("__fixture"), "synthetic_fixture").otherwise("available")

@@ -31,24 +31,20 @@ def runoff(rain: str = "rain", slope: str = "slope", land_cover: str = "land_cov
     # a carrying status without a value is a missing one
     status = {n: F.when(v.isNull() & F.coalesce(F.col(f"{inputs[n]}.status").isin(*CARRYING), F.lit(True)), F.lit("missing")).otherwise(F.col(f"{inputs[n]}.status")) for n, v in value.items()}
     r, s, k = value.values()
+    base = family(k, 2)
+    none = r.isNull() | s.isNull() | k.isNull()
     gone = F.array_join(F.array_compact(F.array(*(F.when(v.isNull(), F.concat(F.lit(f"{n}="), status[n])) for n, v in value.items()))), "; ")
-    fixture = F.greatest(*(F.coalesce(x == "synthetic_fixture", F.lit(False)) for x in status.values()))
-    facts = F.struct(r.alias("r"), s.alias("s"), k.alias("k"), family(k, 2).alias("base"), gone.alias("gone"), worst_of(list(status.values())).alias("failed"), fixture.alias("fixture"))
-
-    def decide(x: Column) -> Column:
-        reason = (
-            F.when(x["gone"] != "", x["gone"]).when(F.isnan(x["r"]) | (x["r"] < 0) | (x["r"] == float("inf")), "rainfall is not a number from 0")
-            .when(F.isnan(x["s"]) | (x["s"] < 0) | (x["s"] > 90), "slope is outside 0..90").when(F.isnan(x["k"]) | (x["k"] < 0) | (x["k"] != F.floor(x["k"])), "land cover is not a whole code").when(x["base"].isNull(), "land cover is outside the table")
-        )
-        amount = x["r"] * F.least(F.lit(1.0), x["base"] + F.least(x["s"], F.lit(30.0)) / 30 * 0.1)
-        return F.struct(amount.alias("amount"), x["gone"].alias("gone"), x["failed"].alias("failed"), x["fixture"].alias("fixture"), reason.alias("reason"))
-
-    def evidence(x: Column) -> Column:
-        status = F.when(x["reason"].isNull(), F.when(x["fixture"], "synthetic_fixture").otherwise("available")).when(x["gone"] != "", F.coalesce(x["failed"], F.lit("invalid_response"))).otherwise("invalid_response")
-        return F.struct(F.when(x["reason"].isNull(), x["amount"]).alias("value"), status.alias("status"), x["reason"].alias("reason"))
-
-    # bound step by step, so that no expression is repeated in the plan
-    return F.transform(F.transform(F.array(facts), decide), evidence)[0]
+    fixture = F.lit(False)
+    for x in status.values():
+        fixture |= F.coalesce(x == "synthetic_fixture", F.lit(False))
+    reason = (
+        F.when(none, gone).when(F.isnan(r) | (r < 0) | (r == float("inf")), "rainfall is not a number from 0")
+        .when(F.isnan(s) | (s < 0) | (s > 90), "slope is outside 0..90").when(F.isnan(k) | (k < 0) | (k != F.floor(k)), "land cover is not a whole code").when(base.isNull(), "land cover is outside the table")
+    )
+    amount = r * F.least(F.lit(1.0), base + F.least(s, F.lit(30.0)) / 30 * 0.1)
+    carried = reason.isNull()
+    failed = F.when(carried, F.when(fixture, "synthetic_fixture").otherwise("available")).when(none, F.coalesce(worst_of(list(status.values())), F.lit("invalid_response"))).otherwise("invalid_response")
+    return F.struct(F.when(carried, amount).alias("value"), failed.alias("status"), reason.alias("reason"))
 
 
 def runoff_risk(rain: Column, slope: Column, land_cover: Column) -> Column:
