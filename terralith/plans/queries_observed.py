@@ -1,4 +1,4 @@
-"""Registered queries: the surface around outfalls."""
+"""Registered queries: the surface around outfalls (X08), forcing frames."""
 
 from __future__ import annotations
 
@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import grid
-from . import observed
-from .adapters import r6, table
+from ..operators import geometry, grid
+from . import forcing, observed
+from .adapters import RECTANGLES_SQL, r6, rectangles, table
 from .queries_space import flood_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,29 @@ SELECT area, node_id, status, CASE WHEN reached AND whole THEN n_contributing *
 def x08_observed_surface(spark, d):
     out = _surface(spark, d)[1].drop("eligible")
     return out.withColumns({"runoff_m3": r6("runoff_m3"), "blocking_reasons": F.array_join("blocking_reasons", ",")})
+
+
+# Forcing ------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {RECTANGLES_SQL}, i AS (SELECT unnest(range(8))::INT AS interval), j AS (SELECT unnest(range(4))::INT AS slot),
+rain AS (SELECT source, slot, CASE WHEN source % 97 <> 0 THEN (source * (slot + 3)) % 40 / 4e0 END AS mm FROM src, j),
+fell AS (SELECT target, slot, sum(mm * (area / 100)) AS mm, count(*) - count(mm) AS dry FROM pairs JOIN rain USING (source) WHERE target % 9 <> 0 GROUP BY ALL),
+wt AS (SELECT source, target, area / sum(area) OVER (PARTITION BY source) AS weight FROM pairs WHERE source % 10 = 7),
+flow AS (SELECT target, interval, sum(CASE WHEN source % 70 <> 67 OR interval <> 5 THEN source % 11 * (interval + 1) / 2e0 END * weight) AS m3, count(*) FILTER (WHERE source % 70 = 67 AND interval = 5) AS lost FROM wt, i GROUP BY ALL),
+f AS (SELECT t.target AS cell, i.interval, CASE WHEN t.target % 9 = 0 OR dry IS NULL THEN 0 WHEN dry = 0 THEN mm / 1000 / 1800 * (0.2e0 + t.target % 5 / 10e0) END AS r, CASE WHEN lost IS NULL THEN 0 WHEN lost = 0 THEN m3 END AS q
+  FROM tgt t CROSS JOIN i LEFT JOIN fell ON fell.target = t.target AND fell.slot = i.interval // 2 LEFT JOIN flow ON flow.target = t.target AND flow.interval = i.interval)
+SELECT cell, interval, round(r * 1e9, 4) AS rain_nm_s, round(q, 6) AS river_m3_s, CASE WHEN r IS NULL OR q IS NULL THEN 'missing' ELSE 'available' END AS status FROM f""")
+def l03_forcing_frames(spark, d):
+    """Rectangles of suppliers as rain cells and as river stations, over those of customers, eight intervals in four slots."""
+    targets, sources = rectangles(spark, d)
+    mapping = geometry.overlaps(targets, sources, 25.0)
+    k, t = F.col("source"), F.col("id")
+    each = sources.select(t.alias("source"))
+    rain = each.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("amount_mm", F.when(k % 97 != 0, (k * (F.col("slot") + 3)) % 40 / 4.0))
+    rivers = each.where(k % 10 == 7).withColumn("interval", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    rivers = rivers.where((k % 70 != 67) | (F.col("interval") != 5)).withColumn("excess_m3_s", k % 11 * (F.col("interval") + 1) / 2.0)
+    weights = geometry.footprint_weights(mapping.where(k % 10 == 7))
+    cells = targets.select(t.alias("cell"), (t % 9 != 0).alias("valid"), (0.2 + t % 5 / 10.0).alias("coefficient"))
+    out = forcing.forcing_frames(cells, mapping, rain, weights, rivers, 8)
+    return out.select("cell", "interval", F.round(F.col("rain_m_s") * 1e9, 4).alias("rain_nm_s"), r6("river_m3_s").alias("river_m3_s"), "status")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from terralith.operators import flood, gates, geometry, grid, metrics, network, series, solver
-from terralith.plans import observed
+from terralith.plans import forcing, observed
 from terralith.plans import pipelines as P
 from terralith.sources import readers
 from terralith.streaming import ingest
@@ -212,6 +212,18 @@ def test_observed_surface_of_one_area(spark):
         assert (got[1].hydrologic, got[1].fill_m, got[1].down, got[1].steps) == (1.0, 0.5, 0, 1) and got[4].fill_m is None and got[3].termination == "observed_surface_water_exit"
 
 
+def test_forcing_frames(spark):
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    cells = frame([(1, True, 0.5), (2, False, 0.5), (3, True, 1.0)], "cell int, valid boolean, coefficient double")
+    mapping = frame([(1, "a", 0.25), (1, "b", 0.75), (2, "a", 1.0)], "target int, source string, fraction double")
+    rain = frame([("a", 0, 36.0), ("b", 0, 12.0), ("a", 1, 0.0)], "source string, slot int, amount_mm double")
+    weights = frame([("r", 2, 0.4), ("r", 3, 0.6)], "source string, target int, weight double")
+    rivers = frame([("r", i, 10.0 * i) for i in (0, 1, 3)], "source string, interval int, excess_m3_s double")
+    got = {(r.cell, r.interval): (r.rain_m_s, r.river_m3_s, r.status) for r in forcing.forcing_frames(cells, mapping, rain, weights, rivers, 4).collect()}
+    assert len(got) == 12 and got[1, 0] == got[1, 1] == (pytest.approx(18 / 1000 / 1800 * 0.5), 0.0, "available")
+    assert got[1, 2] == (None, 0.0, "missing") and got[2, 3] == (0.0, 12.0, "available") and got[3, 1] == (0.0, 6.0, "available") and got[3, 2] == (0.0, None, "missing")
+
+
 # Geometry ---------------------------------------------------------------------------------
 
 
