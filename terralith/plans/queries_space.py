@@ -277,10 +277,10 @@ led AS (SELECT b.cell, arg_min(b.nbr, struct_pack(a := y.spill, b := g.fill, c :
 SELECT z.cell, round(spill, 6) AS spill, round(fill, 6) AS fill, l.rank::INT AS terminal_rank, l.steps AS steps, l.terminal AS terminal, down
 FROM z LEFT JOIN s ON s.cell = z.cell LEFT JOIN f ON f.cell = z.cell LEFT JOIN t ON t.cell = z.cell LEFT JOIN led ON led.cell = z.cell""")
 def g12_priority_flood(spark, d):
-    """The part grid, eight neighbours, terminals of three ranks on three of its borders, in tiles of 25 by 25."""
+    """The part grid, eight neighbours, terminals of three ranks on three of its borders, in tiles of 64 rows by 25 columns."""
     g = part_grid(spark, d).where("elevation IS NOT NULL")
     border = (F.col("col").isin(0, 49)) | (F.col("row") == 0)
-    tile = F.concat_ws(":", F.floor(F.col("row") / 25), F.floor(F.col("col") / 25))
+    tile = F.concat_ws(":", F.floor(F.col("row") / 64), F.floor(F.col("col") / 25))
     cells = g.select(tile.alias("tile"), F.col("idx").alias("cell"), "elevation", F.when(border, F.col("idx") % 3).alias("terminal_rank"))
     near = grid.neighbours(g, "idx").where("n_idx IS NOT NULL").select(F.col("idx").alias("cell"), F.col("n_idx").alias("nbr"))
     out = flood.priority_flood(cells, near)
