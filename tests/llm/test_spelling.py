@@ -66,9 +66,8 @@ def made(seed, n_docs, alphabet="abcé", most=9):
     return docs
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_all_pairs(spark, seed):
-    docs = [*made(seed, 150), (None, "qqqqqqq " * 6), (500, None), (501, ""), (502, "×bcdef÷ " * 7), (503, "z" * 30_000 + " " + ("z" * 29_999 + " ") * 6), (503, "z" * 30_000), *[(504 + i, "Z" * 30_000) for i in range(4)]]
+def test_all_pairs(spark):
+    docs = [*made(1, 200), (None, "qqqqqqq " * 6), (500, None), (501, ""), (502, "×bcdef÷ " * 7), (503, "z" * 30_000 + " " + ("z" * 29_999 + " ") * 6), (503, "z" * 30_000), *[(504 + i, "Z" * 30_000) for i in range(4)]]
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], "doc_id long, text string, word string, n int")
     got = {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in spelling_variants(df).collect()}
     want = by_force(counted(docs))
