@@ -338,6 +338,97 @@ def test_scenarios_balance(spark):
     assert got["a"].balanced and math.isclose(got["a"].volume_in, 16 * 100 * 36 / 1000 / 60) and got["b"].volume_in == 0.0
 
 
+def stepped(ground, rough, rain, river, edges, every, size):
+    """An event cell by cell and face by face, in plain loops. ground: {(row, col): elevation}; rain and river: {cell: by interval}."""
+    h, q = dict.fromkeys(ground, 0.0), {}
+    outputs = {every * i for i in range(1, int(edges[-1] / every) + 1)} | {edges[-1]}
+    most, index, now, left, seen = dict.fromkeys(ground, 0.0), dict.fromkeys(ground, 0), 0.0, 0.0, 0
+    for mark in sorted(outputs | set(edges[1:])):
+        k = max(i for i, e in enumerate(edges) if e <= now)
+        while mark - now > 1e-9:
+            deepest = max(h.values())
+            stable = 5.0 if deepest < 1e-3 else min(5.0, 0.7 * size / math.sqrt(9.80665 * deepest))
+            dt = (mark - now) / math.ceil((mark - now) / stable - 1e-9)
+            new = {}
+            for a in ground:
+                for b in ((a[0] + 1, a[1]), (a[0], a[1] + 1)):
+                    if b in ground:
+                        deep = max(ground[a] + h[a], ground[b] + h[b]) - max(ground[a], ground[b])
+                        if deep >= 1e-3:
+                            old = q.get((a, b), 0.0)
+                            push = old - 9.80665 * deep * dt * (ground[b] + h[b] - ground[a] - h[a]) / size
+                            new[a, b] = push / (1 + 9.80665 * dt * ((rough[a] + rough[b]) / 2) ** 2 * abs(old) / deep ** (7 / 3))
+            for r, c in ground:  # the border lets out what flows towards it; the mesh is 3 by 4
+                for inner, out, edge in (((r - 1, c), (r + 1, c), r == 2), ((r + 1, c), (r - 1, c), r == 0), ((r, c - 1), (r, c + 1), c == 3), ((r, c + 1), (r, c - 1), c == 0)):
+                    flow = new.get((inner, (r, c)), 0.0) - new.get(((r, c), inner), 0.0)
+                    if edge and flow > 0:
+                        new[(r, c), out] = flow
+            have = {a: h[a] + (rain[a][k] + river[a][k] / size**2) * dt for a in ground}
+            gives = dict.fromkeys(ground, 0.0)
+            for (a, b), f in new.items():
+                gives[a if f > 0 else b] += abs(f) * dt / size
+            part = {a: min(1.0, have[a] / g) if (g := gives[a]) > have[a] else 1.0 for a in ground}
+            new = {(a, b): f * part[a if f > 0 else b] for (a, b), f in new.items()}
+            h = dict(have)
+            for (a, b), f in new.items():
+                h[a] -= f * dt / size
+                if b in h:
+                    h[b] += f * dt / size
+                else:
+                    left += f * dt * size
+            h = {a: max(x, 0.0) for a, x in h.items()}  # rounding
+            q, now = new, now + dt
+        now = mark
+        if mark in outputs:
+            seen += 1
+            for a in ground:
+                if h[a] > most[a]:
+                    most[a], index[a] = h[a], seen
+    return h, most, index, left
+
+
+def test_events_equal_plain_loops(spark):
+    rng = np.random.default_rng(5)
+    edges, hole = [0.0, 40.0, 100.0, 130.0], (1, 2)
+    place = [(r, c) for r in range(3) for c in range(4)]
+    ground = {a: float(rng.integers(0, 20)) / 10 for a in place if a != hole}
+    rough = {a: 0.02 + 0.01 * (a[1] % 3) for a in place}
+    rain = {a: [float(x) for x in rng.integers(0, 5, 3) * 1e-3] for a in place}
+    river = {a: [0.0, 2.0, 1.0] if a in ((1, 1), hole) else [0.0] * 3 for a in place}
+    rows = [("x", *a, ground.get(a), rough[a], None, [None] * 3 if a == hole else rain[a], river[a], "mine") for a in place]
+    first = lambda name, **new: [(name, *(new.get(k, v) for k, v in zip(("row", "col", "z", "n", "h", "rain", "river", "status"), r[1:]))) if r[1:3] == (0, 0) else (name, *r[1:]) for r in rows]
+    bad = {"null": first("null", rain=None), "hole": first("hole", river=[0.0, None, 0.0]), "short": first("short", rain=[0.0]), "rough": first("rough", n=0.0), "negative": first("negative", h=-1.0), "deep": first("deep", h=1e6), "twice": [("twice", *r[1:]) for r in rows + rows[:1]]}
+    bad["land"] = [("land", *r[1:3], None, *r[4:]) for r in rows]
+    schema = "scenario string, row int, col int, elevation double, manning double, depth double, rain_m_s array<double>, river_m3_s array<double>, status string"
+    cells = spark.createDataFrame(rows + [(None, *r[1:]) for r in rows] + [r for b in bad.values() for r in b], schema)
+    every = solver.event_scenarios(cells, edges, 10.0, 50.0, (0.05, 0.3)).cache()
+    final, most, index, left = stepped(ground, rough, rain, river, edges, 50.0, 10.0)
+    for name in ("x", None):
+        got = {(r.row, r.col): r for r in every.where(F.col("scenario").eqNullSafe(name)).collect()}
+        assert len(got) == 12 and got[hole].max_depth is None and got[hole].wet is None and {r.status for r in got.values()} == {"available"}
+        for a in ground:
+            assert math.isclose(got[a].max_depth, most[a], rel_tol=1e-9, abs_tol=1e-12) and math.isclose(got[a].final_depth, final[a], rel_tol=1e-9, abs_tol=1e-12)
+            assert got[a].max_index == index[a] and got[a].wet == [most[a] >= 0.05, most[a] >= 0.3]
+        one = got[0, 0]
+        assert left > 0 and math.isclose(one.volume_out, left, rel_tol=1e-9) and math.isclose(one.volume_river, 60 * 2 + 30 * 1)
+        assert math.isclose(one.volume_rain, sum(100 * (b - a) * rain[x][i] for x in ground for i, (a, b) in enumerate(zip(edges, edges[1:]))))
+    why = {"null": "missing_forcing", "hole": "missing_forcing", "short": "missing_forcing", "rough": "invalid_terrain", "negative": "invalid_terrain", "deep": "step_below_minimum", "twice": "repeated_cells", "land": "invalid_terrain"}
+    for name, status in why.items():
+        got = every.where(F.col("scenario") == name).collect()
+        assert len(got) == len(bad[name]) and {(r.status, r.max_depth, r.n_steps) for r in got} == {(status, None, None)}
+    told = {r.scenario: r for r in solver.event_summary(every).collect()}
+    assert told["x"].n_cells == 11 and told["x"].n_wet == sum(m >= 0.05 for m in most.values()) and told["null"].deepest is None and abs(told["x"].residual) < told["x"].tolerance
+    assert solver.event_scenarios(cells.limit(0), edges, 10.0, 50.0).count() == 0
+    with pytest.raises(ValueError):
+        solver.event_scenarios(cells, [0.0, 10.0, 10.0], 10.0, 50.0)
+
+
+def test_frames_are_packed_in_order_and_keep_what_is_missing(spark):
+    frames = spark.createDataFrame([(1, i, None if i == 2 else i / 10, float(i)) for i in (3, 1, 0, 2)], "cell int, interval int, rain_m_s double, river_m3_s double")
+    got = solver.packed(frames, "cell").first()
+    assert got.rain_m_s == [0.0, 0.1, None, 0.3] and got.river_m3_s == [0.0, 1.0, 2.0, 3.0]
+
+
 # Sources and streaming --------------------------------------------------------------------
 
 
