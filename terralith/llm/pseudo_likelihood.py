@@ -108,13 +108,19 @@ def forward(p: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray) -
     x = p["embed"].take(context, 0).reshape(len(context), -1)
     h = p["w1"].T @ x.T
     h += p["b1"][:, None]
-    np.tanh(h, out=h)
+    # tanh by exp, which numpy computes many numbers at a time; beyond its range the limit is exact
+    h *= -2
+    with np.errstate(over="ignore"):
+        np.exp(h, out=h)
+    h += 1
+    np.divide(2, h, out=h)
+    h -= 1
     a, b = target // WITHIN, target % WITHIN
     row = np.arange(len(target))
     both = np.concatenate([p["wc"], p["ww"]], 1)
     soft = both.T @ h
     soft[:CLASSES] += p["bc"][:, None]
-    soft[CLASSES:] += p["bw"].T.take(a, 1)
+    soft[CLASSES:] += p["bw"].take(a, 0).T
     out = np.zeros(len(target), np.float32)
     for e, y in ((soft[:CLASSES], a), (soft[CLASSES:], b)):
         e -= e.max(0)
@@ -317,7 +323,8 @@ def score(docs: DataFrame, net: Network, counts: DataFrame, doc_id: str = "doc_i
     # written, so that the rows' numbers stay as they are whichever task is repeated
     made = written(rows.mapInArrow(_score(shared), f"row long, doc_id {kind}, n_tokens long, logp double, words array<long>, times array<long>"), "token_scores")
     each = made.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
-    own = each.join(counts, "word").select("row", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("long").alias("n_tokens"), (F.col("times") * F.log("n")).alias("logp"))
+    # the log of one is 0, so words that were counted once add nothing
+    own = each.join(counts.where("n > 1"), "word").select("row", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("long").alias("n_tokens"), (F.col("times") * F.log("n")).alias("logp"))
     scored = made.select("row", "doc_id", "n_tokens", "logp").unionByName(own).groupBy("row").agg(F.any_value("doc_id", True).alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("logp").alias("logp"))
     mean = F.when(F.col("n_tokens") > 0, F.round(F.exp(-F.col("logp") / F.col("n_tokens")), 4))
     return scored.select("doc_id", "n_tokens", F.round("logp", 3).alias("pseudo_logp"), mean.alias("pseudo_perplexity"))
