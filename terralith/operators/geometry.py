@@ -83,15 +83,18 @@ def clipped(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Col
 
 def containing(points: DataFrame, polygons: DataFrame, bucket: float, priority: str = "priority") -> DataFrame:
     """Each point (point_id, x, y) with the polygon (polygon_id, rings, priority) that contains it, of
-    several the least priority, then id. Candidates meet in square buckets that a polygon's bounding box covers."""
+    several the least priority, then id. Candidates meet in square buckets that a polygon's bounding box covers. Points
+    of one place meet them once, and so do polygons of the same rings, which are counted and have their least beforehand."""
     shell = F.col("rings")[0]
     box = lambda f, c: F.floor(f(F.transform(shell, lambda p: p[c])) / bucket)
-    spread = polygons.select("polygon_id", priority, "rings", F.explode(F.sequence(box(F.array_min, "x"), box(F.array_max, "x"))).alias("bx"), F.sequence(box(F.array_min, "y"), box(F.array_max, "y")).alias("__ys"))
+    shapes = polygons.groupBy("rings").agg(F.min(F.struct(F.col(priority).alias("priority"), "polygon_id")).alias("__least"), F.count(F.lit(1)).alias("__n"))
+    spread = shapes.select("__least", "__n", "rings", F.explode(F.sequence(box(F.array_min, "x"), box(F.array_max, "x"))).alias("bx"), F.sequence(box(F.array_min, "y"), box(F.array_max, "y")).alias("__ys"))
     spread = spread.withColumn("by", F.explode("__ys")).drop("__ys")
-    at = points.withColumns({"bx": F.floor(F.col("x") / bucket), "by": F.floor(F.col("y") / bucket)})
-    hit = at.join(spread, ["bx", "by"]).where(in_polygon(F.col("rings"), F.col("x"), F.col("y")))
-    best = hit.groupBy("point_id").agg(F.min_by("polygon_id", F.struct(priority, "polygon_id")).alias("polygon_id"), F.count(F.lit(1)).alias("n_containing"))
-    return points.join(best, "point_id", "left").withColumn("n_containing", F.coalesce("n_containing", F.lit(0)))
+    places = points.select("x", "y").distinct().withColumns({"bx": F.floor(F.col("x") / bucket), "by": F.floor(F.col("y") / bucket)})
+    hit = places.join(spread, ["bx", "by"]).where(in_polygon(F.col("rings"), F.col("x"), F.col("y")))
+    best = hit.groupBy("x", "y").agg(F.min("__least").alias("__least"), F.sum("__n").alias("n_containing"))
+    best = best.select("x", "y", F.col("__least.polygon_id").alias("polygon_id"), "n_containing")
+    return points.join(best, ["x", "y"], "left").select(*points.columns, "polygon_id", F.coalesce("n_containing", F.lit(0)).alias("n_containing"))
 
 
 def rasterised(polygons: DataFrame, size: float) -> DataFrame:
