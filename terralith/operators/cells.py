@@ -6,6 +6,8 @@ square one is built in, a hexagonal one can be read as tables.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,8 +57,6 @@ def neighbours_of(cells: DataFrame, res: int) -> DataFrame:
 def cells_in_box(spark: SparkSession, south: float, west: float, north: float, east: float, res: int) -> DataFrame:
     """Cells whose centre lies in the box; the cell of its middle if there is none. Made by Spark, row by row of the lattice."""
     s = step_deg(res)
-    import math
-
     i0, i1 = math.ceil((south + 90) / s - 0.5), math.floor((north + 90) / s - 0.5)
     j0, j1 = math.ceil((west + 180) / s - 0.5), math.floor((east + 180) / s - 0.5)
     if i0 > i1 or j0 > j1:
@@ -93,7 +93,8 @@ def nearest_node(points: DataFrame, nodes: DataFrame, reach_m: float = 1000.0) -
 
     Points and nodes meet in cubes of space as wide as the reach, so neither poles nor the date line cut anything off.
     A point is settled by a node within the reach only; those that found none look again four times as far, at last
-    over the whole globe. Without any node both are null.
+    over the whole globe. Without any node both are null. Points of one place look once, and of nodes of one place only
+    the smallest id is looked at. Where nodes lie denser than one to a cube, the first reach is shorter than reach_m.
     """
 
     def placed(df: DataFrame, width: float, *names: str) -> DataFrame:
@@ -101,17 +102,19 @@ def nearest_node(points: DataFrame, nodes: DataFrame, reach_m: float = 1000.0) -
         xyz = (F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat))
         return df.select(*names, "lat", "lon", *(F.floor(c * EARTH_RADIUS_M / width).alias(f"b{i}") for i, c in enumerate(xyz)))
 
-    settled, left, reach = None, points.select("point_id", "lat", "lon"), reach_m
+    nodes = written(nodes.groupBy("lat", "lon").agg(F.min("node_id").alias("node_id")), "nodes")
+    settled, left = None, written(points.select("lat", "lon").distinct(), "unsettled")
+    reach = min(reach_m, EARTH_RADIUS_M * math.sqrt(4 * math.pi / max(1, nodes.count())))
     while True:
         # a chord is never longer than its arc, so what is within the reach is at most one cube away
         near = placed(nodes, reach, "node_id")
         for i in range(3):
             near = near.withColumn(f"o{i}", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn(f"b{i}", F.col(f"b{i}") + F.col(f"o{i}")).drop(f"o{i}")
         near = near.withColumnsRenamed({"lat": "nlat", "lon": "nlon"})
-        pairs = placed(left, reach, "point_id").join(near, ["b0", "b1", "b2"]).select("point_id", "node_id", haversine_m("lat", "lon", "nlat", "nlon").alias("d")).where(F.col("d") <= reach)
-        got = written(pairs.groupBy("point_id").agg(F.min_by("node_id", F.struct("d", "node_id")).alias("node_id"), F.min("d").alias("distance_m")), "nearest")
+        pairs = placed(left, reach).join(near.hint("merge"), ["b0", "b1", "b2"]).select("lat", "lon", "node_id", haversine_m("lat", "lon", "nlat", "nlon").alias("d")).where(F.col("d") <= reach)
+        got = written(pairs.groupBy("lat", "lon").agg(F.min_by("node_id", F.struct("d", "node_id")).alias("node_id"), F.min("d").alias("distance_m")), "nearest")
         settled = got if settled is None else settled.unionByName(got)
-        left = written(left.join(got, "point_id", "left_anti"), "unsettled")
+        left = written(left.join(got, ["lat", "lon"], "left_anti"), "unsettled")
         if reach > EARTH_RADIUS_M * 4 or not left.head(1):
-            return points.select("point_id").join(settled, "point_id", "left")
+            return points.select("point_id", "lat", "lon").join(settled, ["lat", "lon"], "left").select("point_id", "node_id", "distance_m")
         reach *= 4

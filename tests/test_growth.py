@@ -4,7 +4,9 @@ import time
 
 from pyspark.sql import functions as F
 
-from terralith.operators import geometry
+from terralith.operators import cells, flood, geometry, grid, network
+from terralith.plans import observed
+from terralith.sources.intermediate import written
 
 
 def test_copies_of_places_and_polygons_meet_once(spark):
@@ -17,3 +19,19 @@ def test_copies_of_places_and_polygons_meet_once(spark):
     assert out.columns == ["point_id", "x", "y", "polygon_id", "n_containing"]
     assert {tuple(r) for r in out.groupBy("polygon_id", "n_containing").count().collect()} == {(7, 20_000, 20_000), (None, 0, 1)}
     assert time.time() - began < 60
+
+
+def test_points_of_one_place_look_for_a_node_once(spark, monkeypatch):
+    rows = {}
+
+    def counted(df, name="step"):
+        out = written(df, name)
+        rows.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(cells, "written", counted)
+    pts = spark.range(500).select(F.col("id").alias("point_id"), F.lit(46.0).alias("lat"), (11 + F.col("id") % 2).cast("double").alias("lon"))
+    nodes = spark.range(300).select((300 - F.col("id")).alias("node_id"), F.lit(46.0).alias("lat"), F.lit(11.001).alias("lon"))
+    out = cells.nearest_node(pts, nodes)
+    assert {tuple(r) for r in out.groupBy("node_id").count().collect()} == {(1, 500)}
+    assert max(rows["nearest"]) <= 2
