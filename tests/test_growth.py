@@ -35,3 +35,13 @@ def test_points_of_one_place_look_for_a_node_once(spark, monkeypatch):
     out = cells.nearest_node(pts, nodes)
     assert {tuple(r) for r in out.groupBy("node_id").count().collect()} == {(1, 500)}
     assert max(rows["nearest"]) <= 2
+
+
+def test_a_codes_pipes_are_counted_before_records_meet_them(spark):
+    """9e8 pairs of a record and a pipe of its code: met one by one they take minutes."""
+    began = time.time()
+    rows = spark.range(30_000).select(F.col("id").alias("record_id"), F.when(F.col("id") > 0, "a").alias("code")).unionByName(spark.sql("SELECT 1L AS record_id, 'a' AS code"))
+    aliases = spark.range(30_000).select(F.lit("a").alias("alias"), F.col("id").cast("string").alias("pipe_id"))
+    got = network.attached(rows, aliases).groupBy("code", "pipe_id", "status").count().collect()
+    assert {tuple(r) for r in got} == {("a", None, "invalid_response", 29_999), (None, None, "missing", 1)}
+    assert time.time() - began < 60
