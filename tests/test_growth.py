@@ -45,3 +45,14 @@ def test_a_codes_pipes_are_counted_before_records_meet_them(spark):
     got = network.attached(rows, aliases).groupBy("code", "pipe_id", "status").count().collect()
     assert {tuple(r) for r in got} == {("a", None, "invalid_response", 29_999), (None, None, "missing", 1)}
     assert time.time() - began < 60
+
+
+def test_points_of_one_place_are_sampled_once(spark, monkeypatch):
+    seen = []
+    plain = grid.nearest_pixel
+    monkeypatch.setattr(grid, "nearest_pixel", lambda points, *a, **b: (seen.append(points.count()), plain(points, *a, **b))[1])
+    pts = spark.range(100).select(F.col("id").alias("point_id"), F.when(F.col("id") > 0, 1.5).alias("lat"), F.lit(1.5).alias("lon"))
+    pixels = spark.range(9).select(F.floor(F.col("id") / 3).alias("row"), (F.col("id") % 3).alias("col"), F.col("id").cast("double").alias("value"))
+    out = grid.terrain_samples(pts, pixels, 0.0, 3.0, 1.0, offset=1.0)
+    assert {tuple(r) for r in out.groupBy("elevation", "elevation_status", "slope_status").count().collect()} == {(4.0, "available", "available", 99), (None, "out_of_coverage", "out_of_coverage", 1)}
+    assert seen == [10]
