@@ -56,3 +56,33 @@ def test_points_of_one_place_are_sampled_once(spark, monkeypatch):
     out = grid.terrain_samples(pts, pixels, 0.0, 3.0, 1.0, offset=1.0)
     assert {tuple(r) for r in out.groupBy("elevation", "elevation_status", "slope_status").count().collect()} == {(4.0, "available", "available", 99), (None, "out_of_coverage", "out_of_coverage", 1)}
     assert seen == [10]
+
+
+def planned(monkeypatch, module) -> list[str]:
+    """Plans of the tables that the module writes."""
+    plans = []
+
+    def kept(df, name="step"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(module, "written", kept)
+    return plans
+
+
+def test_accumulation_sends_no_table_through_the_driver(spark, monkeypatch):
+    plans = planned(monkeypatch, network)
+    chain = spark.range(64).select(F.col("id").alias("node_id"), F.when(F.col("id") % 32 != 0, F.col("id") - 1).alias("down"))
+    out = network.forest(chain, chain.select("node_id", F.lit(1.0).alias("own")))
+    assert {(r.node_id, r.total, r.terminal, r.steps) for r in out.collect()} == {(i, 32.0 - i % 32, i // 32 * 32, i % 32) for i in range(64)}
+    assert len(plans) == 6 and not any("Broadcast" in p for p in plans)
+    # of the joins by jump none takes the nodes that have ended: all of them would meet at null
+    assert all("isnotnull(jump" in p for p in plans[1:])
+
+
+def test_flow_sends_no_table_through_the_driver(spark):
+    high = spark.range(50).select(F.col("id").alias("cell"), (F.col("id") * 7 % 13).cast("double").alias("elevation"))
+    near = high.select("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell") + 1)).alias("nbr"), F.lit(1.0).alias("dist_m"))
+    for out in (grid.immediate_flow(high, near, high.where("cell = 3")), grid.steepest_neighbour(high, near).hint("merge")):
+        assert "min_by" in (plan := out._jdf.queryExecution().executedPlan().toString())
+        assert plan.count("BroadcastHashJoin") <= (out.columns == ["cell", "down", "grade"])
