@@ -86,3 +86,11 @@ def test_flow_sends_no_table_through_the_driver(spark):
     for out in (grid.immediate_flow(high, near, high.where("cell = 3")), grid.steepest_neighbour(high, near).hint("merge")):
         assert "min_by" in (plan := out._jdf.queryExecution().executedPlan().toString())
         assert plan.count("BroadcastHashJoin") <= (out.columns == ["cell", "down", "grade"])
+
+
+def test_flood_sends_no_table_through_the_driver(spark, monkeypatch):
+    plans = planned(monkeypatch, flood)
+    g = spark.range(36).select(F.floor(F.col("id") / 18).alias("tile"), F.col("id").alias("cell"), (F.col("id") * 7 % 13).cast("double").alias("elevation"), F.when(F.col("id") == 0, 1).alias("terminal_rank"))
+    near = g.select("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell") + 1)).alias("nbr"))
+    assert flood.priority_flood(g, near).where("terminal = 0 AND steps = cell").count() == 36
+    assert len(plans) > 10 and not any("Broadcast" in p for p in plans)
