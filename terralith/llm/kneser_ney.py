@@ -21,14 +21,14 @@ from pyspark.sql import types as T
 from .common import blocks, mix, written
 
 ORDER = 4
-#: Trusted documents that the model is fitted on: those with the least hash of their id, at most so many.
-MOST_TRUSTED = 8_000
 #: Rows of the model's tables (12 bytes each) up to which they are sent to every task.
 MOST_GRAMS = 8_000_000
 #: Trusted documents (8 bytes each) up to which their ids are sent to every task.
 MOST_IDS = 1_000_000
 #: Text whose n-grams are sorted, or looked up, at once.
 COUNTED_BYTES = 256 << 10
+#: Distinct n-grams (72 bytes each) that a task holds before it passes their counts on.
+HELD_GRAMS = 400_000
 #: Trusted characters from which a language has a model of its own. Others use the pooled model.
 LEAST_CHARS = 20_000
 POOLED = ""
@@ -98,10 +98,30 @@ def _count_points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(value)), pa.array(value.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "point", "n"])
 
 
-def _count_grams(order: int, langs: dict[str, int]):
+def _together(parts: list[np.ndarray]) -> np.ndarray:
+    """Rows of numbers, counts last: columns with the same first number become one, and their counts are added."""
+    rows = np.concatenate(parts, 1)
+    _, first, at = np.unique(rows[0], return_index=True, return_inverse=True)
+    n = np.zeros(len(first), np.uint64)
+    np.add.at(n, at, rows[-1])
+    return np.concatenate([rows[:-1, first], n[None]])
+
+
+def _count_grams(order: int, langs: dict[str, int], most: int = HELD_GRAMS):
     names = ["lang", *(f"g{k}" for k in range(order, 0, -1)), *(f"c{k}" for k in range(order, 0, -1)), "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}
+
+        def passed(least: int) -> Iterator[pa.RecordBatch]:
+            """Counts of blocks are added; those of `least` n-grams or more leave the task."""
+            for lang, parts in held.items():
+                held[lang] = [_together(parts)]
+            if sum(parts[0].shape[1] for parts in held.values()) >= least:
+                for lang, (rows,) in held.items():
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(rows.shape[1], langs[lang], np.int64)), *map(_signed, rows)], names=names)
+                held.clear()
+
         for block in blocks(batches, most=COUNTED_BYTES):
             total: dict[str, list] = {}
             for lang, points in _texts(*block):
@@ -112,7 +132,10 @@ def _count_grams(order: int, langs: dict[str, int]):
             for lang, parts in total.items():
                 rows = np.concatenate(parts, 1)
                 _, first, n = np.unique(rows[0], return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([langs[lang]] * len(n), pa.int64()), *(_signed(r[first]) for r in rows), pa.array(n.astype(np.int64))], names=names)
+                held.setdefault(lang, []).append(np.concatenate([rows[:, first], n.astype(np.uint64)[None]]))
+            if sum(x.shape[1] for parts in held.values() for x in parts) > most:
+                yield from passed(most // 2)
+        yield from passed(0)
 
     return run
 
@@ -149,20 +172,25 @@ def smoothed(counts: DataFrame, order: int, letters: dict[int, int]) -> tuple[li
     return grams, contexts
 
 
+def _is_fitted(doc_id: str) -> F.Column:
+    """Whether a trusted document is counted; the others give the thresholds."""
+    return F.pmod(F.xxhash64(doc_id, F.lit(5)), F.lit(HELD_OUT)) != 0
+
+
 def fitted_ids(trusted: DataFrame) -> DataFrame:
-    """At most MOST_TRUSTED ids on which the model is fitted."""
-    ids = trusted.select(F.col("doc_id").alias("__t")).where("__t IS NOT NULL").distinct()
-    return ids.where(F.pmod(F.xxhash64("__t", F.lit(5)), F.lit(HELD_OUT)) != 0).orderBy(F.xxhash64("__t"), "__t").limit(MOST_TRUSTED)
+    """The ids on which the model is fitted: of all trusted ones but those held out."""
+    return trusted.select(F.col("doc_id").alias("__t")).where("__t IS NOT NULL").distinct().where(_is_fitted("__t"))
 
 
 def fit(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER) -> Model:
     """trusted: doc_id of the trusted documents. With none of them in docs the model is empty."""
-    spark = docs.sparkSession
-    # at most MOST_TRUSTED ids
-    sample = docs.join(F.broadcast(fitted_ids(trusted)), F.col(doc_id) == F.col("__t"), "left_semi").select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("text IS NOT NULL AND text <> ''")
-    sample = written(sample.repartition(max(2, spark.sparkContext.defaultParallelism)), "trusted")
+    ids = fitted_ids(trusted)
+    few = ids.count() <= MOST_IDS
+    sample = docs.join(F.broadcast(ids) if few else ids, F.col(doc_id) == F.col("__t"), "left_semi").select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("text IS NOT NULL AND text <> ''")
+    if not few:  # read twice below, shuffled once
+        sample = written(sample, "trusted")
     points = written(sample.mapInArrow(_count_points, "lang string, point long, n long").groupBy("lang", "point").agg(F.sum("n").alias("n")), "points")
-    # at most one language for each LEAST_CHARS characters of the sample
+    # at most one language for each LEAST_CHARS trusted characters
     own = points.where(F.col("lang") != POOLED).groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("letters")).where(F.col("n") >= LEAST_CHARS).orderBy("lang").collect()
     every = points.agg(F.count_distinct("point")).first()[0]
     if not every:
@@ -324,10 +352,9 @@ def limits(scores: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, ma
     """From the scores (doc_id, lang, kn_chars, kn_logp) of all trusted documents that the model hasn't seen; from all
     trusted ones where it has seen each; None without any."""
     known = scores.join(_ids(trusted), "doc_id").where("kn_chars > 0")
-    seen = F.broadcast(fitted_ids(trusted).select(F.col("__t").alias("doc_id"), F.lit(True).alias("seen")))  # at most MOST_TRUSTED ids
-    known = written(known.join(seen, "doc_id", "left").select("lang", "kn_chars", "kn_logp", "seen"), "trusted_scores")
-    if known.where("seen IS NULL").head(1):
-        known = known.where("seen IS NULL")
+    known = written(known.select("lang", "kn_chars", "kn_logp", _is_fitted("doc_id").alias("seen")), "trusted_scores")
+    if known.where("NOT seen").head(1):
+        known = known.where("NOT seen")
     own = known.where("lang IS NOT NULL").groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("kn_chars").alias("n"), F.sum("kn_logp").alias("s"))
     # the languages with a threshold of their own
     own = own.where(F.col("docs") >= LEAST_DOCS).orderBy("lang").collect()

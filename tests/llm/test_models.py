@@ -292,6 +292,31 @@ def test_embedding_links_are_exact(spark, monkeypatch):  # both numbers are read
     assert embedding_dedup.embedding_near_dedup(df.limit(0)).count() == 0
 
 
+def test_quality_model_counts_all_trusted_documents(spark, monkeypatch):
+    trusted = spark.range(12_000).withColumnRenamed("id", "doc_id")
+    fitted = {r[0] for r in kneser_ney.fitted_ids(trusted).collect()}
+    assert 9_000 < len(fitted) < 10_200  # all but those held out, one in five
+    # a word of its own in each document: each is in the model, by either join of the ids
+    docs = trusted.select("doc_id", F.concat(F.lit("w"), F.conv(F.col("doc_id"), 10, 36)).alias("text"), F.lit("en").alias("lang"))
+    want = {r[0]: r.n for r in docs.where(F.col("doc_id").isin(list(fitted))).select(F.explode(F.split("text", "")).alias("c")).where("c <> ''").groupBy("c").agg(F.count("*").alias("n")).collect()}
+    sent = {}
+    monkeypatch.setattr(kneser_ney, "smoothed", lambda counts, order, letters: (sent.update({r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}), ([], []))[1])
+    for most in (1_000_000, 0):
+        monkeypatch.setattr(kneser_ney, "MOST_IDS", most)
+        kneser_ney.fit(docs, trusted)
+        assert set(sent.values()) == {sum(want.values())}
+
+
+def test_counts_held_by_a_task_add_up():
+    rng = np.random.default_rng(7)
+    texts = ["".join(rng.choice(list("abcdef "), 400)) for _ in range(3000)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(["en"] * 1500), pa.array(texts[i : i + 1500])], names=["lang", "text"]) for i in (0, 1500)]
+    counted = [pa.Table.from_batches(list(kneser_ney._count_grams(4, {"": 0, "en": 1}, most)(iter(batches)))) for most in (10, 1_000_000)]
+    assert counted[0].num_rows > counted[1].num_rows == len(set(counted[1]["g4"].to_pylist()))
+    one, two = (t.group_by(["lang", "g4", "g3", "g2", "g1", "c4", "c3", "c2", "c1"]).aggregate([("n", "sum")]).to_pandas() for t in counted)
+    assert len(one.merge(two)) == len(one) == len(two) and one.n_sum.sum() == 2 * sum(map(len, texts))
+
+
 def test_embeddings_of_repeated_ids(spark):
     data = [(1, [1.0, 0.0], "a"), (1, [0.0, 1.0], "b"), (2, [1.0, 0.01], "a"), (3, [0.01, 1.0], "b"), (4, [1.0, 1.0], "c"), (4, [1.0, 1.01], "c")]
     got = embedding_dedup.embedding_near_dedup(spark.createDataFrame(data, "vec_id long, embedding array<double>, label string")).collect()
