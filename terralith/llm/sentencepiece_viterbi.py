@@ -36,8 +36,8 @@ TOGETHER, REMEMBERED = 20_000, 300_000
 LONG = 512
 #: Text encoded at once: the more words advance together, the less each costs.
 TEXT_BYTES = 4 << 20
-#: Size of the table that tells quickly which hashes are no piece's.
-_SIEVE = 1 << 21
+#: Size of the tables that tell quickly which hashes are no piece's, and which pair of pieces was looked at already.
+_SIEVE = 1 << 21  # as _slot has it
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 #: What the format takes off the least score for a character that is no piece.
@@ -93,16 +93,19 @@ class Pieces:
         self.keys, self.ids = hashed[order], np.array(usable, np.int64)[order]
         if (np.diff(self.keys) == 0).any():
             raise ValueError("two pieces have the same hash")
-        self.sieve = np.zeros(_SIEVE, bool)
-        self.sieve[(self.keys >> _U(20)) % _U(_SIEVE)] = True
+        self.sieve, self.slots = np.zeros(_SIEVE, bool), np.zeros(_SIEVE, np.int32)
+        slot, n = np.unique(_slot(self.keys), return_counts=True)
+        self.slots[_slot(self.keys)] = np.arange(len(self.keys))
+        self.sieve[slot], self.slots[slot[n > 1]] = True, -1
         self.longest = max(len(self.pieces[i]) for i in usable)
         self.unknown = int(np.flatnonzero(self.kinds == self.UNKNOWN)[0])
         of_byte = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if self.kinds[i] == self.BYTE}
         self.bytes = np.array([of_byte[b] for b in range(256)]) if len(of_byte) == 256 else None
         self.lookup = {self.pieces[i]: i for i in usable}
         self.least = float(self.scores[usable].min()) - UNKNOWN_PENALTY
-        self.pairs = np.empty(0, np.int64)  # BPE: codes of pairs of pieces, sorted, and whether they stay apart
-        self.stay = np.empty(0, bool)
+        self.pairs = np.full(_SIEVE, -1, np.int64)  # BPE: at a pair's slot the code of the last one there, and whether it stays apart
+        self.stay = np.zeros(_SIEVE, bool)
+        self.known: dict[int, bool] = {}  # the same, for pairs whose slot another has taken
         self.memory: dict[str, bytes] = {}  # ids of words, as bytes of int32
         self.spelled = [self._spelled(i) for i in range(len(self.pieces))]
 
@@ -127,17 +130,35 @@ class Pieces:
     def apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """BPE: which pairs of pieces are left as they are (left < 0: nothing stands before)."""
         code = (left + 1) * (1 << 22) + right
-        at = np.searchsorted(self.pairs, code)
-        new = code[self.pairs[np.minimum(at, len(self.pairs) - 1)] != code] if len(self.pairs) else code
+        slot = _slot(code.view(np.uint64))
+        new, out = np.flatnonzero(self.pairs[slot] != code), self.stay[slot]
         if len(new):
-            new, stay = np.unique(new), []
-            for c in new.tolist():
-                parts = [self.pieces[x] for x in ((c >> 22) - 1, c & (1 << 22) - 1) if x >= 0]
-                stay.append(self.merged("".join(parts)) == parts)
-            place = np.searchsorted(self.pairs, new)
-            self.pairs, self.stay = np.insert(self.pairs, place, new), np.insert(self.stay, place, stay)
-            at = np.searchsorted(self.pairs, code)
-        return self.stay[at]
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            some, first, back = np.unique(code[new], return_index=True, return_inverse=True)
+            stay = []
+            for c in some.tolist():
+                if (known := self.known.get(c)) is None:
+                    parts = [self.pieces[x] for x in ((c >> 22) - 1, c & (1 << 22) - 1) if x >= 0]
+                    known = self.known[c] = self.merged("".join(parts)) == parts
+                stay.append(known)
+            stay = np.array(stay)
+            self.pairs[slot[new[first]]], self.stay[slot[new[first]]] = some, stay
+            out[new] = stay[back]
+        return out
+
+    def places(self, hashed: np.ndarray) -> np.ndarray:
+        """Where in keys each hash stands, if it is there; keys that share a slot are searched for."""
+        at = self.slots[_slot(hashed)]
+        shared = np.flatnonzero(at < 0)
+        if len(shared):
+            at[shared] = np.minimum(np.searchsorted(self.keys, hashed[shared]), len(self.keys) - 1)
+        return at
+
+
+def _slot(x: np.ndarray) -> np.ndarray:
+    """The place of a hash or code in a table of _SIEVE."""
+    return (x * _U(0xD1342543DE82EF95) >> _U(43)).view(np.int64)
 
 
 def _hash(points: np.ndarray) -> np.uint64:
@@ -189,11 +210,11 @@ def _viterbi(p: Pieces, points: np.ndarray) -> list[bytes]:
             # extended to the left: hash of points[start : end]
             h = h + letters[start] * power
             power = _U(int(power) * int(_BASE) & (1 << 64) - 1)
-            rows = np.flatnonzero(p.sieve[(h >> _U(20)) % _U(_SIEVE)]) if size > 1 else np.arange(n)
+            rows = np.flatnonzero(p.sieve[_slot(h)]) if size > 1 else np.arange(n)
             rows = rows[best[start, rows] > least]
             if not len(rows):
                 continue
-            at = np.minimum(np.searchsorted(p.keys, h[rows]), len(p.keys) - 1)
+            at = p.places(h[rows])
             hit = p.keys[at] == h[rows]
             if size > 1:
                 rows, at = rows[hit], at[hit]

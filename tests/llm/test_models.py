@@ -317,6 +317,18 @@ def test_counts_held_by_a_task_add_up():
     assert len(one.merge(two)) == len(one) == len(two) and one.n_sum.sum() == 2 * sum(map(len, texts))
 
 
+def test_slots_that_several_share(monkeypatch):
+    """Pieces and pairs are found by slot; where slots are shared, by search and memory, to the same ids."""
+    texts = ["the quick brown fox", "Überraschung, naïve 北京 ok", "a" * 40 + " zzz qqq"]
+    p = sentencepiece_viterbi.load(sentencepiece_viterbi.MODEL)
+    assert (p.places(p.keys) == np.arange(len(p.keys))).all() and p.places(p.keys[::7] + np.uint64(1)).min() >= 0
+    want = [x.tolist() for x in sentencepiece_viterbi.encode(p, texts)]
+    monkeypatch.setattr(sentencepiece_viterbi, "_slot", lambda x: (x % np.uint64(3)).astype(np.int64))
+    p = sentencepiece_viterbi.load(sentencepiece_viterbi.MODEL)
+    assert (p.places(p.keys) == np.arange(len(p.keys))).all()
+    assert [x.tolist() for x in sentencepiece_viterbi.encode(p, texts)] == want
+
+
 def test_embeddings_of_repeated_ids(spark):
     data = [(1, [1.0, 0.0], "a"), (1, [0.0, 1.0], "b"), (2, [1.0, 0.01], "a"), (3, [0.01, 1.0], "b"), (4, [1.0, 1.0], "c"), (4, [1.0, 1.01], "c")]
     got = embedding_dedup.embedding_near_dedup(spark.createDataFrame(data, "vec_id long, embedding array<double>, label string")).collect()
