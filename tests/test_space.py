@@ -423,6 +423,37 @@ def test_events_equal_plain_loops(spark):
         solver.event_scenarios(cells, [0.0, 10.0, 10.0], 10.0, 50.0)
 
 
+def test_strips_equal_one_mesh(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    place = [(r, c) for r in range(60) for c in range(4) if not 20 <= r < 33 and rng.random() > 0.05]  # rows 20 to 32 are no cells
+    ground = {a: None if rng.random() < 0.1 else a[0] * 0.05 + float(rng.integers(0, 60)) / 40 for a in place}
+    edges = [0.0, 40.0, 100.0]
+    schema = "scenario string, row int, col int, elevation double, manning double, depth double, rain_m_s array<double>, river_m3_s array<double>"
+    rows = [(s, *a, z, 0.03, float(a[0] % 7 == 3) * deep, [float(x) * fall for x in rng.integers(0, 5, 2)], [float(a == (50, 2)) * 3] * 2) for s, fall, deep in (("a", 1e-3, 0.5), ("b", 1e-4, 0.0), (None, 2e-3, 1.0)) for a, z in ground.items()]
+    bad = [("bad", *r[1:3], r[3], 0.03, 0.0, [None, 0.0], r[7]) for r in rows if r[0] == "a"] + [("deep", *r[1:5], 1e6, *r[6:]) for r in rows if r[0] == "a"] + [("twice", *r[1:]) for r in [*rows, rows[0]] if r[0] == "a"]
+    cells = spark.createDataFrame(rows + bad + [("small", 0, c, 1.0, 0.03, 0.1, [0.0, 1e-3], [0.0, 0.0]) for c in range(3)], schema)
+    rain = spark.createDataFrame([(s, a, b, v) for s in ("a", "b", None) for a, b, v in ((0.0, 40.0, 900.0), (20.0, 70.0, 300.0))], "scenario string, from_s double, to_s double, mm_h double")
+    key = lambda r: (str(r.scenario), r.row, r.col)
+    run = lambda: [sorted(df.collect(), key=key) for df in (solver.event_scenarios(cells, edges, 10.0, 25.0), solver.scenarios(cells.where("scenario IS NULL OR scenario IN ('a', 'b')"), rain, 90.0, 10.0, 30.0))]
+    one = run()
+    monkeypatch.setattr(solver, "TILE_CELLS", 40)
+    monkeypatch.setattr(solver, "ROUND_STEPS", 3)
+    cut, widest = run(), []
+    monkeypatch.setattr(solver, "written", lambda df, name, f=solver.written: (widest.append(name), f(df, name))[1])
+    for a, b in zip(one, cut):
+        assert len(a) == len(b)
+        for x, y in zip(a, b):
+            for name, v in x.asDict().items():
+                if name.startswith("volume") or name == "residual":
+                    assert (v is None) == (y[name] is None) and (v is None or math.isclose(v, y[name], rel_tol=1e-9, abs_tol=1e-6)), (x, y)
+                elif name == "tolerance":
+                    assert v is None or math.isclose(v, y[name], rel_tol=1e-9)
+                else:
+                    assert v == y[name], (name, x, y)
+    solver.scenarios(cells.where("scenario = 'a'"), rain, 90.0, 10.0).count()
+    assert "strips" in widest  # a mesh over TILE_CELLS is never one group
+
+
 def test_frames_are_packed_in_order_and_keep_what_is_missing(spark):
     frames = spark.createDataFrame([(1, i, None if i == 2 else i / 10, float(i)) for i in (3, 1, 0, 2)], "cell int, interval int, rain_m_s double, river_m3_s double")
     got = solver.packed(frames, "cell").first()
