@@ -100,15 +100,17 @@ def _count_points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _together(parts: list[np.ndarray]) -> np.ndarray:
     """Rows of numbers, counts last: columns with the same first number become one, and their counts are added."""
-    rows = np.concatenate(parts, 1)
-    _, first, at = np.unique(rows[0], return_index=True, return_inverse=True)
-    n = np.zeros(len(first), np.uint64)
-    np.add.at(n, at, rows[-1])
-    return np.concatenate([rows[:-1, first], n[None]])
+    _, first, at = np.unique(np.concatenate([x[0] for x in parts]), return_index=True, return_inverse=True)
+    out = np.zeros((len(parts[0]), len(first)), np.uint64)
+    for i in range(len(out) - 1):  # a row at a time, so that they are not all held twice
+        out[i] = np.concatenate([x[i] for x in parts])[first]
+    np.add.at(out[-1], at, np.concatenate([x[-1] for x in parts]))
+    return out
 
 
 def _count_grams(order: int, langs: dict[str, int], most: int = HELD_GRAMS):
     names = ["lang", *(f"g{k}" for k in range(order, 0, -1)), *(f"c{k}" for k in range(order, 0, -1)), "n"]
+    edge = np.full(order, _EDGE, np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
@@ -126,13 +128,15 @@ def _count_grams(order: int, langs: dict[str, int], most: int = HELD_GRAMS):
             total: dict[str, list] = {}
             for lang, points in _texts(*block):
                 for name in {POOLED, lang} & langs.keys():
-                    own = keys(points, langs[name], order)
-                    # contexts: the (k - 1)-gram that ended one place before
-                    total.setdefault(name, []).append(np.stack([*(own[k][order:] for k in range(order, 0, -1)), *(own[k - 1][order - 1 : -1] for k in range(order, 0, -1))]))
+                    total.setdefault(name, []).extend((edge, points))
             for lang, parts in total.items():
-                rows = np.concatenate(parts, 1)
-                _, first, n = np.unique(rows[0], return_index=True, return_counts=True)
-                held.setdefault(lang, []).append(np.concatenate([rows[:, first], n.astype(np.uint64)[None]]))
+                # texts laid end to end, each after its own edge, whose n-grams are left out
+                laid = np.concatenate(parts)
+                own, at = keys(laid, langs[lang], order), np.flatnonzero(laid != _EDGE) + order
+                _, first, n = np.unique(own[order][at], return_index=True, return_counts=True)
+                at = at[first]
+                # contexts: the (k - 1)-gram that ended one place before
+                held.setdefault(lang, []).append(np.stack([*(own[k][at] for k in range(order, 0, -1)), *(own[k - 1][at - 1] for k in range(order, 0, -1)), n.astype(np.uint64)]))
             if sum(x.shape[1] for parts in held.values() for x in parts) > most:
                 yield from passed(most // 2)
         yield from passed(0)

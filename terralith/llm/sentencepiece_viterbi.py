@@ -16,7 +16,6 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -140,10 +139,14 @@ class Pieces:
             for c in some.tolist():
                 if (known := self.known.get(c)) is None:
                     parts = [self.pieces[x] for x in ((c >> 22) - 1, c & (1 << 22) - 1) if x >= 0]
-                    known = self.known[c] = self.merged("".join(parts)) == parts
+                    known = self.merged("".join(parts)) == parts
                 stay.append(known)
             stay = np.array(stay)
-            self.pairs[slot[new[first]]], self.stay[slot[new[first]]] = some, stay
+            place = slot[new[first]]
+            codes, stays = np.r_[self.pairs[place], some], np.r_[self.stay[place], stay]
+            self.pairs[place], self.stay[place] = some, stay
+            out_of = (codes >= 0) & (codes != np.r_[self.pairs[place], self.pairs[place]])
+            self.known.update(zip(codes[out_of].tolist(), stays[out_of].tolist()))
             out[new] = stay[back]
         return out
 
@@ -329,21 +332,22 @@ _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 def encode(p: Pieces, texts: list[str]) -> list[np.ndarray]:
     """Ids of each text. A word is a run of spaces and what follows it: no piece goes beyond."""
-    split = []
+    split, same = [], {}  # a word is held once, however often it stands in the texts
     for text in texts:
         if p.remove_extra:
             text = re.sub(" +", " ", text).strip(" ")
-        split.append(_WORD.findall(((SPACE if p.dummy_prefix else "") + text).replace(" ", SPACE)) if text else [])
+        words = _WORD.findall(((SPACE if p.dummy_prefix else "") + text).replace(" ", SPACE)) if text else []
+        split.append(list(map(same.setdefault, words, words)))
     if len(p.memory) > REMEMBERED:
         p.memory.clear()
     new: dict[int, list[str]] = {}
-    for word in set(chain.from_iterable(split)) - p.memory.keys():
+    for word in same.keys() - p.memory.keys():
         new.setdefault(len(word), []).append(word)
     for length, words in new.items():
         if length > LONG:
             p.memory.update((w, _long_word(p, w)) for w in words)
             continue
-        step = max(1, min(TOGETHER, (1 << 21) // length))
+        step = max(1, min(TOGETHER, (1 << 19) // length))
         for at in range(0, len(words), step):
             some = words[at : at + step]
             points = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(some), length).astype(np.uint64)
@@ -379,6 +383,7 @@ def _with(df: DataFrame, name: str, kind: T.DataType, arrow: pa.DataType, column
         for batch, values in make(p, batches, column):
             yield pa.RecordBatch.from_arrays([*batch.columns, values if isinstance(values, pa.Array) else pa.array(values, arrow)], names=[*batch.schema.names, name])
         p.memory.clear()  # the worker lives on for other stages
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 from hashlib import sha256
@@ -317,6 +318,28 @@ def test_counts_held_by_a_task_add_up():
     assert len(one.merge(two)) == len(one) == len(two) and one.n_sum.sum() == 2 * sum(map(len, texts))
 
 
+def test_memory_of_a_task():
+    """Peak while n-grams of a block are counted, and while repeated words are encoded: workers of two tasks share an executor."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(2000)]
+    texts = [" ".join(rng.choices(words, k=4000)) for _ in range(20)]
+    batch = pa.record_batch({"lang": ["en"] * len(texts), "text": texts})
+
+    def peak(work):
+        tracemalloc.start()
+        work()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most / 1e6
+
+    assert peak(lambda: [None for _ in kneser_ney._count_grams(4, {"": 0, "en": 1})(iter([batch]))]) < 45
+    p = sentencepiece_viterbi.load(sentencepiece_viterbi.MODEL)
+    ids = sentencepiece_viterbi.encode(p, texts)
+    assert len(p.known) < 1000  # only pairs that share a slot
+    assert peak(lambda: sentencepiece_viterbi.encode(p, texts * 4)) < 15
+    assert [x.tolist() for x in sentencepiece_viterbi.encode(p, texts)] == [x.tolist() for x in ids]
+
+
 def test_slots_that_several_share(monkeypatch):
     """Pieces and pairs are found by slot; where slots are shared, by search and memory, to the same ids."""
     texts = ["the quick brown fox", "Überraschung, naïve 北京 ok", "a" * 40 + " zzz qqq"]
