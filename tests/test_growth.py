@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from terralith.operators import cells, flood, geometry, grid, network
-from terralith.plans import observed
+from terralith.plans import observed, pipelines, queries_observed
 from terralith.sources.intermediate import written
 
 
@@ -94,3 +94,10 @@ def test_flood_sends_no_table_through_the_driver(spark, monkeypatch):
     near = g.select("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell") + 1)).alias("nbr"))
     assert flood.priority_flood(g, near).where("terminal = 0 AND steps = cell").count() == 36
     assert len(plans) > 10 and not any("Broadcast" in p for p in plans)
+
+
+def test_surface_sends_no_table_through_the_driver(spark, tiny, monkeypatch):
+    plans = [planned(monkeypatch, m) for m in (observed, pipelines)]
+    own, areas = queries_observed._surface(spark, tiny)
+    plans = [*plans[0], *plans[1], *(x._jdf.queryExecution().executedPlan().toString() for x in (own, areas))]
+    assert len(plans) == 8 and sum(p.count("SortMergeJoin") for p in plans) > 10 and not any("Broadcast" in p for p in plans)
