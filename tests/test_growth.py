@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from terralith.operators import cells, flood, geometry, grid, network
+from terralith.operators import cells, flood, geometry, grid, network, solver
 from terralith.plans import observed, pipelines, queries_observed
 from terralith.sources.intermediate import written
 
@@ -101,3 +101,9 @@ def test_surface_sends_no_table_through_the_driver(spark, tiny, monkeypatch):
     own, areas = queries_observed._surface(spark, tiny)
     plans = [*plans[0], *plans[1], *(x._jdf.queryExecution().executedPlan().toString() for x in (own, areas))]
     assert len(plans) == 8 and sum(p.count("SortMergeJoin") for p in plans) > 10 and not any("Broadcast" in p for p in plans)
+
+
+def test_forcing_sends_no_table_through_the_driver(spark, tiny, monkeypatch):
+    plans = planned(monkeypatch, solver)
+    queries_observed.l04_event_scenarios(spark, tiny)
+    assert len(plans) == 1 and plans[0].count("SortMergeJoin") > 6 and "Broadcast" not in plans[0]
